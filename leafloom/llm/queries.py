@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from leafloom.llm.packing import op9_best_fit_packing
+from leafloom.llm.quality_rules import op10_quality_rules
+from leafloom.llm.sharding import op8_sharding
+from leafloom.llm.token_counts import op7_token_counts
 from leafloom.llm.token_output import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op7_token_counts": op7_token_counts,
+    "op8_sharding": op8_sharding,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
