@@ -7,9 +7,11 @@ from leafloom.llm.quality_rules import op10_quality_rules
 from leafloom.llm.sharding import op8_sharding
 from leafloom.llm.token_counts import op7_token_counts
 from leafloom.llm.token_output import op1_token_output
+from leafloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op4_toxicity": op4_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
     "op9_best_fit_packing": op9_best_fit_packing,
