@@ -32,7 +32,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark = ship(spark)
         self.dir = f"{shared_dir(spark)}/leafloom/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:

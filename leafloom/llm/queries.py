@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from leafloom.llm.near_dedup import op6_near_dedup
 from leafloom.llm.packing import op9_best_fit_packing
 from leafloom.llm.quality_rules import op10_quality_rules
 from leafloom.llm.sharding import op8_sharding
@@ -12,6 +13,7 @@ from leafloom.llm.toxicity import op4_toxicity
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op4_toxicity": op4_toxicity,
+    "op6_near_dedup": op6_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
     "op9_best_fit_packing": op9_best_fit_packing,
