@@ -5,6 +5,7 @@ from __future__ import annotations
 from leafloom.llm.near_dedup import op6_near_dedup
 from leafloom.llm.packing import op9_best_fit_packing
 from leafloom.llm.quality_rules import op10_quality_rules
+from leafloom.llm.secret_scan import op2_secret_scan
 from leafloom.llm.sharding import op8_sharding
 from leafloom.llm.token_counts import op7_token_counts
 from leafloom.llm.token_output import op1_token_output
@@ -12,6 +13,7 @@ from leafloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_secret_scan": op2_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op6_near_dedup": op6_near_dedup,
     "op7_token_counts": op7_token_counts,
