@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from leafloom.llm.decontaminate import op3_decontamination
 from leafloom.llm.near_dedup import op6_near_dedup
 from leafloom.llm.packing import op9_best_fit_packing
 from leafloom.llm.quality_rules import op10_quality_rules
@@ -14,6 +15,7 @@ from leafloom.llm.toxicity import op4_toxicity
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_secret_scan": op2_secret_scan,
+    "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op6_near_dedup": op6_near_dedup,
     "op7_token_counts": op7_token_counts,

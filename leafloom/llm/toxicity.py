@@ -120,12 +120,16 @@ def fit(texts: list[str | None], toxic: np.ndarray, most_words: int = 2000, leas
     toxic = np.asarray(toxic, float)
     if n == 0 or toxic.min() == toxic.max():
         return model
-    bag = bags(texts)
-    keys, word = np.unique(bag.word_key, return_inverse=True)
-    pair = np.unique(word.astype(np.int64) * n + bag.sentence_doc[bag.word_sentence])
-    word_of, doc_of = pair // n, pair % n
-    total = np.bincount(word_of, minlength=len(keys))
-    pos = np.bincount(word_of, toxic[doc_of], minlength=len(keys))
+    parts = list(in_parts(texts))
+    keys, total, pos = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for i, j in parts:  # documents by word, part by part
+        bag = bags(texts[i:j])
+        own, word = np.unique(bag.word_key, return_inverse=True)
+        pair = np.unique(word.astype(np.int64) * (j - i) + bag.sentence_doc[bag.word_sentence])
+        word, doc = pair // (j - i), pair % (j - i)
+        counts = [np.bincount(word, minlength=len(own)), np.bincount(word, toxic[i + doc], minlength=len(own)).astype(np.int64)]
+        keys, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
+        total, pos = (np.bincount(at, np.concatenate([x, y]), minlength=len(keys)).astype(np.int64) for x, y in zip((total, pos), counts, strict=True))
     rate = toxic.mean()
 
     def entropy(k, m, p):
@@ -134,15 +138,23 @@ def fit(texts: list[str | None], toxic: np.ndarray, most_words: int = 2000, leas
 
     gain = np.where((total >= least) & (pos > 2 * rate * total), entropy(pos, np.maximum(total, 1), rate), -1)
     chosen = np.sort(np.argsort(-gain, kind="stable")[:most_words])
-    chosen = chosen[gain[chosen] > LEAST_GAIN]
-    slot = np.full(len(keys), -1, np.int64)
-    slot[chosen] = np.arange(len(chosen))
-    use = slot[word] >= 0
-    pair = np.unique(bag.word_sentence[use].astype(np.int64) * max(len(chosen), 1) + slot[word[use]])
-    feature, sentence = pair % max(len(chosen), 1), pair // max(len(chosen), 1)
-    own, sentence = np.unique(sentence, return_inverse=True)  # sentences with a chosen word; the others only have the background
-    doc = bag.sentence_doc[own]
-    plain = (np.bincount(bag.sentence_doc, minlength=n) - np.bincount(doc, minlength=n)) * np.logaddexp(0, model.background)
+    chosen = keys[chosen[gain[chosen] > LEAST_GAIN]]
+    if not len(chosen):
+        return model
+    pairs, docs_of, sentences, before = [], [], np.zeros(n, np.int64), 0
+    for i, j in parts:  # sentences that hold a chosen word; the others only have the background
+        bag = bags(texts[i:j])
+        at = np.minimum(np.searchsorted(chosen, bag.word_key), len(chosen) - 1)
+        hit = chosen[at] == bag.word_key
+        pairs.append(np.unique((before + bag.word_sentence[hit].astype(np.int64)) * len(chosen) + at[hit]))
+        sentences[i:j] = np.bincount(bag.sentence_doc, minlength=j - i)
+        docs_of.append(i + bag.sentence_doc)
+        before += len(bag.sentence_doc)
+    pair = np.concatenate(pairs)
+    feature, sentence = pair % len(chosen), pair // len(chosen)
+    own, sentence = np.unique(sentence, return_inverse=True)
+    doc = np.concatenate(docs_of)[own]
+    plain = (sentences - np.bincount(doc, minlength=n)) * np.logaddexp(0, model.background)
     weights, m1, m2 = np.ones(len(chosen)), np.zeros(len(chosen)), np.zeros(len(chosen))
     balance = np.where(toxic > 0, 0.5 / rate, 0.5 / (1 - rate))
     for t in range(1, rounds + 1):
@@ -152,7 +164,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, most_words: int = 2000, leas
         grad = np.bincount(feature, (pull[doc] / (1 + np.exp(-np.clip(z, -50, 50))))[sentence], minlength=len(chosen)) + ridge * weights
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         weights = np.maximum(0, weights - 0.15 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8))
-    return Model(keys[chosen], weights, model.background)
+    return Model(chosen, weights, model.background)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_positive: int, most_negative: int) -> DataFrame:
@@ -164,7 +176,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_positive: int, most_n
     return docs.select("doc_id", text_of().alias("text")).join(picked, "doc_id").select("text", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_negative: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_negative: int = 4000) -> Model:
     rows = training_rows(docs, labels, most_positive, most_negative).orderBy(F.xxhash64("text", "toxic")).limit(2 * (most_positive + most_negative)).toArrow()
     return fit(rows.column("text").to_pylist(), rows.column("toxic").to_numpy())
 
