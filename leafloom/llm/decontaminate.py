@@ -103,7 +103,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = scratch.stage(covered(docs, items), "pairs")
     texts = docs.select("doc_id", text_of().alias("doc_text"))
     found = pairs.join(texts, "doc_id").join(benchmark.select("item_id", text_of().alias("item_text")), "item_id")
-    checked = slots(found).where(F.col("n_consistent") >= LEAST_CONSISTENT * F.col("n_slots"))
+    # staged before the filter: pushed below, it would repeat the whole chain of expressions for every value
+    checked = scratch.stage(slots(found).drop("doc_text", "item_text"), "checked").where(F.col("n_consistent") >= LEAST_CONSISTENT * F.col("n_slots"))
     return checked.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("coverage", "n_slots", "n_changed", "n_consistent")])
 
 
