@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     sizes = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     member = cluster.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
     member = member.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
-    text = texts.join(member, "doc_id")
+    text = texts.join(member.hint("merge"), "doc_id")  # one plan at every size: each text moves once
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
     grouped = text.select("doc_id", "text", "component", "own", other).select("doc_id", "text", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
