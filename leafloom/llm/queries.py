@@ -5,6 +5,7 @@ from __future__ import annotations
 from leafloom.llm.decontaminate import op3_decontamination
 from leafloom.llm.near_dedup import op6_near_dedup
 from leafloom.llm.packing import op9_best_fit_packing
+from leafloom.llm.passages import op5_repeated_passages
 from leafloom.llm.quality_rules import op10_quality_rules
 from leafloom.llm.secret_scan import op2_secret_scan
 from leafloom.llm.sharding import op8_sharding
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_near_dedup": op6_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
