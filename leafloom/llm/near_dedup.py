@@ -200,5 +200,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest doc_id."""
+    away = near_duplicates(docs, words, percent).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
+    return docs.join(away.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=3, percent=85, bands=25, rows=5)

@@ -206,6 +206,22 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(_scored(model, least), SCORED)
 
 
+def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose score is ``limit`` or more; all columns stay, null texts stay."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            keep = np.zeros(len(texts), bool)
+            for a, b in in_parts(texts):
+                keep[a:b] = model.scores(bags(texts[a:b]), b - a)[0] < limit
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT
