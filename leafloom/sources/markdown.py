@@ -101,7 +101,7 @@ def territory_end(by: Window, start: str = "start", size: str = "size") -> Colum
 def assemble(found: DataFrame) -> DataFrame:
     """Headings in order to tree rows: parents, ids with counters for equal titles, paths, children, spans.
 
-    One partitioning by document serves all windows; the (at most five) steps to the root are joins on the same key.
+    One partitioning by document serves all windows.
     """
     by = Window.partitionBy("doc_id").orderBy("pos")
     rows = found.withColumn("parent_pos", parent_pos(F.col("level"), by)).withColumn("terr_end", territory_end(by))
@@ -113,24 +113,23 @@ def assemble(found: DataFrame) -> DataFrame:
 
 
 def named(rows: DataFrame) -> DataFrame:
-    """Adds section_id, parent and path to rows with pos, parent_pos, slug and title.
+    """Adds section_id, parent and path to rows with pos, level, parent_pos, slug and title.
 
-    The counter of equal slugs is by parent id; parents that differ never share an id unless a title itself ends in a
-    counter, which validation reports.
+    The counter of equal slugs is by parent.  The last heading of a level is an ancestor while no heading of a smaller
+    level came after it, so ids and paths come from windows over the same partitioning by document, without a join.
     """
     mine = Window.partitionBy("doc_id", "parent_pos", "slug").orderBy("pos")
     rows = rows.withColumn("n", F.row_number().over(mine))
     rows = rows.withColumn("own", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", "n")))
-    chain = rows.select("doc_id", "pos", F.col("parent_pos").alias("up"), F.array("own").alias("ids"), F.array("title").alias("path"))
-    step = rows.select("doc_id", F.col("pos").alias("up"), F.col("parent_pos").alias("next"), F.col("own").alias("up_own"), F.col("title").alias("up_title"))
-    for _ in range(5):
-        chain = chain.join(step, ["doc_id", "up"], "left").select(
-            "doc_id", "pos", F.col("next").alias("up"),
-            F.when(F.col("up_own").isNull(), F.col("ids")).otherwise(F.array_prepend("ids", F.col("up_own"))).alias("ids"),
-            F.when(F.col("up_own").isNull(), F.col("path")).otherwise(F.array_prepend("path", F.col("up_title"))).alias("path"),
-        )
-    ids = chain.select("doc_id", "pos", F.array_join("ids", "/").alias("section_id"), F.when(F.size("ids") > 1, F.array_join(F.slice("ids", F.lit(1), F.size("ids") - 1), "/")).alias("parent"), "path")
-    return rows.drop("n", "own").join(ids, ["doc_id", "pos"])
+    back = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    here = F.struct("pos", "level", "own", "title")
+    rows = rows.withColumn("last", F.array(*[F.last(F.when(F.col("level") == n, here), ignorenulls=True).over(back) for n in range(1, 6)]))
+    above = lambda x, i: (x["level"] < F.col("level")) & (x["pos"] > F.coalesce(F.array_max(F.transform(F.slice("last", F.lit(1), i), lambda y: y["pos"])), F.lit(-1)))
+    rows = rows.withColumn("up", F.filter("last", above))
+    ids = F.transform("up", lambda x: x["own"])
+    parent = F.when(F.size("up") > 0, F.array_join(ids, "/"))
+    path = F.array_append(F.transform("up", lambda x: x["title"]), F.col("title"))
+    return rows.select("*", F.array_join(F.array_append(ids, F.col("own")), "/").alias("section_id"), parent.alias("parent"), path.alias("path")).drop("n", "own", "last", "up")
 
 
 def with_title(text: Column, stem: Column) -> Column:
