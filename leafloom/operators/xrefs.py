@@ -22,7 +22,7 @@ def _matches(sections: DataFrame, pattern: str) -> DataFrame:
     rows = rows.select("doc_id", "pos", "src", "gaps", "whole", F.posexplode("own").alias("ord", "found"))
     total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
     begin = total(F.col("gaps"), F.col("ord") + 1) + total(F.col("whole"), F.col("ord"))
-    inside = F.length(F.get("whole", F.col("ord"))) - F.length(F.element_at(F.split(F.get("whole", F.col("ord")), r"\Q(#\E|(?<=\D)(?=[0-9.]+$)"), F.lit(-1)))
+    inside = F.length(F.get("whole", F.col("ord"))) - F.length(F.element_at(F.split(F.get("whole", F.col("ord")), r"\Q(#\E|(?<=[^0-9.])(?=[0-9.]+$)"), F.lit(-1)))
     return rows.select("doc_id", "pos", "src", "ord", "found", (begin + inside).alias("start")).withColumn("end", F.col("start") + F.length("found"))
 
 

@@ -146,7 +146,7 @@ def html_to_markdown(html):
     text = F.regexp_replace(text, r"(?s)<[^>]+>", "")
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(text, r"\n[ \t]*\n\s*", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(text, r"\n[ \t]*\n\s*", "\n\n"), r"^\s+|\s+$", "")
 
 
 def convert(discovered: DataFrame, version: str = "1") -> DataFrame:
