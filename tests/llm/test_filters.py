@@ -1,0 +1,130 @@
+import hashlib
+import random
+import re
+import string
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from leafloom.llm import decontaminate, quality_rules, secret_scan, toxicity
+from leafloom.llm._common import Scratch
+from leafloom.session import ship
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+
+
+def plain_measures(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, dup, lines = set(), 0, 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup, lines = dup + (line in seen), lines + 1
+            seen.add(line)
+    counts = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+    covered = {k + d for k in range(len(words) - 7) if counts[tuple(words[k : k + 8])] > 1 for d in range(8)}
+    return [len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), lines]
+
+
+def test_measures_against_plain_version():
+    rng = random.Random(2)
+    texts = ["", None, "\n\n \n", "a", " a\n a\na", "é é\n", "x " * 30, "a b c d e f g h " * 2, "\x0b\x0c a \x1c b"]
+    texts += ["".join(rng.choice(["a ", "b ", "cc ", "#", "\n", "a b c d e f g h ", " ", "é", "\t"]) for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    got = np.array(quality_rules.measure(texts)).T.tolist()
+    assert got == [plain_measures(t or "") for t in texts]
+
+
+def test_ledger_policies_and_ablations(spark):
+    good = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, good), (2, None), (3, "x " * 100), (4, good + " ### $$$ %%% &&&"), (4, good), (None, "")]
+    docs = ship(spark).createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, failed int")
+    led = quality_rules.ledger(docs).cache()
+    kept = [(r.doc_id, r.kept) for r in quality_rules.apply_policy(led, 2).collect()]
+    assert sorted(kept, key=str) == sorted([(1, True), (2, False), (3, False), (4, False), (4, True), (None, False)], key=str)
+    table = {r.rule: r for r in quality_rules.ablations(led, 2).collect()}
+    assert table["few_words"].n_failed == 2 and table["few_words"].n_only == 2 and table["symbols"].n_only == 1
+    assert table["few_words"].n_kept_without == 4
+    assert quality_rules.ledger(docs.limit(0)).count() == 0
+
+
+def test_base_spans_against_regex(spark):
+    rng = random.Random(4)
+    bits = ["token", "secret", "API_KEY", "apikey", "=", ": ", '"', "'", "abcdef0123456789", "AKIA", "ABCDEFGHIJKLMNOP", "é", " ", "\n", "password", "x.y-z", "deadbeefdeadbeef", "secret:abcdefghijklmnop", "ſecret=", "😀"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(600)] + ["", None]
+
+    def plain(t):
+        out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+        out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16])
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = docs.select("i", secret_scan.base_spans(F.coalesce("text", F.lit(""))).alias("s")).collect()
+    assert {r.i: [tuple(x) for x in r.s] for r in rows} == {i: plain(t or "") for i, t in enumerate(texts)}
+
+
+def test_battery_finds_random_strings_and_leaves_words(spark):
+    rng = random.Random(9)
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(40)) for _ in range(60)]
+    plain = ["internationalizationframework", "THISISALLCAPITALLETTERSHERE", "some_long_identifier_name_here", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "path/to/some/other/folder/file", "averyveryverylongwordindeed"] * 20
+    docs = spark.createDataFrame([(i, f"see {k} there") for i, k in enumerate(keys)] + [(1000 + i, f"see {p} there") for i, p in enumerate(plain)], "doc_id long, text string")
+    rows = secret_scan.scan(docs, Scratch(spark, "t")).collect()
+    found = {r.row.doc_id for r in rows if any(s.kind == 3 for s in r.spans)}
+    assert len([d for d in found if d < 1000]) >= 50 and not [d for d in found if d >= 1000]
+
+
+def test_redaction_keeps_rows(spark):
+    docs = spark.createDataFrame([(1, "é token = abcdefghijklmnop end", "k"), (2, None, "k"), (3, "", "k"), (3, "clean", "k")], "doc_id long, text string, spans string")
+    rows = {(r.doc_id, r.text, r.spans) for r in secret_scan.redact_secrets(docs).collect()}
+    assert rows == {(1, "é [SECRET] end", "k"), (2, None, "k"), (3, "", "k"), (3, "clean", "k")}
+    assert secret_scan.redact_secrets(docs.limit(0)).count() == 0
+    assert secret_scan.written(F.array().cast("array<struct<start:int,kind:int,end:int>>")) is not None and hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_templates(spark):
+    question = "If Tom buys 12 apples for 3 dollars each and sells 5kg of pears to Anna in Paris, how much does Tom have left?"
+    docs = spark.createDataFrame(
+        [(1, f"Intro. {question} More."), (2, question.replace("Tom", "Max").replace("12", "7").replace("Anna", "Eve")), (3, "If Max buys 7 apples for 9 euros each and sells 8kg of pears to Max in Max, how much does Leo have left?"), (4, None), (5, ""), (6, "other words that are clean and say nothing of it"), (None, "few"), (1, f"Intro. {question} More.")],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(10, question), (11, None), (12, "too short")], "item_id long, text string")
+    rows = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, items).collect()}
+    assert set(rows) == {(1, 10), (2, 10)} and rows[1, 10].n_changed == 0 and rows[2, 10].n_changed == 4
+    kept = [r.doc_id for r in decontaminate.decontaminate(docs, items).collect()]
+    assert sorted(kept, key=str) == [3, 4, 5, 6, None]
+    assert decontaminate.contaminated(docs, items.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), items).count() == 0
+
+
+def test_toxicity_learns_from_document_labels(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    sentence = lambda bad: " ".join([word() for _ in range(8)] + ["grumbus"] * bad) + "."
+    toxic = [k % 3 == 0 for k in range(300)]
+    texts = [" ".join(sentence(bad and s == 2) for s in range(5)) for bad in toxic]
+    model = toxicity.fit(texts[:200], np.array(toxic[:200]))
+    scores = model.scores(toxicity.bags(texts[200:]), 100)[0]
+    assert ((scores >= 0.5) == np.array(toxic[200:])).all()
+    docs = ship(spark).createDataFrame([(i, t) for i, t in enumerate(texts[200:] + ["", None])], "doc_id long, text string")
+    rows = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    bad = next(i for i in range(100) if toxic[200 + i])
+    (span,) = rows[bad].offending
+    assert "grumbus" in texts[200 + bad][span.start : span.end] and rows[100].score == rows[101].score == 0.0
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()}
+    assert kept == {i for i in range(102) if i >= 100 or not toxic[200 + i]}
+    assert not len(toxicity.fit([], np.array([])).keys) and not len(toxicity.fit(["a"], np.array([1])).keys)
+
+
+def test_toxicity_sample_leaves_the_held_out_fold(spark):
+    docs = spark.createDataFrame([(i, str(i)) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    import zlib
+
+    got = {int(r.text) for r in toxicity.training_rows(docs, labels, 100, 100).collect()}
+    assert got == {i for i in range(50) if zlib.crc32(str(i).encode()) % 5 != 0}
+    assert toxicity.training_rows(docs, labels, 3, 4).count() == 7
+
+
+@pytest.mark.parametrize("text", ["", None, "no stops at all", "... !!! ???"])
+def test_bags_of_odd_texts(text):
+    bag = toxicity.bags([text])
+    assert len(bag.sentence_doc) == len(set(bag.word_sentence.tolist()))
