@@ -26,4 +26,26 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+WORDS = r"[^\x20\x09-\x0D]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES: dict[str, str] = {
+    "op6_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORDS}') AS W FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(W) = 0 THEN [] WHEN len(W) < 3 THEN [array_to_string(W, ' ')] ELSE [array_to_string(W[i + 1:i + 3], ' ') FOR i IN range(len(W) - 2)] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n k ON k.doc_id = x JOIN n l ON l.doc_id = y WHERE 100 * c >= 85 * (k.n + l.n - c)),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reach),
+m AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)""",
+    "op10_quality_rules": f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS W FROM documents),
+g AS (SELECT doc_id, i, array_to_string(W[i + 1:i + 8], ' ') AS g FROM w, UNNEST(range(greatest(len(W) - 7, 0))) u(i)),
+d AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM d, UNNEST(range(8)) u(k) GROUP BY 1),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{WORDS}') GROUP BY 1),
+m AS (SELECT doc_id, len(W) AS n_words, length(array_to_string(W, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  coalesce(n_lines, 0) AS n_lines FROM w LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)),
+b AS (SELECT *, CAST(n_words < 20 AS INT) + 2 * CAST(100 * n_repeat_words > 30 * n_words AS INT) + 4 * CAST(2 * n_dup_lines > n_lines AS INT) + 8 * CAST(10 * n_symbols > n_words AS INT)
+  + 16 * CAST(word_chars < 2 * n_words AS INT) + 32 * CAST(word_chars > 14 * n_words AS INT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed, n_lines FROM b""",
+}
