@@ -61,3 +61,20 @@ def gates(rates: DataFrame, least: dict[str, float]) -> DataFrame:
     """One row per threshold: measured value and whether it is reached."""
     rows = [F.struct(F.lit(k).alias("gate"), F.col(k).cast("double").alias("value"), F.lit(float(v)).alias("least"), (F.col(k) >= v).alias("passed")) for k, v in least.items()]
     return rates.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
+
+
+def report(summary: DataFrame) -> str:
+    """The summary as a Markdown table (one row per system)."""
+    rows = summary.orderBy("system").collect()
+    lines = ["| system | recall | tokens | questions |", "|---|---|---|---|"]
+    return "\n".join(lines + [f"| {r.system} | {r.mean_recall:.2%} | {r.mean_tokens:.0f} | {r.questions} |" for r in rows])
+
+
+def baseline_hits(pieces: DataFrame, questions: DataFrame, dim: int = 64, k: int = 8) -> DataFrame:
+    """The structure-blind baseline: chunks ranked by the offline embedding of ``question_id, question``."""
+    from leafloom.functions import text as T
+    from leafloom.operators import vectors
+
+    rows = pieces.select("doc_id", F.col("chunk").cast("string").alias("section_id"), T.hash_embedding(F.col("text"), dim).alias("vector"))
+    asked = questions.select(F.col("question_id").alias("query_id"), T.hash_embedding(F.col("question"), dim).alias("query"))
+    return vectors.nearest_batch(rows, asked, k)
