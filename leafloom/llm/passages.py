@@ -32,7 +32,6 @@ from leafloom.llm.textscan import codepoints, runs, separators, span_hashes
 
 LENGTH, GAP, SHINGLE = 20, 30, 5
 BANDS, ROWS = 5, 2
-MOST_BROADCAST = 2_000_000
 UNITS = "doc_id long, pos int, start int, end int, full long, keys array<long>"
 
 
@@ -140,20 +139,24 @@ def repeated_passages(docs: DataFrame, percent: int = 80, seed: int = 11) -> Dat
     entry = units.select(F.explode("keys").alias("bucket"), "full")
     buckets = entry.groupBy("bucket").agg(F.min("full").alias("low"), F.max("full").alias("high")).where("low <> high")
     buckets = scratch.stage(buckets, "buckets")
-    if buckets.count() <= MOST_BROADCAST:
-        buckets = F.broadcast(buckets)  # its size is checked; beyond it the join shuffles
-    ends = entry.join(buckets, "bucket").select("full", F.explode(F.array("low", "high")).alias("other")).where("full <> other")
+    ends = entry.join(buckets.hint("merge"), "bucket").select("full", F.explode(F.array("low", "high")).alias("other")).where("full <> other")
     pairs = scratch.stage(ends.select(F.least("full", "other").alias("u"), F.greatest("full", "other").alias("v")).distinct(), "pairs")
+    scratch.drop("buckets")
+    places_of = scratch.stage(units.drop("keys"), "places")  # the keys are not read again, and are most of the table
+    scratch.drop("units")
+    units = places_of
 
     # exact verification on the paragraphs' words, read from one occurrence of each
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("full")).distinct()
-    places = units.join(wanted, "full").groupBy("full").agg(F.min(F.struct("doc_id", "start", "end")).alias("p"))
+    places = units.groupBy("full").agg(F.min(F.struct("doc_id", "start", "end")).alias("p")).join(wanted.hint("merge"), "full")
     places = places.select("full", "p.doc_id", "p.start", "p.end")
-    read = texts.join(places.hint("merge"), "doc_id").select("full", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("words"))
-    read = scratch.stage(read.groupBy("full").agg(F.min("words").alias("words")), "read")
+    read = texts.join(places.hint("merge"), "doc_id").select("doc_id", "full", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("words"))
+    read = scratch.stage(read.dropDuplicates(["doc_id", "full"]).drop("doc_id"), "read")
     side = lambda c: read.select(F.col("full").alias(c), F.col("words").alias(f"t{c}"))
     similar = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "tu", "tv").mapInArrow(_jaccard(percent), "u long, v long")
     found = components(similar, scratch, "near")
+    scratch.drop("read")
+    scratch.drop("pairs")
 
     # clusters in two documents or more
     named = units.select("doc_id", "pos", "start", "end", "full").join(found, F.col("full") == F.col("node"), "left").select("doc_id", "pos", "start", "end", F.coalesce("component", "full").alias("component"))
