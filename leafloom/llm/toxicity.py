@@ -120,7 +120,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, most_words: int = 2000, leas
     toxic = np.asarray(toxic, float)
     if n == 0 or toxic.min() == toxic.max():
         return model
-    parts = list(in_parts(texts))
+    parts = list(in_parts(texts, 300_000))  # small parts: the driver holds little beside the counts
     keys, total, pos = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for i, j in parts:  # documents by word, part by part
         bag = bags(texts[i:j])
