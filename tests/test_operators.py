@@ -127,7 +127,7 @@ def test_graph_and_impact(sections, spark):
     assert graph.related_documents(folded, "d", src).first().doc_id == "e"
     hit = graph.section_impact(sections, refs, folded, "d", "1-intro").collect()
     assert {r.kind for r in hit} >= {"child", "xref", "shared_entity"}
-    assert {r.doc_id for r in graph.affected_documents(graph.section_impact(sections, refs, folded, "d", "1-intro"), "d").collect()} == {"d", "e"}
+    assert {r.doc_id for r in graph.affected_documents(graph.section_impact(sections, refs, folded, "d", "2-reference/2-1-api"), "d").collect()} == {"d", "e"}
     hits = spark.createDataFrame([("d", "1-intro", 0.9), ("e", "other", 0.8)], "doc_id string, section_id string, score double")
     ctx = graph.context(hits, sections, tree.build_summaries(sections), refs).collect()
     assert [r["rank"] for r in ctx] == [1, 2] and len(ctx[0].related) == 3
