@@ -1,8 +1,9 @@
 """Operator 4: toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  A sentence's log-odds are a fixed background plus the weights of its distinct words
-and word beginnings (4 to 6 letters; insults are inflected); the document is toxic if any sentence is (noisy-or: 1 - prod(1 - p)).  Only documents carry labels; the weights are fitted
-through the noisy-or, and then tell which sentences offend.
+and word beginnings (4 to 6 letters; insults are inflected); the document is toxic if any sentence is (noisy-or:
+1 - prod((1 - p) / (1 - p0)), p0 being the background's probability, so sentences without evidence add nothing at any
+length).  Only documents carry labels; the weights are fitted through the noisy-or, and then tell which sentences offend.
 
 The classifier is fitted on the driver on a bounded sample of labelled rows (``most_positive``, ``most_negative``: the
 rows with the smallest hash of doc_id); scores are computed for all whole texts in one pass without a shuffle.
@@ -103,9 +104,10 @@ class Model:
         return self.background + np.bincount(pairs // len(self.keys), self.weights[pairs % len(self.keys)], minlength=len(bag.sentence_doc))
 
     def scores(self, bag: Bags, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Noisy-or of each text, and each sentence's own probability."""
+        """Noisy-or of each text's evidence (a sentence without any adds nothing, so length alone tells nothing), and each
+        sentence's own probability."""
         z = self.log_odds(bag)
-        clear = np.bincount(bag.sentence_doc, np.logaddexp(0, z), minlength=n)
+        clear = np.bincount(bag.sentence_doc, np.logaddexp(0, z) - np.logaddexp(0, self.background), minlength=n)
         return -np.expm1(-clear), 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
@@ -141,26 +143,25 @@ def fit(texts: list[str | None], toxic: np.ndarray, most_words: int = 2000, leas
     chosen = keys[chosen[gain[chosen] > LEAST_GAIN]]
     if not len(chosen):
         return model
-    pairs, docs_of, sentences, before = [], [], np.zeros(n, np.int64), 0
-    for i, j in parts:  # sentences that hold a chosen word; the others only have the background
+    pairs, docs_of, before = [], [], 0
+    for i, j in parts:  # sentences that hold a chosen word; the others add nothing
         bag = bags(texts[i:j])
         at = np.minimum(np.searchsorted(chosen, bag.word_key), len(chosen) - 1)
         hit = chosen[at] == bag.word_key
         pairs.append(np.unique((before + bag.word_sentence[hit].astype(np.int64)) * len(chosen) + at[hit]))
-        sentences[i:j] = np.bincount(bag.sentence_doc, minlength=j - i)
         docs_of.append(i + bag.sentence_doc)
         before += len(bag.sentence_doc)
     pair = np.concatenate(pairs)
     feature, sentence = pair % len(chosen), pair // len(chosen)
     own, sentence = np.unique(sentence, return_inverse=True)
     doc = np.concatenate(docs_of)[own]
-    plain = (sentences - np.bincount(doc, minlength=n)) * np.logaddexp(0, model.background)
+    plain = np.logaddexp(0, model.background)
     weights, m1, m2 = np.ones(len(chosen)), np.zeros(len(chosen)), np.zeros(len(chosen))
     balance = np.where(toxic > 0, 0.5 / rate, 0.5 / (1 - rate))
     for t in range(1, rounds + 1):
         z = model.background + np.bincount(sentence, weights[feature], minlength=len(own))
-        clear = plain + np.bincount(doc, np.logaddexp(0, z), minlength=n)
-        pull = np.where(toxic > 0, -1 / np.expm1(np.clip(clear, 1e-6, 50)), 1.0) * balance
+        clear = np.bincount(doc, np.logaddexp(0, z) - plain, minlength=n)
+        pull = np.where(toxic > 0, -1 / np.expm1(np.clip(clear, plain, 50)), 1.0) * balance
         grad = np.bincount(feature, (pull[doc] / (1 + np.exp(-np.clip(z, -50, 50))))[sentence], minlength=len(chosen)) + ridge * weights
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         weights = np.maximum(0, weights - 0.15 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8))

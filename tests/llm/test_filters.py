@@ -114,6 +114,13 @@ def test_toxicity_learns_from_document_labels(spark):
     assert not len(toxicity.fit([], np.array([])).keys) and not len(toxicity.fit(["a"], np.array([1])).keys)
 
 
+def test_toxicity_of_a_long_clean_text():
+    model = toxicity.Model(toxicity.bags(["grumbus"]).word_key[:1], np.array([12.0]))
+    clean = "some clean words.\n" * 100_000
+    score, sentence = model.scores(toxicity.bags([clean, clean + "a grumbus."]), 2)
+    assert score[0] == 0.0 and score[1] > 0.9 and len(sentence) == 200_001
+
+
 def test_toxicity_sample_leaves_the_held_out_fold(spark):
     docs = spark.createDataFrame([(i, str(i)) for i in range(50)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (3, None)], "doc_id long, toxic int")
