@@ -31,7 +31,7 @@ SCORED = "doc_id long, score double, n_sentences long, offending array<struct<st
 STOPS = [ord(c) for c in ".!?\n"] + [0x3002, 0xFF01, 0xFF1F]
 FOLDS, HELD_OUT = 5, 0
 BEGINNINGS = (4, 5, 6)
-LEAST_GAIN = 4.0
+LEAST_GAIN, LEAST_RATIO = 4.0, 2.0
 
 _LOWER: np.ndarray | None = None
 
@@ -114,9 +114,9 @@ class Model:
 def fit(texts: list[str | None], toxic: np.ndarray, most_words: int = 2000, least: int = 3, rounds: int = 200, ridge: float = 0.05) -> Model:
     """Weights of the words that tell most, by gradient steps on the noisy-or likelihood (Adam).
 
-    Only evidence for toxicity is used: words found in at least ``least`` documents, toxic ones among them at least twice
-    as often as among all, and of those the ``most_words`` with the largest likelihood ratio (over ``LEAST_GAIN``); weights
-    are never negative.
+    Only evidence for toxicity is used: words found in at least ``least`` documents that are over ``LEAST_RATIO`` times as
+    likely in a toxic document as in another (smoothed, so the sample's balance doesn't matter), and of those the
+    ``most_words`` with the largest gain (over ``LEAST_GAIN``); weights are never negative.
     """
     model, n = Model(), len(texts)
     toxic = np.asarray(toxic, float)
@@ -138,7 +138,9 @@ def fit(texts: list[str | None], toxic: np.ndarray, most_words: int = 2000, leas
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(k > 0, k * np.log(k / (m * p)), 0) + np.where(m - k > 0, (m - k) * np.log((m - k) / (m * (1 - p))), 0)
 
-    gain = np.where((total >= least) & (pos > 2 * rate * total), entropy(pos, np.maximum(total, 1), rate), -1)
+    n_pos = toxic.sum()
+    likelier = (pos + 0.5) / (n_pos + 1) > LEAST_RATIO * (total - pos + 0.5) / (n - n_pos + 1)
+    gain = np.where((total >= least) & likelier, entropy(pos, np.maximum(total, 1), rate), -1)
     chosen = np.sort(np.argsort(-gain, kind="stable")[:most_words])
     chosen = keys[chosen[gain[chosen] > LEAST_GAIN]]
     if not len(chosen):

@@ -121,6 +121,17 @@ def test_toxicity_of_a_long_clean_text():
     assert score[0] == 0.0 and score[1] > 0.9 and len(sentence) == 200_001
 
 
+@pytest.mark.parametrize("share", [2, 3, 4])
+def test_toxicity_learns_at_any_balance(share):
+    """Half, two thirds and three quarters of the labels are toxic."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    toxic = np.array([k % share != 0 for k in range(400)])
+    texts = [". ".join(" ".join([word() for _ in range(8)] + ["grumbus"] * int(bad and s == 2)) for s in range(5)) for bad in toxic]
+    model = toxicity.fit(texts[:300], toxic[:300])
+    assert ((model.scores(toxicity.bags(texts[300:]), 100)[0] >= 0.5) == toxic[300:]).all()
+
+
 def test_toxicity_sample_leaves_the_held_out_fold(spark):
     docs = spark.createDataFrame([(i, str(i)) for i in range(50)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (3, None)], "doc_id long, toxic int")
