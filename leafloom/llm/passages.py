@@ -1,15 +1,17 @@
 """Operator 5: repeated passages across documents by MinHash over short paragraphs.
 
-A paragraph here is a window of 20 words that begins at an anchor.  Anchors are chosen by content (the smallest hash of
-three words in any 30 consecutive places), so wherever a passage of 50 words stands, in a line or across lines, every
-document that holds it cuts the same paragraphs out of it.
+Two kinds of units are compared:
 
-Paragraphs with the same words (lower case A-Z) are one node.  Minima of universal hashes over five-word shingles are
-banded in five bands of two (a pair of Jaccard similarity 0.8 meets with probability 0.994, and a passage has several
-paragraphs).  Different paragraphs that collide are joined with the smallest and the largest of their bucket, verified by
-exact Jaccard similarity on their full shingle sets, and clustered by connected components.  Clusters found in two
-documents or more give the passages; the first occurrence stays, all others are marked for removal.  Overlapping and
-adjacent marked paragraphs of a document are merged.
+* paragraphs: each line of 20 words or more, and each block of two lines or more without a blank line between them.  Their
+  minima of universal hashes over five-word shingles are banded in eight bands of two (a pair of Jaccard similarity 0.8
+  meets with probability 0.9997).  Paragraphs are compared with the
+  smallest and the largest of their bucket by exact Jaccard similarity; connected components are the clusters;
+* windows of 20 words that begin at an anchor, for passages that are part of a line or cross lines.  Anchors are chosen by
+  content (the smallest hash of three words in any 10 consecutive places), so every document that holds a passage of 29
+  words cuts the same windows out of it.  Windows with the same words are a cluster.
+
+Words are compared in lower case (A-Z).  Clusters found in two documents or more give the passages; the first occurrence
+stays, all others are marked for removal.  Overlapping and adjacent units of a document are merged.
 
 Defined results: null texts and texts of fewer than 20 words have no paragraphs; rows that share a doc_id are one
 document; rows without doc_id are left out; repeats inside one document only are not reported; an empty table gives no
@@ -27,12 +29,13 @@ from pyspark.sql import functions as F
 from leafloom.llm._common import Scratch, arrow_schema, documents, text_of
 from leafloom.llm.components import components
 from leafloom.llm.near_dedup import GOLDEN, shingles
-from leafloom.llm.pretoken import _mix, in_parts
+from leafloom.llm.pretoken import _mix, _powers, in_parts
 from leafloom.llm.textscan import codepoints, runs, separators, span_hashes
 
-LENGTH, GAP, SHINGLE = 20, 30, 5
-BANDS, ROWS = 5, 2
-UNITS = "doc_id long, pos int, start int, end int, full long, keys array<long>"
+LENGTH, GAP, SHINGLE = 20, 10, 5
+BANDS, ROWS = 8, 2
+PART = 500_000
+UNITS = "doc_id long, pos int, n int, start int, end int, full long, keys array<long>"
 
 
 def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -57,6 +60,28 @@ def anchors(words: np.ndarray) -> np.ndarray:
     return np.flatnonzero(three == _slide(np.concatenate([edge, low, edge]), GAP, np.maximum))
 
 
+def paragraphs(cps: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """First words of paragraphs of LENGTH words or more, and the words after their last: those of lines, then of blocks."""
+    newline = np.concatenate([[0], np.cumsum(cps == 10)])
+    line = newline[starts] + np.searchsorted(docs, starts, "right")  # each text begins a line
+    n = len(starts)
+    new = np.ones(n, bool)
+    new[1:] = line[1:] != line[:-1]
+    lines = np.flatnonzero(new)
+    apart = np.ones(len(lines), bool)
+    apart[1:] = newline[starts[lines[1:]]] - newline[starts[lines[1:] - 1]] != 1
+    doc = np.searchsorted(docs, starts[lines], "right")
+    apart[1:] |= doc[1:] != doc[:-1]
+    blocks = np.flatnonzero(apart)
+    several = np.diff(np.append(blocks, len(lines))) > 1
+    out = []
+    for first, use in ((lines, np.ones(len(lines), bool)), (lines[blocks], several)):
+        last = np.append(first[1:], n)
+        use = use & (last - first >= LENGTH)
+        out.append((first[use], last[use]))
+    return out
+
+
 def _units(seed: int):
     schema = arrow_schema(UNITS)
 
@@ -68,41 +93,46 @@ def _units(seed: int):
         b = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for i, j in in_parts(texts):
+            for i, j in in_parts(texts, PART):
                 cps, docs = codepoints(texts[i:j])
                 if not len(cps):
                     continue
                 low = np.where((cps >= 65) & (cps <= 90), cps + 32, cps)
                 starts, ends = runs(~separators(cps), docs)
+                if len(starts) < LENGTH:
+                    continue
                 word = _mix(span_hashes(low, starts, ends))
                 doc = np.searchsorted(docs, starts, "right") - 1
                 at = anchors(word)
                 at = at[at + LENGTH <= len(word)]
                 at = at[doc[at] == doc[at + LENGTH - 1]]
-                if not len(at):
-                    continue
-                full = np.zeros(len(at), np.uint64)
-                for k in range(LENGTH):
-                    full = (full + word[at + k]) * GOLDEN
-                full = _mix(full)
+                up, down = _powers(len(word) + 1)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * up[: len(word)], dtype=np.uint64)])
                 n = len(word) - SHINGLE + 1
-                five = np.zeros(n, np.uint64)
+                five = np.zeros(n + 1, np.uint64)  # one more, so that a paragraph may end the part
                 for k in range(SHINGLE):
-                    five = (five + word[k : k + n]) * GOLDEN
+                    five[:n] = (five[:n] + word[k : k + n]) * GOLDEN
                 five = _mix(five)
-                keys = np.zeros((len(at), BANDS), np.uint64)
-                for k in range(BANDS * ROWS):
-                    least = _slide(five * a[k] + b[k], LENGTH - SHINGLE + 1, np.minimum)
-                    keys[:, k % BANDS] = _mix(keys[:, k % BANDS] * GOLDEN + least[at])
-                keys = _mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 first = np.searchsorted(doc, np.arange(j - i))
-                own = doc[at]
-                columns = [
-                    pa.array(ids[i:j][own], pa.int64()), pa.array((at - first[own]).astype(np.int32)), pa.array((starts[at] - docs[own]).astype(np.int32)),
-                    pa.array((ends[at + LENGTH - 1] - docs[own]).astype(np.int32)), pa.array(full.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1))),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                for kind, (s, e) in enumerate([(at, at + LENGTH), *paragraphs(cps, docs, starts)]):
+                    if not len(s):
+                        continue
+                    full = _mix((sums[e] - sums[s]) * down[s] + _mix(e - s))
+                    if kind:
+                        bounds = np.column_stack([s, e - SHINGLE + 1]).reshape(-1)
+                        keys = np.zeros((len(s), BANDS), np.uint64)
+                        for k in range(BANDS * ROWS):
+                            keys[:, k % BANDS] = _mix(keys[:, k % BANDS] * GOLDEN + np.minimum.reduceat(five * a[k] + b[k], bounds)[::2])
+                        keys = _mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
+                    else:
+                        lists = pa.nulls(len(s), pa.list_(pa.int64()))
+                    own = doc[s]
+                    columns = [
+                        pa.array(ids[i:j][own], pa.int64()), pa.array((s - first[own]).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array((starts[s] - docs[own]).astype(np.int32)),
+                        pa.array((ends[e - 1] - docs[own]).astype(np.int32)), pa.array(full.view(np.int64)), lists,
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
@@ -127,53 +157,61 @@ def _jaccard(percent: int):
     return run
 
 
+def similar_paragraphs(units: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """``node, component`` of different paragraphs that are similar: each is compared with two of its bucket."""
+    entry = units.where("keys IS NOT NULL").select(F.explode("keys").alias("bucket"), "full").distinct()
+    buckets = entry.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = scratch.stage(entry.join(buckets.hint("merge"), "bucket"), "shared")
+    wanted = shared.select("full").distinct()
+    places = units.where("keys IS NOT NULL").groupBy("full").agg(F.min(F.struct("doc_id", "start", "end")).alias("p")).join(wanted.hint("merge"), "full").select("full", "p.doc_id", "p.start", "p.end")
+    read = texts.join(places.hint("merge"), "doc_id").select("doc_id", "full", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("words"))
+    read = scratch.stage(read.dropDuplicates(["full"]).drop("doc_id"), "read")
+
+    ends = shared.groupBy("bucket").agg(F.min("full").alias("low"), F.max("full").alias("high"))
+    ends = shared.join(ends, "bucket").select("full", F.explode(F.array("low", "high")).alias("other")).where("full <> other")
+    pairs = ends.select(F.least("full", "other").alias("u"), F.greatest("full", "other").alias("v")).distinct()
+    side = lambda c: read.select(F.col("full").alias(c), F.col("words").alias(f"t{c}"))
+    similar = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "tu", "tv").mapInArrow(_jaccard(percent), "u long, v long")
+
+    found = components(similar, scratch, "near")
+    scratch.drop("read")
+    scratch.drop("shared")
+    return found
+
+
 def repeated_passages(docs: DataFrame, percent: int = 80, seed: int = 11) -> DataFrame:
     """Per passage of a document that another document also holds: doc_id, start and end (code points), n_words,
-    component_id and removed (false for the first occurrence)."""
+    component_id (the least) and removed (false for the first occurrence)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", text_of().alias("text"))
     units = scratch.stage(texts.mapInArrow(_units(seed), UNITS), "units")
-
-    # buckets that hold different paragraphs
-    entry = units.select(F.explode("keys").alias("bucket"), "full")
-    buckets = entry.groupBy("bucket").agg(F.min("full").alias("low"), F.max("full").alias("high")).where("low <> high")
-    buckets = scratch.stage(buckets, "buckets")
-    ends = entry.join(buckets.hint("merge"), "bucket").select("full", F.explode(F.array("low", "high")).alias("other")).where("full <> other")
-    pairs = scratch.stage(ends.select(F.least("full", "other").alias("u"), F.greatest("full", "other").alias("v")).distinct(), "pairs")
-    scratch.drop("buckets")
-    places_of = scratch.stage(units.drop("keys"), "places")  # the keys are not read again, and are most of the table
+    found = similar_paragraphs(units, texts, scratch, percent)
+
+    # clusters in two documents or more; windows are their own clusters, and most of the table
+    windows = units.where("keys IS NULL").select("doc_id", "pos", "n", "start", "end", F.col("full").alias("component"), F.lit(True).alias("window"))
+    lines = units.where("keys IS NOT NULL").join(found, F.col("full") == F.col("node"), "left").select("doc_id", "pos", "n", "start", "end", F.coalesce("component", "full").alias("component"), F.lit(False).alias("window"))
+    marked = []
+    for name, part in (("windows", windows), ("lines", lines)):
+        clusters = part.groupBy("component").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc")
+        clusters = scratch.stage(clusters.drop("last_doc"), f"{name}_clusters")
+        marked.append(scratch.stage(part.join(clusters, "component").withColumn("removed", F.col("doc_id") > F.col("first_doc")), f"{name}_marked"))
+        scratch.drop(f"{name}_clusters")
     scratch.drop("units")
-    units = places_of
 
-    # exact verification on the paragraphs' words, read from one occurrence of each
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("full")).distinct()
-    places = units.groupBy("full").agg(F.min(F.struct("doc_id", "start", "end")).alias("p")).join(wanted.hint("merge"), "full")
-    places = places.select("full", "p.doc_id", "p.start", "p.end")
-    read = texts.join(places.hint("merge"), "doc_id").select("doc_id", "full", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("words"))
-    read = scratch.stage(read.dropDuplicates(["doc_id", "full"]).drop("doc_id"), "read")
-    side = lambda c: read.select(F.col("full").alias(c), F.col("words").alias(f"t{c}"))
-    similar = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "tu", "tv").mapInArrow(_jaccard(percent), "u long, v long")
-    found = components(similar, scratch, "near")
-    scratch.drop("read")
-    scratch.drop("pairs")
-
-    # clusters in two documents or more
-    named = units.select("doc_id", "pos", "start", "end", "full").join(found, F.col("full") == F.col("node"), "left").select("doc_id", "pos", "start", "end", F.coalesce("component", "full").alias("component"))
-    clusters = named.groupBy("component").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc")
-    clusters = scratch.stage(clusters, "clusters")
-    marked = named.join(clusters.select("component", "first_doc"), "component")
-
-    # overlapping and adjacent paragraphs of a document become one passage
-    order = Window.partitionBy("doc_id").orderBy("pos", "component")
-    before = F.max(F.col("pos") + LENGTH).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = marked.withColumn("new", F.when(F.col("pos") <= before, 0).otherwise(1))
+    # overlapping and adjacent units of a document become one passage
+    key = ["doc_id"]
+    order = Window.partitionBy(*key).orderBy("pos", "n", "component")
+    before = F.max(F.col("pos") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = marked[0].unionByName(marked[1]).withColumn("new", F.when(F.col("pos") <= before, 0).otherwise(1))
     numbered = apart.withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = numbered.groupBy("doc_id", "passage").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("pos") + LENGTH - F.min("pos")).cast("long").alias("n_words"),
-        F.min("component").alias("component_id"), F.max(F.col("doc_id") > F.col("first_doc")).alias("removed"),
+    merged = numbered.groupBy(*key, "passage").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("n")).alias("to"),
+        F.min("component").alias("component_id"), F.max("removed").alias("removed"),
+    )
+    return merged.select(
+        "doc_id", "start", "end", (F.col("to") - F.col("pos")).cast("long").alias("n_words"), "component_id", "removed",
     )
-    return merged.select("doc_id", "start", "end", "n_words", "component_id", "removed")
 
 
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

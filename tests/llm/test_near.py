@@ -124,3 +124,29 @@ def test_any_passage_of_fifty_words_holds_a_paragraph():
         words = np.concatenate([rng.integers(0, 1 << 62, k % 37).astype(np.uint64), passage, rng.integers(0, 1 << 62, k % 29).astype(np.uint64)])
         at = passages.anchors(words) - k % 37
         assert ((at >= 0) & (at + passages.LENGTH <= 50)).any()
+
+
+def passage_rows(spark, rows):
+    docs = ship(spark).createDataFrame(rows, "doc_id long, text string")
+    return passages.repeated_passages(docs).collect()
+
+
+def fresh(seed):
+    rng = random.Random(seed)
+    return rng, lambda n: ["".join(rng.choice("abcdefghijkl") for _ in range(7)) for _ in range(n)]
+
+
+def test_edited_paragraphs_and_short_exact_passages_are_found(spark):
+    """Lines of 60 words with a changed word in the middle, and passages of 30 words inside lines, 60 pairs each."""
+    rng, words = fresh(4)
+    rows, edited = [], set()
+    for k in range(60):
+        line = words(60)
+        near = line[:30] + words(1) + line[31:]
+        rows += [(4 * k, "\n".join([" ".join(words(25)), " ".join(line)])), (4 * k + 1, "\n".join([" ".join(near), " ".join(words(25))]))]
+        edited.add((4 * k + 1, 0, len(" ".join(near))))
+        shared = words(30)
+        rows += [(4 * k + 2, " ".join(words(rng.randint(0, 40)) + shared + words(40))), (4 * k + 3, " ".join(words(rng.randint(0, 40)) + shared + words(40)))]
+    got = passage_rows(spark, rows)
+    assert {r.doc_id for r in got if r.removed} == {d for k in range(60) for d in (4 * k + 1, 4 * k + 3)}
+    assert edited <= {(r.doc_id, r.start, r.end) for r in got}
