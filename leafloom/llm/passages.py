@@ -4,8 +4,9 @@ Two kinds of units are compared:
 
 * paragraphs: each line of 20 words or more, and each block of two lines or more without a blank line between them.  Their
   minima of universal hashes over five-word shingles are banded in eight bands of two (a pair of Jaccard similarity 0.8
-  meets with probability 0.9997).  Paragraphs are compared with the
-  smallest and the largest of their bucket by exact Jaccard similarity; connected components are the clusters;
+  meets with probability 0.9997).  All different paragraphs that share a bucket are verified by exact Jaccard similarity
+  on their full shingle sets: pairs in small buckets, blocks of bounded size (all pairs of blocks are separate groups) in
+  large ones; connected components are the clusters;
 * windows of 20 words that begin at an anchor, for passages that are part of a line or cross lines.  Anchors are chosen by
   content (the smallest hash of three words in any 10 consecutive places), so every document that holds a passage of 29
   words cuts the same windows out of it.  Windows with the same words are a cluster.
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 
 from leafloom.llm._common import Scratch, arrow_schema, documents, text_of
 from leafloom.llm.components import components
-from leafloom.llm.near_dedup import GOLDEN, shingles
+from leafloom.llm.near_dedup import GOLDEN, forest, shingles
 from leafloom.llm.pretoken import _mix, _powers, in_parts
 from leafloom.llm.textscan import codepoints, runs, separators, span_hashes
 
 LENGTH, GAP, SHINGLE = 20, 10, 5
 BANDS, ROWS = 8, 2
+SMALL_BUCKET, BLOCK = 16, 256
 PART = 500_000
 UNITS = "doc_id long, pos int, n int, start int, end int, full long, keys array<long>"
 
@@ -158,7 +160,7 @@ def _jaccard(percent: int):
 
 
 def similar_paragraphs(units: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """``node, component`` of different paragraphs that are similar: each is compared with two of its bucket."""
+    """``node, component`` of different paragraphs that are similar: every pair that shares a bucket is verified."""
     entry = units.where("keys IS NOT NULL").select(F.explode("keys").alias("bucket"), "full").distinct()
     buckets = entry.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = scratch.stage(entry.join(buckets.hint("merge"), "bucket"), "shared")
@@ -167,13 +169,27 @@ def similar_paragraphs(units: DataFrame, texts: DataFrame, scratch: Scratch, per
     read = texts.join(places.hint("merge"), "doc_id").select("doc_id", "full", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("words"))
     read = scratch.stage(read.dropDuplicates(["full"]).drop("doc_id"), "read")
 
-    ends = shared.groupBy("bucket").agg(F.min("full").alias("low"), F.max("full").alias("high"))
-    ends = shared.join(ends, "bucket").select("full", F.explode(F.array("low", "high")).alias("other")).where("full <> other")
-    pairs = ends.select(F.least("full", "other").alias("u"), F.greatest("full", "other").alias("v")).distinct()
+    small = shared.where(F.col("n") <= SMALL_BUCKET)
+    pairs = small.select("bucket", F.col("full").alias("u")).join(small.select("bucket", F.col("full").alias("v")), "bucket").where("u < v").select("u", "v").distinct()
     side = lambda c: read.select(F.col("full").alias(c), F.col("words").alias(f"t{c}"))
     similar = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "tu", "tv").mapInArrow(_jaccard(percent), "u long, v long")
 
-    found = components(similar, scratch, "near")
+    # large buckets: each pair of blocks is a group
+    k = F.ceil(F.col("n") / BLOCK).cast("int")
+    member = shared.where(F.col("n") > SMALL_BUCKET).select("bucket", "full", k.alias("k"), F.pmod(F.xxhash64("full"), k).cast("int").alias("own"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
+    grouped = member.join(read, "full").select("bucket", "full", "words", "own", other).select("bucket", "full", "words", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def confirm(table):
+        import pyarrow as pa
+
+        ids = table["full"].to_pylist()
+        items, at = shingles(table["words"].to_pylist(), SHINGLE)
+        edges = forest([items[at[x] : at[x + 1]] for x in range(len(ids))], percent)
+        return pa.table({"u": pa.array([ids[x] for x, _ in edges], pa.int64()), "v": pa.array([ids[y] for _, y in edges], pa.int64())})
+
+    blocks = grouped.groupBy("bucket", "i", "j").applyInArrow(confirm, "u long, v long")
+    found = components(similar.unionByName(blocks), scratch, "near")
     scratch.drop("read")
     scratch.drop("shared")
     return found

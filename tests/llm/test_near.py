@@ -150,3 +150,16 @@ def test_edited_paragraphs_and_short_exact_passages_are_found(spark):
     got = passage_rows(spark, rows)
     assert {r.doc_id for r in got if r.removed} == {d for k in range(60) for d in (4 * k + 1, 4 * k + 3)}
     assert edited <= {(r.doc_id, r.start, r.end) for r in got}
+
+
+def test_similar_paragraphs_of_a_full_bucket_are_all_compared(spark, monkeypatch):
+    """Families of two lines that share a frequent opening; blocks of four paragraphs."""
+    monkeypatch.setattr(passages, "BLOCK", 4, raising=False)
+    _, words = fresh(5)
+    opening, rows = words(17), []
+    for k in range(300):
+        line = words(8)
+        rows += [(2 * k, " ".join(opening + line)), (2 * k + 1, " ".join(opening + line[:-1] + words(1)))]
+    got = passage_rows(spark, rows)
+    whole = {(r.doc_id, r.component_id) for r in got if r.end == len(rows[r.doc_id][1]) and r.start == 0}
+    assert len({d for d, _ in whole if d % 2}) == 300
