@@ -12,7 +12,7 @@ Two kinds of units are compared:
   words cuts the same windows out of it.  Windows with the same words are a cluster.
 
 Words are compared in lower case (A-Z).  Clusters found in two documents or more give the passages; the first occurrence
-stays, all others are marked for removal.  Overlapping and adjacent units of a document are merged.
+stays, all others are marked for removal.  Overlapping and adjacent units of a document that have the same mark are merged.
 
 Defined results: null texts and texts of fewer than 20 words have no paragraphs; rows that share a doc_id are one
 document; rows without doc_id are left out; repeats inside one document only are not reported; an empty table gives no
@@ -197,7 +197,7 @@ def similar_paragraphs(units: DataFrame, texts: DataFrame, scratch: Scratch, per
 
 def repeated_passages(docs: DataFrame, percent: int = 80, seed: int = 11) -> DataFrame:
     """Per passage of a document that another document also holds: doc_id, start and end (code points), n_words,
-    component_id (the least) and removed (false for the first occurrence)."""
+    component_id (the least), removed (false for the first occurrence) and component_ids (all clusters of the passage)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", text_of().alias("text"))
@@ -215,18 +215,18 @@ def repeated_passages(docs: DataFrame, percent: int = 80, seed: int = 11) -> Dat
         scratch.drop(f"{name}_clusters")
     scratch.drop("units")
 
-    # overlapping and adjacent units of a document become one passage
-    key = ["doc_id"]
+    # overlapping and adjacent units of a document with the same mark become one passage
+    key = ["doc_id", "removed"]
     order = Window.partitionBy(*key).orderBy("pos", "n", "component")
     before = F.max(F.col("pos") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = marked[0].unionByName(marked[1]).withColumn("new", F.when(F.col("pos") <= before, 0).otherwise(1))
     numbered = apart.withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = numbered.groupBy(*key, "passage").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("n")).alias("to"),
-        F.min("component").alias("component_id"), F.max("removed").alias("removed"),
+        F.sort_array(F.collect_set("component")).alias("component_ids"),
     )
     return merged.select(
-        "doc_id", "start", "end", (F.col("to") - F.col("pos")).cast("long").alias("n_words"), "component_id", "removed",
+        "doc_id", "start", "end", (F.col("to") - F.col("pos")).cast("long").alias("n_words"), F.col("component_ids")[0].alias("component_id"), "removed", "component_ids",
     )
 
 

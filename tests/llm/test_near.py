@@ -163,3 +163,16 @@ def test_similar_paragraphs_of_a_full_bucket_are_all_compared(spark, monkeypatch
     got = passage_rows(spark, rows)
     whole = {(r.doc_id, r.component_id) for r in got if r.end == len(rows[r.doc_id][1]) and r.start == 0}
     assert len({d for d, _ in whole if d % 2}) == 300
+
+
+def test_a_passage_inside_copies_keeps_its_text_and_links(spark):
+    """Document 1 holds Q; 2 and 3 are copies of a text around Q: what is first in 2 stays there."""
+    _, words = fresh(6)
+    q, left, right = words(40), words(60), words(60)
+    rows = [(1, " ".join(words(30) + q + words(30))), (2, " ".join(left + q + right)), (3, " ".join(left + q + right))]
+    got = passage_rows(spark, rows)
+    texts = dict(rows)
+    taken = {d: [texts[d][r.start : r.end].split() for r in got if r.doc_id == d and r.removed] for d in (1, 2, 3)}
+    assert taken == {1: [], 2: [q], 3: [left + q + right]}
+    mine = {d: set().union(*(r.component_ids for r in got if r.doc_id == d)) for d in (1, 2, 3)}
+    assert mine[1] and mine[1] < mine[2] and mine[2] == mine[3]
