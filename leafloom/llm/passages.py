@@ -12,7 +12,8 @@ Two kinds of units are compared:
   words cuts the same windows out of it.  Windows with the same words are a cluster.
 
 Words are compared in lower case (A-Z).  Clusters found in two documents or more give the passages; the first occurrence
-stays, all others are marked for removal.  Overlapping and adjacent units of a document that have the same mark are merged.
+stays, all others are marked for removal.  Overlapping and adjacent units of a document that have the same mark are merged,
+and where a merged passage ends in a window it is extended as far as the words equal those of the first occurrence.
 
 Defined results: null texts and texts of fewer than 20 words have no paragraphs; rows that share a doc_id are one
 document; rows without doc_id are left out; repeats inside one document only are not reported; an empty table gives no
@@ -21,6 +22,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,8 @@ BANDS, ROWS = 8, 2
 SMALL_BUCKET, BLOCK = 16, 256
 PART = 500_000
 UNITS = "doc_id long, pos int, n int, start int, end int, full long, keys array<long>"
+WORD = re.compile("[^\t-\r ]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -146,13 +150,15 @@ def _jaccard(percent: int):
         import pyarrow as pa
 
         for batch in batches:
-            x, at = shingles(batch.column(2).to_pylist(), SHINGLE)
-            y, to = shingles(batch.column(3).to_pylist(), SHINGLE)
+            tu, tv = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = np.zeros(batch.num_rows, bool)
-            for k in range(batch.num_rows):
-                p, q = x[at[k] : at[k + 1]], y[to[k] : to[k + 1]]
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep[k] = 100 * common >= percent * (len(p) + len(q) - common)
+            for i, j in in_parts([max(p, q, key=len) for p, q in zip(tu, tv, strict=True)], PART):
+                x, at = shingles(tu[i:j], SHINGLE)
+                y, to = shingles(tv[i:j], SHINGLE)
+                for k in range(j - i):
+                    p, q = x[at[k] : at[k + 1]], y[to[k] : to[k + 1]]
+                    common = len(np.intersect1d(p, q, assume_unique=True))
+                    keep[i + k] = 100 * common >= percent * (len(p) + len(q) - common)
             keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
@@ -195,6 +201,91 @@ def similar_paragraphs(units: DataFrame, texts: DataFrame, scratch: Scratch, per
     return found
 
 
+def around(text: str, start: int, end: int) -> tuple[str, str, str]:
+    """Of a span its words, those before it (the nearest first) and those behind it, GAP at most, each with its border
+    (start or end) as ``word border``."""
+    before, size = [], 200
+    while True:  # a chunk's first word may be cut
+        begin = max(0, start - size)
+        before = [(m[0], begin + m.start()) for m in WORD.finditer(text[begin:start])][::-1]
+        if begin == 0 or len(before) > GAP:
+            break
+        size *= 4
+    behind = []
+    for m in WORD.finditer(text, end):
+        behind.append((m[0], m.end()))
+        if len(behind) == GAP:
+            break
+    return " ".join(WORD.findall(text[start:end])).translate(LOW), *("\n".join(f"{w.translate(LOW)} {at}" for w, at in x[:GAP]) for x in (before, behind))
+
+
+AROUND = "component long, doc_id long, pos int, words string, before string, behind string"
+
+
+def _around():
+    schema = arrow_schema(AROUND)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, texts, asked = (batch.column(k).to_pylist() for k in range(3))
+            rows = [(x["component"], d, x["pos"], *around(t, x["start"], x["end"])) for d, t, xs in zip(ids, texts, asked, strict=True) for x in xs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema, strict=True)], schema=schema)
+
+    return run
+
+
+EXTENDED = "doc_id long, pos int, left int, n_left int, right int, n_right int, first_doc long, first_pos int, first_left int, first_right int"
+
+
+def _common(x: str, y: str) -> tuple[int, int | None, int | None]:
+    """How many of the words are the same from the first on, and the border of the last such word on either side."""
+    n, a, b = 0, None, None
+    for p, q in zip(x.split("\n") if x else [], y.split("\n") if y else [], strict=False):
+        (v, s), (w, t) = p.rsplit(" ", 1), q.rsplit(" ", 1)
+        if v != w:
+            break
+        n, a, b = n + 1, int(s), int(t)
+    return n, a, b
+
+
+def _extended():
+    """How far the words around a window equal those around the first occurrence (null where none does)."""
+    schema = arrow_schema(EXTENDED)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for doc, pos, first_doc, first_pos, before, behind, first_before, first_behind in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                (n, left, other), (m, right, far) = _common(before, first_before), _common(behind, first_behind)
+                rows.append((doc, pos, left, n, right, m, first_doc, first_pos, other, far))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 10, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def extensions(ends: DataFrame, firsts: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of windows that begin or end a repeat (doc_id, pos, start, end, component) how far each reaches beyond its border."""
+    asked = ends.select("component", "doc_id", "pos", "start", "end").unionByName(firsts.select("component", "doc_id", "pos", "start", "end")).distinct()
+    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("component", "pos", "start", "end")).alias("asked"))
+    read = scratch.stage(texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "asked").mapInArrow(_around(), AROUND), "around")
+    own = ends.select("component", "doc_id", "pos").join(read, ["component", "doc_id", "pos"])
+    first = firsts.select("component", F.col("doc_id").alias("first_doc"), F.col("pos").alias("first_pos")).join(
+        read.select("component", F.col("doc_id").alias("first_doc"), F.col("pos").alias("first_pos"), F.col("words").alias("first_words"), F.col("before").alias("first_before"), F.col("behind").alias("first_behind")),
+        ["component", "first_doc", "first_pos"],
+    )
+    both = own.join(first, "component").where("words = first_words").select("doc_id", "pos", "first_doc", "first_pos", "before", "behind", "first_before", "first_behind")
+    done = scratch.stage(both.mapInArrow(_extended(), EXTENDED), "extended")
+    scratch.drop("around")
+    reach = [F.min("left").alias("left"), F.max("n_left").alias("n_left"), F.max("right").alias("right"), F.max("n_right").alias("n_right")]
+    mine = done.select("doc_id", "pos", F.lit(True).alias("removed"), "left", "n_left", "right", "n_right")
+    theirs = done.select(F.col("first_doc").alias("doc_id"), F.col("first_pos").alias("pos"), F.lit(False).alias("removed"), F.col("first_left").alias("left"), "n_left", F.col("first_right").alias("right"), "n_right")
+    return mine.unionByName(theirs).groupBy("doc_id", "pos", "removed").agg(*reach)
+
+
 def repeated_passages(docs: DataFrame, percent: int = 80, seed: int = 11) -> DataFrame:
     """Per passage of a document that another document also holds: doc_id, start and end (code points), n_words,
     component_id (the least), removed (false for the first occurrence) and component_ids (all clusters of the passage)."""
@@ -221,12 +312,29 @@ def repeated_passages(docs: DataFrame, percent: int = 80, seed: int = 11) -> Dat
     before = F.max(F.col("pos") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = marked[0].unionByName(marked[1]).withColumn("new", F.when(F.col("pos") <= before, 0).otherwise(1))
     numbered = apart.withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    unit = F.struct("pos", F.when(F.col("window"), F.col("start")).alias("start"), F.when(F.col("window"), F.col("end")).alias("end"), "component")
+    last = F.struct(F.col("pos") + F.col("n"), F.col("window"), unit.alias("unit"))
     merged = numbered.groupBy(*key, "passage").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("n")).alias("to"),
         F.sort_array(F.collect_set("component")).alias("component_ids"),
+        F.min(F.struct("pos", ~F.col("window"), unit.alias("unit")))["unit"].alias("head"), F.max(last)["unit"].alias("tail"),
     )
+    merged = scratch.stage(merged, "merged")
+
+    # the windows at either end reach as far as the first occurrence's words are the same
+    ends = merged.where("removed").select("doc_id", F.explode(F.array("head", "tail")).alias("u")).where("u.start IS NOT NULL").select("doc_id", "u.component", "u.pos", "u.start", "u.end").distinct()
+    ends = scratch.stage(ends, "ends")
+    firsts = marked[0].where("NOT removed").join(ends.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min(F.struct("doc_id", "pos", "start", "end")).alias("f"))
+    firsts = scratch.stage(firsts.select("component", "f.*"), "firsts")
+    reach = scratch.stage(extensions(ends, firsts, texts, scratch), "reach")
+    for side, at in (("h", "head"), ("t", "tail")):
+        names = {c: f"{side}_{c}" for c in ("left", "n_left", "right", "n_right")}
+        own = reach.select("doc_id", F.col("removed"), F.col("pos").alias(f"{side}_pos"), *[F.col(c).alias(x) for c, x in names.items()])
+        merged = merged.withColumn(f"{side}_pos", F.when(F.col(f"{at}.start").isNotNull(), F.col(f"{at}.pos"))).join(own, ["doc_id", "removed", f"{side}_pos"], "left")
+    n_words = F.col("to") - F.col("pos") + F.coalesce("h_n_left", F.lit(0)) + F.coalesce("t_n_right", F.lit(0))
     return merged.select(
-        "doc_id", "start", "end", (F.col("to") - F.col("pos")).cast("long").alias("n_words"), F.col("component_ids")[0].alias("component_id"), "removed", "component_ids",
+        "doc_id", F.least("start", "h_left").alias("start"), F.greatest("end", "t_right").alias("end"), n_words.cast("long").alias("n_words"),
+        F.col("component_ids")[0].alias("component_id"), "removed", "component_ids",
     )
 
 

@@ -176,3 +176,18 @@ def test_a_passage_inside_copies_keeps_its_text_and_links(spark):
     assert taken == {1: [], 2: [q], 3: [left + q + right]}
     mine = {d: set().union(*(r.component_ids for r in got if r.doc_id == d)) for d in (1, 2, 3)}
     assert mine[1] and mine[1] < mine[2] and mine[2] == mine[3]
+
+
+def test_the_whole_repeated_passage_is_reported(spark):
+    rng, words = fresh(7)
+    rows, want = [], {}
+    for k in range(40):
+        passage = words(rng.choice([30, 50, 60, 120]))
+        for d in (2 * k, 2 * k + 1):
+            a, b = words(rng.randint(0, 45)), words(rng.randint(0, 45))
+            sep = rng.choice([" ", "\n", "  "])
+            want[d] = sep.join(passage)
+            rows.append((d, " ".join(a + [want[d]] + b)))
+    got = passage_rows(spark, rows)
+    assert {r.doc_id: dict(rows)[r.doc_id][r.start : r.end] for r in got} == want and len(got) == 80
+    assert all(r.n_words == len(want[r.doc_id].split()) for r in got)
