@@ -1,7 +1,8 @@
 """Operator 3: benchmark decontamination by template windows, in SQL functions only.
 
-Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders, so a question
-with other values has the same template.  Windows of five template words of all documents are hash-joined with those of
+Numbers, units after numbers and names (capitalised words, wherever they stand) become typed placeholders, so a question
+with other values has the same template.  Windows of the plain words in lower case are compared too, so a copy is found in
+any case and wrapping.  Windows of five template words of all documents are hash-joined with those of
 the benchmark items.  A document in which at least 80 % of an item's distinct windows occur is compared slot by slot:
 the item's values must map to the document's values consistently (one value to one value) for a re-parameterised
 question; where all values are equal it is a copy.
@@ -44,35 +45,49 @@ def raw_words(text: Column) -> Column:
     return _words(F.lower(F.regexp_replace(_spaced(text), r"(?<=[0-9])[.,](?=[0-9])", "")))
 
 
-def template_words(text: Column) -> Column:
+def template_words(text: Column, inside: bool = False) -> Column:
+    """Words with placeholders; ``inside``: without names that begin a sentence or a quotation."""
     digits = text.rlike("[0-9]")
     out = _spaced(text)
-    out = F.regexp_replace(out, r"(?<=[\p{L}0-9,;:] )\p{Lu}\p{L}*", NAME_SLOT.replace("2", ""))
+    out = F.regexp_replace(out, r"(?<=[\p{L}0-9,;:] )\p{Lu}\p{L}*" if inside else r"(?<![\p{L}\p{M}0-9])\p{Lu}\p{L}*", NAME_SLOT.replace("2", ""))
     numbers = F.regexp_replace(F.regexp_replace(out, r"[0-9]+(?:[.,][0-9]+)*", NUMBER_SLOT), rf"(?<=(?<![^\s])0[ ])(?i:{'|'.join(UNITS)})(?![\p{{L}}0-9])", UNIT_SLOT)
     out = F.when(digits, numbers).otherwise(out)
     return _words(F.translate(F.lower(out), "", "2"))
 
 
-def windows(words: Column) -> Column:
+def windows(words: Column, plain: Column | None = None) -> Column:
     """Hashes of the windows of a list of words (a plain column: it is read for every place), in order."""
     at = F.sequence(F.lit(0), F.size(words) - WINDOW)
-    return F.when(F.size(words) >= WINDOW, F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<long>"))
+    kind = [] if plain is None else [plain]
+    return F.when(F.size(words) >= WINDOW, F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)], *kind))).otherwise(F.array().cast("array<long>"))
+
+
+def template_windows(words: Column) -> Column:
+    """Those of an item that hold a word beside placeholders."""
+    slot = lambda w: w.isin(NUMBER_SLOT, UNIT_SLOT, NAME_SLOT)
+    every = F.transform(windows(words), lambda w, i: F.when(~F.forall(F.slice(words, i + 1, WINDOW), slot), w))
+    return F.filter(every, lambda w: w.isNotNull())
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Distinct windows of each item with their number."""
-    words = benchmark.where("item_id IS NOT NULL").select("item_id", template_words(text_of()).alias("words"))
-    return words.select("item_id", F.array_distinct(windows(F.col("words"))).alias("own")).select("item_id", F.size("own").alias("n_windows"), F.explode("own").alias("window"))
+    """Distinct windows of each item with their number: of its template and, ``plain``, of its words."""
+    words = benchmark.where("item_id IS NOT NULL").select("item_id", template_words(text_of()).alias("words"), raw_words(text_of()).alias("raw"))
+    own = [F.struct(F.lit(False).alias("plain"), F.array_distinct(template_windows(F.col("words"))).alias("own")), F.struct(F.lit(True).alias("plain"), F.array_distinct(windows(F.col("raw"), F.lit(True))).alias("own"))]
+    kinds = words.select("item_id", F.explode(F.array(*own)).alias("k")).select("item_id", "k.plain", "k.own")
+    return kinds.select("item_id", "plain", F.size("own").alias("n_windows"), F.explode("own").alias("window"))
 
 
 def covered(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, item_id, coverage`` of pairs that share enough windows."""
+    """``doc_id, item_id, plain, coverage`` of pairs that share enough windows, by the words themselves where these do."""
     if items.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         items = F.broadcast(items)  # size checked above
-    own = docs.select("doc_id", template_words(text_of()).alias("words")).select("doc_id", F.explode(F.array_distinct(windows(F.col("words")))).alias("window"))
-    shared = own.join(items, "window").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.first("n_windows").alias("n_windows"))
+    words = docs.select("doc_id", template_words(text_of()).alias("words"), raw_words(text_of()).alias("raw"))
+    both = F.array_distinct(F.concat(windows(F.col("words")), windows(F.col("raw"), F.lit(True))))
+    own = words.select("doc_id", F.explode(both).alias("window"))
+    shared = own.join(items, "window").groupBy("doc_id", "item_id", "plain").agg(F.count(F.lit(1)).alias("n"), F.first("n_windows").alias("n_windows"))
     coverage = F.least(F.col("n") / F.col("n_windows"), F.lit(1.0))
-    return shared.select("doc_id", "item_id", coverage.alias("coverage")).where(F.col("coverage") >= LEAST_COVERAGE)
+    enough = shared.select("doc_id", "item_id", "plain", coverage.alias("coverage")).where(F.col("coverage") >= LEAST_COVERAGE)
+    return enough.groupBy("doc_id", "item_id").agg(F.max("plain").alias("plain"), F.max("coverage").alias("coverage"))
 
 
 def slots(pairs: DataFrame) -> DataFrame:
@@ -81,19 +96,22 @@ def slots(pairs: DataFrame) -> DataFrame:
     The shift between the two word lists is the most frequent one over the item's windows.
     """
     rows = pairs.select(
-        "*", template_words(F.col("item_text")).alias("it"), raw_words(F.col("item_text")).alias("ir"), template_words(F.col("doc_text")).alias("dt"), raw_words(F.col("doc_text")).alias("dr")
+        "*", template_words(F.col("item_text")).alias("it"), raw_words(F.col("item_text")).alias("ir"), template_words(F.col("doc_text")).alias("dt"), raw_words(F.col("doc_text")).alias("dr"), template_words(F.col("item_text"), inside=True).alias("inner")
     )
-    rows = rows.select("*", windows(F.col("it")).alias("iw"), windows(F.col("dt")).alias("dw"))
+    rows = rows.select("*", F.when(F.col("plain"), windows(F.col("ir"))).otherwise(windows(F.col("it"))).alias("iw"), F.when(F.col("plain"), windows(F.col("dr"))).otherwise(windows(F.col("dt"))).alias("dw"))
     shift = F.filter(F.transform("iw", lambda w, i: F.when(F.array_contains("dw", w), F.array_position("dw", w).cast("int") - 1 - i)), lambda s: s.isNotNull())
     rows = rows.withColumn("shifts", shift)
     often = F.array_max(F.transform(F.array_distinct("shifts"), lambda s: F.struct(F.size(F.filter("shifts", lambda x: x == s)).alias("n"), s.alias("s"))))["s"]
     rows = rows.withColumn("shift", often)
     is_slot = lambda w: w.isin(NUMBER_SLOT, UNIT_SLOT, NAME_SLOT)
-    at = F.filter(F.transform("it", lambda w, i: F.when(is_slot(w), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("values", F.transform(at, lambda i: F.struct(F.get("ir", i).alias("item"), F.when(F.col("shift") + i >= 0, F.get("dr", F.col("shift") + i)).alias("doc"))))
+    doc = lambda i: F.when(F.col("shift") + i >= 0, F.get("dr", F.col("shift") + i))
+    # a capitalised word that only begins a sentence is a slot where it changed
+    slot = lambda w, i: is_slot(w) & (is_slot(F.get("inner", i)) | ~F.get("ir", i).eqNullSafe(doc(i)))
+    at = F.filter(F.transform("it", lambda w, i: F.when(slot(w, i), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("values", F.transform(at, lambda i: F.struct(F.get("ir", i).alias("item"), doc(i).alias("doc"))))
     same = F.size(F.filter("values", lambda v: ~F.exists("values", lambda w: (w["item"] == v["item"]) & ~w["doc"].eqNullSafe(v["doc"])) & v["doc"].isNotNull()))
     changed = F.size(F.filter("values", lambda v: ~v["item"].eqNullSafe(v["doc"])))
-    return rows.select(*pairs.columns, F.size("values").alias("n_slots"), changed.alias("n_changed"), same.alias("n_consistent"))
+    return rows.select(*[c for c in pairs.columns if c != "plain"], F.size("values").alias("n_slots"), changed.alias("n_changed"), same.alias("n_consistent"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -95,6 +95,18 @@ def test_templates(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_copies_and_templates_in_any_context(spark):
+    sums = "Tom has 5 apples. Jerry has 3 more apples than Tom. How many apples do they have?"
+    people = "The letter that Anna sent to Peter was read by Maria before Otto and the brother of Clara could see it today."
+    city = "What is the capital city of Australia?"
+    docs = spark.createDataFrame(
+        [(1, sums.replace("Tom", "Max").replace("Jerry", "Eve").replace("5", "8")), (2, people.replace(" Peter", "\nPeter").replace(" Maria", "  Maria").replace(" Clara", "\nClara")), (3, people.lower()), (4, "we were asked " + city), (5, "Question: " + city), (6, "The train that left for Rome was late. Nobody could say what happened to it."), (7, "THE NAMES OF ALL THINGS ARE HERE IN CAPITAL LETTERS ONLY")],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(10, sums), (11, people), (12, city), (13, "The Names Of Other Great Old Books")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == {(1, 10), (2, 11), (3, 11), (4, 12), (5, 12)}
+
+
 def test_toxicity_learns_from_document_labels(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
