@@ -24,6 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Sends rows to Python in batches of 1,000 where the session has the default of 10,000: rows are whole texts here."""
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "1000")
+    return ship(spark)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage, survive lost executors and are read by any node.
 
@@ -32,7 +42,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = ship(spark)
+        self.spark = small_batches(spark)
         self.dir = f"{shared_dir(spark)}/leafloom/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
@@ -68,7 +78,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def text_of(column: str = "text"):

@@ -2,17 +2,19 @@
 
 1. Every text gives the minima of many universal hashes over its word shingles, an order-free fingerprint of its whole
    set, and the set's size.  Documents with equal sets form a class; the smallest doc_id represents it.
-2. Minima are banded.  In a small bucket every two representatives are candidates; in a large one each is a candidate
-   with a few centres chosen differently in every band, so a bucket never gives all its pairs.
-3. Candidates are verified on eight bits of each minimum, far below the threshold; connected components of what is left
-   are *clusters* that contain every true link.
-4. In a cluster the links are confirmed exactly on full sets, in blocks of bounded size (all pairs of blocks of a large
-   cluster are separate groups); each group reports a spanning forest of its links, not the links.
+2. Minima are banded.  Each representative is a candidate with the smallest one of every bucket it is in: as many rows
+   as bucket entries, whatever a bucket's size.  Candidates are verified on eight bits of each minimum, far below the
+   threshold, and components of what is left are contracted.
+3. Only buckets that still hold several components are looked at again: all pairs across components, in large buckets
+   in blocks.  So every two representatives that share a bucket are compared or already in one *cluster*.
+4. In a cluster the links are confirmed exactly on full sets: in blocks of bounded size that all hold the cluster's
+   smallest member too.  Large clusters that this leaves in several parts are compared block by block across the parts
+   (blocks of one part are not compared again).  Each block reports a spanning forest of its links, not the links.
 5. Components of the confirmed links, by alternating large-star and small-star, give the result.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; rows that share a doc_id are one
 document; a row without doc_id belongs to the component of its class if that has one, else it stands alone; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; very long texts are one set like others; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from pyspark.sql import functions as F
 
 from leafloom.llm._common import Scratch, arrow_schema, documents, text_of
 from leafloom.llm.components import components
-from leafloom.llm.pretoken import _mix, in_parts
+from leafloom.llm.pretoken import _mix, parts_of
 from leafloom.llm.textscan import codepoints, runs, separators, span_hashes
 
 SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-SMALL_BUCKET, CENTRES, BLOCK = 16, 8, 256
+SMALL_BUCKET, BLOCK = 16, 256
 
 
 def shingles(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +72,9 @@ def _signed(words: int, bands: int, rows: int, seed: int):
         a = rng.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
         b = rng.integers(0, 1 << 63, bands * rows, np.uint64)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for i, j in in_parts(texts):
-                items, at = shingles(texts[i:j], words)
+            ids = batch.column(0)
+            for i, j, texts in parts_of(batch.column(1)):
+                items, at = shingles(texts, words)
                 n = at[1:] - at[:-1]
                 some = np.flatnonzero(n)
                 minima = np.zeros((j - i, bands * rows), np.uint64)
@@ -112,11 +114,27 @@ def _alike(least: float):
     return run
 
 
-def forest(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+def _spanning(n: int, near) -> list[tuple[int, int]]:
+    """A spanning forest of n nodes; ``near(x)`` marks the neighbours of x."""
+    edges, seen = [], np.zeros(n, bool)
+    for root in range(n):
+        if seen[root]:
+            continue
+        seen[root] = True
+        queue = [root]
+        while queue:
+            x = queue.pop()
+            new = np.flatnonzero(near(x) & ~seen)
+            seen[new] = True
+            queue += new.tolist()
+            edges += [(x, int(y)) for y in new]
+    return edges
+
+
+def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links ``100 * intersection >= percent * union`` between sets of distinct hashes.
 
-    ``left``: with it, only links between members on different sides are needed (others are confirmed elsewhere), but all
-    are used.  Intersections come from products of incidence matrices over bounded ranges of the elements.
+    Intersections come from products of incidence matrices over bounded ranges of the elements.
     """
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
@@ -134,54 +152,63 @@ def forest(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None)
     common = common.astype(np.int64)
     linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
     linked &= (size[:, None] > 0) & (size[None, :] > 0)
-    edges, seen = [], np.zeros(n, bool)
-    for root in range(n):
-        if seen[root]:
-            continue
-        seen[root] = True
-        queue = [root]
-        while queue:
-            x = queue.pop()
-            near = np.flatnonzero(linked[x] & ~seen)
-            seen[near] = True
-            queue += near.tolist()
-            edges += [(x, int(y)) for y in near]
-    return edges
+    return _spanning(n, lambda x: linked[x])
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, seed: int = 7) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that can be reached) and kept."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
-    texts = docs.select("doc_id", text_of().alias("text"))
-    signed = scratch.stage(texts.mapInArrow(_signed(words, bands, rows, seed), SIGNED), "signed")
-    filled = signed.where("n_shingles > 0")
-    classes = scratch.stage(filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "classes")
-    reps = scratch.stage(filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "bands", "sketch"), "reps")
-
-    # buckets with two members or more
+def sketch_links(reps: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """``node, component``: representatives (doc_id, bands, sketch) that are linked by sketches, transitively."""
+    least = percent / 100 - 0.19
     entry = reps.select(F.explode("bands").alias("bucket"), "doc_id")
-    masks = [int(x) for x in np.random.default_rng(seed).integers(0, 1 << 62, CENTRES)]
-    found = entry.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.col("doc_id").bitwiseXOR(F.lit(m))).alias(f"c{k}") for k, m in enumerate(masks)]).where("n > 1")
-    centres = F.array(*[F.col(f"c{k}").bitwiseXOR(F.lit(m)) for k, m in enumerate(masks)]).alias("centres")
-    shared = scratch.stage(entry.join(found.select("bucket", "n", centres), "bucket"), "shared")
-    small = shared.where(F.col("n") <= SMALL_BUCKET).select("bucket", "doc_id")
-    pairs = small.select("bucket", F.col("doc_id").alias("u")).join(small.select("bucket", F.col("doc_id").alias("v")), "bucket").where("u < v").select("u", "v")
-    stars = shared.where(F.col("n") > SMALL_BUCKET).select(F.col("doc_id").alias("u"), F.explode("centres").alias("v")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    candidates = pairs.unionByName(stars).distinct()
-    sketch = lambda c: reps.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"))
-    alike = candidates.join(sketch("u"), "u").join(sketch("v"), "v").select("u", "v", "su", "sv").mapInArrow(_alike(percent / 100 - 0.19), "u long, v long")
-    cluster = scratch.stage(components(alike, scratch, "cluster"), "clusters")
-    scratch.drop("shared")
-    scratch.drop("reps")
-
-    # exact confirmation inside clusters
-    sizes = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    member = cluster.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
-    member = member.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
-    text = texts.join(member.hint("merge"), "doc_id")  # one plan at every size: each text moves once
+    found = entry.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("centre")).where("n > 1")
+    shared = scratch.stage(entry.join(found.hint("merge"), "bucket"), "shared")
+    sketch = lambda c: reps.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}")).hint("merge")
+    verified = lambda pairs: pairs.join(sketch("u"), "u").join(sketch("v"), "v").select("u", "v", "su", "sv").mapInArrow(_alike(least), "u long, v long")
+    stars = shared.where("doc_id <> centre").select(F.col("doc_id").alias("u"), F.col("centre").alias("v")).distinct()
+    links = scratch.stage(verified(stars), "stars")
+    near = scratch.stage(components(links, scratch, "star"), "contracted")
+
+    # buckets of several components: pairs across them
+    parts = shared.join(near.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("part"))
+    mixed = parts.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("bucket")
+    opened = scratch.stage(parts.join(mixed.hint("merge"), "bucket"), "opened")
+    small = opened.where(F.col("n") <= SMALL_BUCKET)
+    side = lambda c: small.select("bucket", F.col("doc_id").alias(c), F.col("part").alias(f"p{c}"))
+    pairs = side("u").join(side("v"), "bucket").where("u < v AND pu <> pv").select("u", "v").distinct()
+    large = opened.where(F.col("n") > SMALL_BUCKET)
+    k = F.ceil(F.col("n") / BLOCK).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-    grouped = text.select("doc_id", "text", "component", "own", other).select("doc_id", "text", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    member = large.join(reps.select("doc_id", "sketch").hint("merge"), "doc_id").select("bucket", "doc_id", "part", "sketch", k.alias("k"), F.pmod(F.xxhash64("doc_id"), k).cast("int").alias("own"))
+    grouped = member.select("bucket", "doc_id", "part", "sketch", "own", other).select("bucket", "doc_id", "part", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    blocks = grouped.groupBy("bucket", "i", "j").applyInArrow(_alike_block(least), "u long, v long")
+    more = scratch.stage(verified(pairs).unionByName(blocks), "more")
+    out = near if more.isEmpty() else components(links.unionByName(more), scratch, "cluster")
+    for name in ("shared", "opened"):
+        scratch.drop(name)
+    return out
+
+
+def _alike_block(least: float):
+    """Links across components of a block of a bucket, a spanning forest of them."""
+
+    def run(table):
+        import pyarrow as pa
+
+        ids, parts = (table[c].to_numpy() for c in ("doc_id", "part"))
+        rows = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        edges = _spanning(len(ids), lambda x: ((rows == rows[x]).mean(axis=1) >= least) | (parts == parts[x]))
+        edges = [(x, y) for x, y in edges if parts[x] != parts[y]]
+        return pa.table({"u": pa.array([int(ids[x]) for x, _ in edges], pa.int64()), "v": pa.array([int(ids[y]) for _, y in edges], pa.int64())})
+
+    return run
+
+
+def exact_links(texts: DataFrame, cluster: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """Links on full sets inside clusters (``node, component``), enough to connect what is connected."""
+    sizes = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("own")
+    member = scratch.stage(cluster.join(sizes.hint("merge"), "component").select(F.col("node").alias("doc_id"), "component", "k").select("*", own), "member")
+    hubs = member.where("k > 1 AND doc_id = component").select("doc_id", "component", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("own"), F.col("own").alias("mine")).where("own <> mine")
+    rows = member.select("doc_id", "component", "own").unionByName(hubs.drop("mine"))
 
     def confirm(table):
         import pyarrow as pa
@@ -191,9 +218,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         edges = forest([items[at[k] : at[k + 1]] for k in range(len(ids))], percent)
         return pa.table({"u": pa.array([ids[x] for x, _ in edges], pa.int64()), "v": pa.array([ids[y] for _, y in edges], pa.int64())})
 
-    links = grouped.groupBy("component", "i", "j").applyInArrow(confirm, "u long, v long")
-    final = components(links, scratch, "final")
-    scratch.drop("clusters")
+    placed = texts.join(rows.hint("merge"), "doc_id")  # one plan at every size: each text moves once
+    links = scratch.stage(placed.groupBy("component", "own").applyInArrow(confirm, "u long, v long"), "confirmed")
+
+    # clusters of several blocks that are still in parts
+    part = components(links, scratch, "part")
+    state = member.where("k > 1").join(part.select(F.col("node").alias("doc_id"), F.col("component").alias("part")).hint("merge"), "doc_id", "left").select("doc_id", "component", F.coalesce("part", "doc_id").alias("part"))
+    split = state.groupBy("component").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("component")
+    state = scratch.stage(state.join(split.hint("merge"), "component"), "split")
+    if state.isEmpty():
+        return links
+    part_sizes = state.groupBy("component", "part").agg(F.count(F.lit(1)).alias("m"))
+    loose = part_sizes.where(F.col("m") < BLOCK).groupBy("component").agg(F.sum("m").alias("loose"))
+    own = state.join(part_sizes, ["component", "part"]).join(loose, "component", "left")
+    whole = F.col("m") >= BLOCK  # a part of its own blocks; small parts share blocks
+    number = F.pmod(F.xxhash64(F.when(whole, F.col("doc_id")).otherwise(F.col("part"))), F.ceil(F.when(whole, F.col("m")).otherwise(F.col("loose")) / BLOCK))
+    own = own.select("doc_id", "component", F.when(whole, F.col("part")).alias("whole"), number.alias("number"))
+    own = scratch.stage(own.select("*", F.xxhash64(F.coalesce("whole", F.lit(-1)), "whole", "number").alias("block")), "blocks")
+    blocks = own.groupBy("component").agg(F.collect_set(F.struct("block", "whole")).alias("blocks"))  # one of BLOCK members each
+    pairs = own.join(blocks.hint("merge"), "component").select("doc_id", "component", "block", "whole", F.explode("blocks").alias("b")).where("b.whole IS NULL OR whole IS NULL OR b.whole <> whole")
+    pairs = pairs.select("doc_id", "component", F.least("block", "b.block").alias("i"), F.greatest("block", "b.block").alias("j"))
+    across = texts.join(pairs.hint("merge"), "doc_id").groupBy("component", "i", "j").applyInArrow(confirm, "u long, v long")
+    return links.unionByName(scratch.stage(across, "across"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, seed: int = 7) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that can be reached) and kept."""
+    scratch = Scratch(docs.sparkSession, "near")
+    texts = docs.select("doc_id", text_of().alias("text"))
+    signed = scratch.stage(texts.mapInArrow(_signed(words, bands, rows, seed), SIGNED), "signed")
+    filled = signed.where("n_shingles > 0")
+    classes = scratch.stage(filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "classes")
+    reps = scratch.stage(filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "bands", "sketch"), "reps")
+    cluster = scratch.stage(sketch_links(reps, scratch, percent), "clusters")
+    scratch.drop("reps")
+    final = components(exact_links(texts, cluster, scratch, words, percent), scratch, "final")
+    for name in ("clusters", "member", "blocks", "split"):
+        scratch.drop(name)
     named = classes.join(final, classes.rep == final.node, "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))

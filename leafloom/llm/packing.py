@@ -1,23 +1,27 @@
 """Operator 9: best-fit packing with bounded space.
 
-Each task keeps a fixed number of open sequences.  A bitset keyed by free space finds the open sequence with the least
+A task keeps a fixed number of open sequences.  A bitset keyed by free space finds the open sequence with the least
 free space that still holds a piece; a piece that fits nowhere opens a sequence, and if too many are open the fullest
 closes first.  Documents longer than a sequence are cut; only the first piece is shorter than a whole sequence.
 
+Two passes: tasks pack what they read, then the pieces of the sequences that stayed open are packed together.
+
 Defined results: a null text is empty (one piece: the end id); repeated rows are packed each; an empty table gives no
 rows; other columns are ignored; a null doc_id stays null.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafloom.llm._common import arrow_schema, documents, text_of, tokenizer_file
-from leafloom.llm.pretoken import encoder, in_parts
+from leafloom.llm._common import Scratch, arrow_schema, documents, text_of, tokenizer_file
+from leafloom.llm.pretoken import encoder, forget_encoders, parts_of
 
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -61,57 +65,85 @@ class OpenBins:
         return [own for free in sorted(self.bins) for own in self.bins[free]]
 
 
+def _placed(closed: list[list[dict]], numbers) -> list[dict]:
+    """The rows of sequences, with their number and places."""
+    out = []
+    for own in closed:
+        number, at = next(numbers), 0
+        for piece in own:
+            out.append(piece | {"sequence_id": number, "offset": at})
+            at += piece["length"]
+    return out
+
+
 def _pack(path: str, end_id: int, size: int, most: int):
-    schema = arrow_schema(PACKED)
+    schema = arrow_schema(PACKED + ", closed boolean")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
         enc, bins = encoder(path), OpenBins(size, most)
-        number = TaskContext.get().partitionId() << 33
+        numbers = itertools.count(TaskContext.get().partitionId() << 33)
         end = np.array([end_id], "<u4").tobytes()
-
-        def rows(closed: list[list]) -> list[dict]:
-            nonlocal number
-            out = []
-            for own in closed:
-                at = 0
-                for piece in own:
-                    out.append(piece | {"sequence_id": number, "offset": at})
-                    at += piece["length"]
-                number += 1
-            return out
-
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_parts(texts):
-                ids, at = enc.encode(texts[a:b])
+            doc_ids = batch.column(0).to_pylist()
+            for a, _, texts in parts_of(batch.column(1)):
+                ids, at = enc.encode(texts)
                 at, out = at.tolist(), []
-                for k in range(b - a):
+                for k in range(len(texts)):
                     raw = ids[at[k] : at[k + 1]].astype("<u4").tobytes() + end
                     n = len(raw) // 4
                     begin, piece = 0, 0
                     cut = n % size or size
                     while begin < n:
                         crc = zlib.crc32(raw[4 * begin : 4 * cut])
-                        out += rows(bins.add({"doc_id": doc_ids[a + k], "piece": piece, "start": begin, "length": cut - begin, "ids_crc32": crc}, cut - begin))
+                        out += _placed(bins.add({"doc_id": doc_ids[a + k], "piece": piece, "start": begin, "length": cut - begin, "ids_crc32": crc, "closed": True}, cut - begin), numbers)
                         begin, cut, piece = cut, cut + size, piece + 1
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
-        if out := rows(bins.rest()):
+        forget_encoders()
+        if out := _placed(bins.rest(), numbers):
+            yield pa.RecordBatch.from_pylist([row | {"closed": False} for row in out], schema)
+
+    return run
+
+
+def _pack_again(size: int, most: int):
+    schema = arrow_schema(PACKED)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        bins, numbers = OpenBins(size, most), itertools.count(TaskContext.get().partitionId() << 33)
+        numbers = (-1 - k for k in numbers)  # below zero: apart from those of the first pass
+        for batch in batches:
+            out: list[dict] = []
+            for piece in batch.to_pylist():
+                out += _placed(bins.add(piece, piece["length"]), numbers)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if out := _placed(bins.rest(), numbers):
             yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, open_bins: int = 512) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, open_bins: int = 512, pool: int = 200_000) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence.
 
-    Every task packs what it reads, so nothing is shuffled; a task ends with at most ``open_bins`` sequences that are not
-    full.  Sequence ids are unique: the task's number, then a counter.
+    Every task packs what it reads with ``open_bins`` open sequences.  What is open at its end is not written as it is:
+    the pieces of all tasks' unfinished sequences (without their ids) are packed again, the longest first, in pools of
+    about ``pool`` pieces, so what stays unfilled doesn't grow with the number of tasks.  Sequence ids are unique: the
+    task's number, then a counter; below zero those of the second pass.
     """
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(_pack(tokenizer, end_id, size, open_bins), PACKED)
+    scratch = Scratch(docs.sparkSession, "packing")
+    first = scratch.stage(docs.select("doc_id", text_of().alias("text")).mapInArrow(_pack(tokenizer, end_id, size, open_bins), PACKED + ", closed boolean"), "first")
+    unfinished = first.where("NOT closed").drop("closed", "sequence_id", "offset")
+    pools = max(1, -(-unfinished.count() // pool))
+    dealt = unfinished.repartition(pools, F.xxhash64("doc_id", "piece", "start", "ids_crc32")).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
+    return first.where("closed").drop("closed").unionByName(dealt.mapInArrow(_pack_again(size, pool), PACKED))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

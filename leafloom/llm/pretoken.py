@@ -57,7 +57,7 @@ def _mixed() -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS
     if _POWERS is None or len(_POWERS[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 19)
         inverse = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
         up, down = (np.full(n, m, np.uint64) for m in (_MULTIPLIER, inverse))
         up[0] = down[0] = 1
@@ -155,10 +155,11 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """Ids of texts by a ``tokenizers`` file, as ``encode(text, add_special_tokens=False)`` gives them.
 
-    ``limit`` bounds the pieces remembered in a worker; beyond it the memory is emptied.
+    ``limit`` bounds the pieces remembered in a worker; beyond it the memory is emptied.  Pieces are remembered by a 64-bit
+    hash (among a million of them two agree with a probability of 3e-8).
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -222,6 +223,12 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def forget_encoders() -> None:
+    """Empties the memory of this worker's encoders: a worker lives on after its task."""
+    for own in _ENCODERS.values():
+        own.clear()
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of this worker for a vocabulary file."""
     if path not in _ENCODERS:
@@ -229,7 +236,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def in_parts(texts: list[str | None], most: int = 2_000_000):
+#: Characters that an operator's arrays are made for at once; what a worker holds follows from it.
+PART = 250_000
+
+
+def in_parts(texts: list[str | None], most: int = PART):
     """Slices ``(from, to)`` of the list that hold about ``most`` characters; a longer text is one slice."""
     begin = size = 0
     for k, text in enumerate(texts):
@@ -240,3 +251,20 @@ def in_parts(texts: list[str | None], most: int = 2_000_000):
         size += n
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def parts_of(column, most: int = PART):
+    """``from, to, texts`` of the slices of an Arrow column of strings that hold about ``most`` bytes: only one slice is
+    in Python at a time."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for k, n in enumerate(size.tolist()):
+        if k > begin and held + n > most:
+            yield begin, k, column.slice(begin, k - begin).to_pylist()
+            begin = k
+            held = 0
+        held += n
+    if begin < len(size):
+        yield begin, len(size), column.slice(begin).to_pylist()

@@ -2,7 +2,7 @@
 
 Every rule is evaluated once; the ledger keeps the measurements and one failure bit per rule.  A policy is a version and
 a mask of the rules that reject, applied to stored bits without reading texts again; ablations come from counts of the
-bit patterns.
+bit patterns, by bitwise aggregation.
 
 Defined results: a null or empty text has no words and fails ``few_words``; repeated rows get a row each; an empty table
 gives no rows; other columns are ignored; a null doc_id stays null.
@@ -16,8 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm._common import arrow_schema, documents, text_of
-from leafloom.llm.pretoken import _mix, in_parts
+from leafloom.llm._common import Scratch, arrow_schema, documents, text_of
+from leafloom.llm.pretoken import _mix, parts_of
 from leafloom.llm.textscan import codepoints, runs, separators, span_hashes
 
 MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
@@ -104,9 +104,9 @@ def _measured():
         import pyarrow as pa
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in in_parts(texts):
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *map(pa.array, measure(texts[a:b]))], schema=schema)
+            ids = batch.column(0)
+            for a, b, texts in parts_of(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *map(pa.array, measure(texts))], schema=schema)
 
     return run
 
@@ -141,8 +141,24 @@ def ablations(rows: DataFrame, version: int) -> DataFrame:
     return each.groupBy(F.col("r.rule").alias("rule")).agg(count(own).alias("n_failed"), count(own & rest).alias("n_only"), count(rest).alias("n_kept_without"))
 
 
+def patterns(rows: DataFrame) -> DataFrame:
+    """Documents by the bits that they fail: at most one row per subset of RULES."""
+    return rows.groupBy("failed").agg(F.count(F.lit(1)).alias("n_alike"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = apply_policy(ledger(documents(spark, sf_dir)), BASE, "passed_base")
-    rows = apply_policy(rows, CURRENT, "passed")
+    """The ledger is stored once; the policies and the ablations are computed from its bits.
+
+    ``sole_failure``: the bit of the one rule of the current policy without which the document would be kept (0: none);
+    ``n_alike``: documents that fail the same rules.
+    """
+    scratch = Scratch(spark, "op10")
+    rows = scratch.stage(ledger(documents(spark, sf_dir)), "ledger")
+    alike = F.broadcast(patterns(rows))  # 2**rules rows at most
+    rows = apply_policy(apply_policy(rows, BASE, "passed_base"), CURRENT, "passed").join(alike, "failed")
+    bits = F.col("failed").bitwiseAND(F.lit(mask_of(CURRENT)))
+    sole = F.when(bits.bitwiseAND(bits - 1) == 0, bits).otherwise(0)
     measures = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return rows.select(*measures, (~F.col("passed_base")).alias("base_failed"), (F.col("passed_base") & F.col("passed")).alias("kept"), "failed", "n_lines")
+    return rows.select(
+        *measures, (~F.col("passed_base")).alias("base_failed"), (F.col("passed_base") & F.col("passed")).alias("kept"), "failed", "n_lines", sole.alias("sole_failure"), "n_alike",
+    )

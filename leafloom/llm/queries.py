@@ -47,5 +47,6 @@ m AS (SELECT doc_id, len(W) AS n_words, length(array_to_string(W, '')) AS word_c
   coalesce(n_lines, 0) AS n_lines FROM w LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)),
 b AS (SELECT *, CAST(n_words < 20 AS INT) + 2 * CAST(100 * n_repeat_words > 30 * n_words AS INT) + 4 * CAST(2 * n_dup_lines > n_lines AS INT) + 8 * CAST(10 * n_symbols > n_words AS INT)
   + 16 * CAST(word_chars < 2 * n_words AS INT) + 32 * CAST(word_chars > 14 * n_words AS INT) AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed, n_lines FROM b""",
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed, n_lines,
+  CASE WHEN bit_count(failed) = 1 THEN failed ELSE 0 END AS sole_failure, count(*) OVER (PARTITION BY failed) AS n_alike FROM b""",
 }

@@ -15,26 +15,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from leafloom.llm._common import Scratch, documents, partitions
+from leafloom.llm._common import Scratch, documents, partitions, small_batches
 
 OVERHEAD = 16
 
 
-def _size(text: str = "text"):
+def _size(text: str = "record.text"):
     return (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + OVERHEAD).cast("long")
 
 
+def _repeated(docs: DataFrame, place, scratch: Scratch, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Sets the rows apart whose equals (by ``place``) alone overfill a bucket, dealt by a staged number to ``split`` parts:
+    all others (part 0) and those.  Usually there are none."""
+    sums = docs.groupBy(place.alias("place")).agg(F.sum(_size()).alias("bytes"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    large = sums.where(F.col("bytes") > bucket_bytes)
+    most = large.agg(F.max("bytes").alias("most")).first().most
+    if most is None:
+        return docs.withColumn("part", F.lit(0)), docs.limit(0).withColumn("part", F.lit(0))
+    split = -(-most // bucket_bytes)
+    keys = F.broadcast(large.select(F.col("place").alias("hot_place")))  # each stands for more than bucket_bytes
+    hot = docs.join(keys, place == F.col("hot_place"), "left_semi").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(split)).cast("int"))
+    return docs.join(keys, place == F.col("hot_place"), "left_anti").withColumn("part", F.lit(0)), scratch.stage(hot, "repeated")
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 17, bucket_bytes: int = 32 << 20) -> StructType:
     """Writes ``shard=N/`` folders of ``slot, size, record``; gives the schema of what it wrote.
 
-    Two scans without a shuffle of texts give the number of buckets and the rows of each (one row per bucket comes to the
-    driver); then texts are shuffled once.
+    Scans without a shuffle of texts give the number of buckets and the rows of each (one row per bucket comes to the
+    driver); then texts are shuffled once.  Rows that repeat so often that they would overfill a bucket are dealt to
+    several, since equal rows are interchangeable.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
     total = docs.agg(F.coalesce(F.sum(_size()), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     n_buckets = max(-(-total.bytes // bucket_bytes), 2 * partitions(spark))
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    bucket = F.pmod(place, F.lit(n_buckets)).cast("int")
+    place = F.xxhash64(F.lit(seed), F.col("record.doc_id"), F.col("record.text"))
+    plain, hot = _repeated(docs, place, Scratch(spark, "shards"), bucket_bytes)
+    docs = plain.unionByName(hot)
+    bucket = F.pmod(F.when(F.col("part") == 0, place).otherwise(F.xxhash64(place, F.col("part"))), F.lit(n_buckets)).cast("int")
     counts = dict(docs.groupBy(bucket.alias("bucket")).count().collect())  # at most n_buckets rows
     offsets, before = [], 0
     for b in range(n_buckets):
@@ -42,7 +60,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 17, b
         before += counts.get(b, 0)
     base, extra = divmod(total.rows, shards)
     offsets = F.broadcast(spark.createDataFrame(offsets, "bucket int, offset long"))
-    rows = docs.select(bucket.alias("bucket"), place.alias("place"), _size().alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
+    rows = docs.select(bucket.alias("bucket"), place.alias("place"), _size().alias("size"), "record")
     rows = rows.join(offsets, "bucket")
     record = rows.schema["record"].dataType
     out = StructType.fromDDL("shard int, slot long, size long").add("record", record)

@@ -7,10 +7,11 @@ cover it.  Those tuples are the states; each transition is annotated with the ch
 determinised when first met and kept for the worker's life, in a table with a bound.
 
 A batch of texts is one byte string.  It is cut into equal chunks that advance together, one array operation a byte
-position, each from the start state as if a piece began there.  Then a scan over the chunks corrects them: a chunk whose
-predecessor ends in another state is run again from that state until it meets the states found before (at the next piece
-at the latest, most often after a few bytes).  Only where a chunk never meets them its own end changes and the scan goes
-on to the next chunk.
+position, each from the start state as if a piece began there.  Every chunk then gets a state map: of each state in which
+its predecessor's map can end, the state in which the chunk ends and the tokens that this adds to the run from the start
+state.  Maps are built for all chunks at once, a run stops where it meets the run from the start state (at the next piece
+at the latest, most often after a few bytes).  A parallel prefix scan composes the maps by doubling, which gives the state
+that each chunk is entered in and so its count.
 
 Defined results: null texts have 0 bytes and 0 tokens; repeated rows count each; an empty table gives no rows; other
 columns are ignored; a null doc_id stays null.
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from leafloom.llm._common import arrow_schema, documents, text_of, tokenizer_file
-from leafloom.llm.pretoken import Batch, _byte_letters, in_parts
+from leafloom.llm.pretoken import PART, Batch, _byte_letters, parts_of
 
 COUNTED = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -144,7 +145,7 @@ class Transducer:
             found = self.table[state, column]
         return found
 
-    def changes(self, data: np.ndarray, reset: np.ndarray, size: int = 1024) -> np.ndarray:
+    def changes(self, data: np.ndarray, reset: np.ndarray, size: int = 256) -> np.ndarray:
         """The change of the token count at each byte; ``reset``: a piece starts at this byte."""
         n = len(data)
         if n == 0:
@@ -164,25 +165,50 @@ class Transducer:
             found = self.step(state, column[k])
             packed[k] = found
             state = (found >> 8).astype(np.int64)
-        entry = state
-        todo = np.arange(1, lanes)  # chunks whose entry differs from what they were run with
-        while todo.size:
-            own, state = todo, entry[todo - 1]
-            ended = []
+        _, extra = self.entered(column, fresh, packed, state)
+        out = (packed & 255).T.reshape(-1)[:n].astype(np.int64) - 128
+        out[::size] += extra  # what another entry state adds to a chunk counts at its first byte
+        return out
+
+    def entered(self, column: np.ndarray, fresh: np.ndarray, packed: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each chunk (a column of the arrays, run from state 0 to ``ends``) the state in which it is entered and the
+        tokens that this adds."""
+        size, lanes = packed.shape
+        chunk, entry, out, add = np.arange(lanes), np.zeros(lanes, np.int64), ends.copy(), np.zeros(lanes, np.int64)
+        new = np.arange(lanes)
+        while True:  # the maps: an entry of a chunk for each end of its predecessor's map
+            new = new[chunk[new] + 1 < lanes]
+            asked = np.unique(np.column_stack([chunk[new] + 1, out[new]]), axis=0)
+            have = np.isin(asked[:, 0] << 32 | asked[:, 1], chunk << 32 | entry)
+            asked = asked[~have]
+            if not len(asked):
+                break
+            own, state, where = asked[:, 0], asked[:, 1], np.arange(len(asked))
+            to, more = ends[own], np.zeros(len(asked), np.int64)
             for k in range(size):
-                go = ~fresh[k, own]
-                own, state = own[go], state[go]
-                if not own.size:
+                go = ~fresh[k, own[where]]
+                where, state = where[go], state[go]
+                if not where.size:
                     break
-                found = self.step(state, column[k, own])
-                go = found != packed[k, own]
-                own, state, found = own[go], (found[go] >> 8).astype(np.int64), found[go]
-                packed[k, own] = found
+                plain = packed[k, own[where]]
+                found = self.step(state, column[k, own[where]])
+                more[where] += (found & 255).astype(np.int64) - (plain & 255)
+                go = found >> 8 != plain >> 8  # else it has met the run from state 0
+                where, state = where[go], (found[go] >> 8).astype(np.int64)
             else:
-                entry[own] = state
-                ended = own
-            todo = np.array([k + 1 for k in ended if k + 1 < lanes], np.int64)
-        return ((packed & 255).T.reshape(-1)[:n].astype(np.int64)) - 128
+                to[where] = state
+            new = np.arange(len(chunk), len(chunk) + len(asked))
+            chunk, entry, out, add = (np.concatenate(x) for x in ((chunk, own), (entry, asked[:, 1]), (out, to), (add, more)))
+        key = chunk << 32 | entry
+        order = np.argsort(key)
+        jump = order[np.minimum(np.searchsorted(key[order], np.minimum(chunk + 1, lanes - 1) << 32 | np.where(chunk + 1 < lanes, out, entry)), len(key) - 1)]
+        at, bit = np.zeros(lanes, np.int64), 1  # map entry 0 is that of the first chunk
+        while bit < lanes:  # jump: over ``bit`` chunks
+            use = (np.arange(lanes) & bit) > 0
+            at[use] = jump[at[use]]
+            jump = jump[jump]
+            bit *= 2
+        return entry[at], add[at]
 
     def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and tokens of each text."""
@@ -222,9 +248,9 @@ def _count(path: str, limit: int):
 
         machine = transducer(path)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in in_parts(texts):
-                n_bytes, n_tokens = machine.count(texts[a:b])
+            ids = batch.column(0)
+            for a, b, texts in parts_of(batch.column(1), 2 * PART):
+                n_bytes, n_tokens = machine.count(texts)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)], schema=schema)
 
     return run

@@ -1,15 +1,16 @@
 """Operator 1: token ids as binary files, entropy-coded by a static range asymmetric numeral system (rANS).
 
 One frequency table over the whole corpus is shared by all blocks.  A block holds whole documents, is coded on its own
-by many interleaved lanes, and carries checkpoints (lane states and word positions at regular steps) and checksums, so
-readers decode blocks in parallel, or a part of a block from the checkpoint before it.
+by many interleaved lanes, and carries checkpoints (lane states and word positions at regular steps).  They cut it into
+segments with a checksum each: blocks are decoded in parallel, the segments of a block side by side in one array, and a
+part of a block from the segments that hold it alone.
 
 File format (a Parquet dataset as the container, so commits are atomic and lost tasks are retried):
 
 ``blocks/``  one row per block: ``shard, block`` (their order is the document order), ``first`` (ids of the shard before
 it), ``doc_ids``, ``doc_tokens``, ``n_tokens``, ``lanes``, ``states`` (uint64 LE per lane), ``words`` (uint32 LE stream),
 ``every`` (steps between checkpoints), ``checkpoints`` (per checkpoint: uint64 word position, then the lane states),
-``payload_crc``, ``ids_crc``.
+``segment_crcs`` (of each segment's first states and words), ``ids_crc``.
 ``table/``   ``token, freq``: frequencies that sum to 2**20.
 
 Defined results: null texts count as empty (only the end id); rows are ordered by (doc_id, hash of the text), null ids
@@ -26,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm._common import Scratch, arrow_schema, documents, partitions, text_of, tokenizer_file
-from leafloom.llm.pretoken import encoder, in_parts
+from leafloom.llm.pretoken import encoder, forget_encoders, parts_of
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
 BLOCK_TOKENS, LANES, EVERY = 1 << 18, 512, 128
 PLAIN = "shard int, block int, first long, doc_ids array<long>, doc_tokens array<long>, n_tokens long, ids binary, seen array<struct<token:int,n:long>>"
-CODED = "shard int, block int, first long, doc_ids array<long>, doc_tokens array<long>, n_tokens long, lanes int, every int, states binary, words binary, checkpoints binary, payload_crc long, ids_crc long"
+CODED = "shard int, block int, first long, doc_ids array<long>, doc_tokens array<long>, n_tokens long, lanes int, every int, states binary, words binary, checkpoints binary, segment_crcs array<long>, ids_crc long"
 DECODED = "shard int, doc_id long, local long, n_tokens long, ids_crc32 long"
 
 
@@ -98,37 +99,55 @@ def encode_block(ids: np.ndarray, table: Table, lanes: int = LANES, every: int =
     words = np.concatenate(chunks[::-1]) if chunks else np.zeros(0, "<u4")
     check = b"".join(np.uint64(written - w).tobytes() + s.tobytes() for w, s in marks[::-1])
     out = {"lanes": lanes, "every": every, "states": state.tobytes(), "words": words.tobytes(), "checkpoints": check}
-    return out | {"payload_crc": zlib.crc32(out["states"] + out["words"] + check), "ids_crc": zlib.crc32(ids.astype("<u4").tobytes())}
+    states, at = segments(out | {"n_tokens": n})
+    crcs = [_segment_crc(states[k], words[at[k] : at[k + 1]]) for k in range(len(states))]
+    return out | {"segment_crcs": crcs, "ids_crc": zlib.crc32(ids.astype("<u4").tobytes())}
+
+
+def segments(block: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The lane states at the start of each segment, and where its words start (with the end)."""
+    marks = np.frombuffer(block["checkpoints"], np.uint64).reshape(-1, block["lanes"] + 1)
+    states = np.concatenate([np.frombuffer(block["states"], np.uint64)[None, :], marks[:, 1:]])
+    return states, np.concatenate([[0], marks[:, 0].astype(np.int64), [len(block["words"]) // 4]])
+
+
+def _segment_crc(states: np.ndarray, words: np.ndarray) -> int:
+    return zlib.crc32(words.tobytes(), zlib.crc32(states.tobytes()))
 
 
 def decode_block(block: dict, table: Table, begin: int = 0, end: int | None = None) -> np.ndarray:
-    """The ids ``begin`` to ``end`` of a block, decoded from the last checkpoint before ``begin``."""
-    n, lanes = block["n_tokens"], block["lanes"]
+    """The ids ``begin`` to ``end`` of a block.  Only the segments that hold them are checked and decoded, all at once."""
+    n, lanes, every = block["n_tokens"], block["lanes"], block["every"]
     end = n if end is None else min(end, n)
-    if zlib.crc32(block["states"] + block["words"] + block["checkpoints"]) != block["payload_crc"]:
-        raise ValueError("the payload's checksum differs")
-    words = np.frombuffer(block["words"], "<u4").astype(np.uint64)
-    state, at, step = np.frombuffer(block["states"], np.uint64).copy(), 0, 0
-    if k := min(begin // lanes // block["every"], len(block["checkpoints"]) // (8 + 8 * lanes)):
-        mark = np.frombuffer(block["checkpoints"], np.uint64)[(k - 1) * (lanes + 1) : k * (lanes + 1)]
-        at, state, step = int(mark[0]), mark[1:].copy(), k * block["every"]
-    base = step * lanes
-    out = np.zeros(max(0, end - base), np.uint32)
-    mask = np.uint64((1 << SCALE) - 1)
-    for a in range(base, end, lanes):
-        b = min(n, a + lanes)
-        x = state[: b - a]
-        slot = x & mask
+    if begin >= end:
+        return np.zeros(0, np.uint32)
+    first, last = begin // (lanes * every), -(-end // (lanes * every))
+    states, at = segments(block)
+    words = np.frombuffer(block["words"], "<u4")
+    for k in range(first, last):
+        if _segment_crc(states[k], words[at[k] : at[k + 1]]) != block["segment_crcs"][k]:
+            raise ValueError("a segment's checksum differs")
+    state, place = states[first:last].copy(), at[first:last, None].copy()
+    out = np.zeros((last - first, every * lanes), np.uint32)
+    mask, half = np.uint64((1 << SCALE) - 1), np.uint64(32)
+    for step in range(every):
+        left = np.clip(n - (np.arange(first, last) * every + step) * lanes, 0, lanes)  # lanes that have an id at this step
+        if not left.any():
+            break
+        slot = state & mask
         symbol = table.symbol[slot]
-        x = table.freq[symbol] * (x >> np.uint64(SCALE)) + slot - table.start[symbol]
-        under = np.flatnonzero(x < LOW)
-        x[under] = (x[under] << np.uint64(32)) | words[at : at + len(under)]
-        at += len(under)
-        state[: b - a] = x
-        out[a - base : b - base] = symbol[: end - a]
-    if base == 0 and end == n and zlib.crc32(out.astype("<u4").tobytes()) != block["ids_crc"]:
+        state = table.freq[symbol] * (state >> np.uint64(SCALE)) + slot - table.start[symbol]
+        under = state < LOW
+        if left[-1] < lanes:  # only the last segment ends early
+            under[-1, left[-1] :] = False
+        rank = np.cumsum(under, axis=1)
+        state[under] = (state[under] << half) | words[(place + rank - 1)[under]]
+        place += rank[:, -1:]
+        out[:, step * lanes : (step + 1) * lanes] = symbol
+    out = out.reshape(-1)[begin - first * lanes * every : end - first * lanes * every]
+    if begin == 0 and end == n and zlib.crc32(out.astype("<u4").tobytes()) != block["ids_crc"]:
         raise ValueError("the ids' checksum differs")
-    return out[begin - base :]
+    return out
 
 
 def _plain_blocks(path: str, end_id: int, block_tokens: int):
@@ -159,9 +178,9 @@ def _plain_blocks(path: str, end_id: int, block_tokens: int):
             return pa.RecordBatch.from_pylist([out], schema)
 
         for batch in batches:
-            shards, doc_ids, texts = (batch.column(k).to_pylist() for k in range(3))
-            for a, b in in_parts(texts):
-                ids, at = enc.encode(texts[a:b])
+            shards, doc_ids = (batch.column(k).to_pylist() for k in range(2))
+            for a, b, texts in parts_of(batch.column(2)):
+                ids, at = enc.encode(texts)
                 at = at.tolist()
                 for k in range(b - a):
                     if shards[a + k] != shard:
@@ -175,6 +194,7 @@ def _plain_blocks(path: str, end_id: int, block_tokens: int):
                     held += len(own) + 1
                     if held >= block_tokens:
                         yield row()
+        forget_encoders()
         if docs:
             yield row()
         if len(seen):

@@ -6,7 +6,8 @@ and word beginnings (4 to 6 letters; insults are inflected); the document is tox
 length).  Only documents carry labels; the weights are fitted through the noisy-or, and then tell which sentences offend.
 
 The classifier is fitted on the driver on a bounded sample of labelled rows (``most_positive``, ``most_negative``: the
-rows with the smallest hash of doc_id); scores are computed for all whole texts in one pass without a shuffle.
+rows with the smallest hash of doc_id; of these whole texts in the order of a hash up to ``most_bytes``); scores are
+computed for all whole texts in one pass without a shuffle.
 
 Defined results: null and empty texts have no sentence and score 0; with no usable label, or labels of one class only,
 no word has a weight; labels that are null or given twice for a doc_id are used once each if not null; repeated rows are
@@ -19,11 +20,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafloom.llm._common import arrow_schema, documents, text_of
-from leafloom.llm.pretoken import LETTER, NUMBER, classes, in_parts
+from leafloom.llm._common import arrow_schema, documents, small_batches, text_of
+from leafloom.llm.pretoken import LETTER, NUMBER, classes, in_parts, parts_of
 from leafloom.llm.textscan import codepoints, runs, span_hashes
 
 SCORED = "doc_id long, score double, n_sentences long, offending array<struct<start:int,end:int,score:double>>"
@@ -179,9 +180,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_positive: int, most_n
     return docs.select("doc_id", text_of().alias("text")).join(picked, "doc_id").select("text", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_negative: int = 4000) -> Model:
-    rows = training_rows(docs, labels, most_positive, most_negative).orderBy(F.xxhash64("text", "toxic")).limit(2 * (most_positive + most_negative)).toArrow()
-    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_numpy())
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_negative: int = 4000, most_bytes: int = 200_000_000) -> Model:
+    """Fits on the bounded sample: rows by the first two limits (a doc_id may stand for several rows, at most twice as
+    many are taken), whole texts up to ``most_bytes`` in all."""
+    rows = training_rows(docs, labels, most_positive, most_negative).withColumn("order", F.xxhash64("text", "toxic"))
+    rows = rows.orderBy("order").limit(2 * (most_positive + most_negative))
+    held = F.sum(F.octet_length("text")).over(Window.orderBy("order").rowsBetween(Window.unboundedPreceding, 0))  # over the limited rows
+    found = rows.withColumn("held", held).where(F.col("held") <= most_bytes).select("text", "toxic").toArrow()
+    return fit(found.column("text").to_pylist(), found.column("toxic").to_numpy())
 
 
 def _scored(model: Model, least: float):
@@ -191,9 +197,9 @@ def _scored(model: Model, least: float):
         import pyarrow as pa
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in in_parts(texts):
-                bag = bags(texts[a:b])
+            ids = batch.column(0)
+            for a, b, texts in parts_of(batch.column(1)):
+                bag = bags(texts)
                 score, sentence = model.scores(bag, b - a)
                 spans: list[list[dict]] = [[] for _ in range(b - a)]
                 for k in np.flatnonzero(sentence >= least).tolist():
@@ -211,15 +217,16 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose score is ``limit`` or more; all columns stay, null texts stay."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index("text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            keep = np.zeros(len(texts), bool)
-            for a, b in in_parts(texts):
-                keep[a:b] = model.scores(bags(texts[a:b]), b - a)[0] < limit
+            keep = np.zeros(batch.num_rows, bool)
+            for a, b, texts in parts_of(batch.column(place)):
+                keep[a:b] = model.scores(bags(texts), b - a)[0] < limit
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -57,7 +57,7 @@ def test_components_against_brute_force(spark, size, percent, bands, rows):
 
 
 def test_large_buckets_and_blocks(spark, monkeypatch):
-    """Stars instead of pairs, and clusters over several blocks, give the same components."""
+    """Blocks of buckets, and clusters over several blocks, give the same components."""
     monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     data = corpus(3, 90)
