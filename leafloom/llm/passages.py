@@ -22,7 +22,6 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +31,14 @@ from pyspark.sql import functions as F
 from leafloom.llm._common import Scratch, arrow_schema, documents, text_of
 from leafloom.llm.components import components
 from leafloom.llm.near_dedup import GOLDEN, forest, shingles
-from leafloom.llm.pretoken import _mix, _powers, in_parts
+from leafloom.llm.pretoken import _mix, _powers, in_parts, parts_of
 from leafloom.llm.textscan import codepoints, runs, separators, span_hashes
 
 LENGTH, GAP, SHINGLE = 20, 10, 5
 BANDS, ROWS = 8, 2
 SMALL_BUCKET, BLOCK = 16, 256
-PART = 500_000
+PART = 250_000
 UNITS = "doc_id long, pos int, n int, start int, end int, full long, keys array<long>"
-WORD = re.compile("[^\t-\r ]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -98,9 +96,9 @@ def _units(seed: int):
         a = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
         b = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for i, j in in_parts(texts, PART):
-                cps, docs = codepoints(texts[i:j])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, j, texts in parts_of(batch.column(1), PART):
+                cps, docs = codepoints(texts)
                 if not len(cps):
                     continue
                 low = np.where((cps >= 65) & (cps <= 90), cps + 32, cps)
@@ -134,10 +132,9 @@ def _units(seed: int):
                     else:
                         lists = pa.nulls(len(s), pa.list_(pa.int64()))
                     own = doc[s]
-                    columns = [
-                        pa.array(ids[i:j][own], pa.int64()), pa.array((s - first[own]).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array((starts[s] - docs[own]).astype(np.int32)),
-                        pa.array((ends[e - 1] - docs[own]).astype(np.int32)), pa.array(full.view(np.int64)), lists,
-                    ]
+                    places = [e - s, starts[s] - docs[own], ends[e - 1] - docs[own]]  # a window's follow from its first word
+                    places = [pa.array(x.astype(np.int32)) if kind else pa.nulls(len(s), pa.int32()) for x in places]
+                    columns = [pa.array(ids[i:j][own], pa.int64()), pa.array((s - first[own]).astype(np.int32)), *places, pa.array(full.view(np.int64)), lists]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
@@ -165,15 +162,34 @@ def _jaccard(percent: int):
     return run
 
 
-def similar_paragraphs(units: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def _cut():
+    """The words of the asked paragraphs of each text."""
+    schema = arrow_schema("full long, words string")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            asked = batch.column(1).to_pylist()
+            for i, _, texts in parts_of(batch.column(0), PART):
+                rows = [(x["full"], t[x["start"] : x["end"]]) for t, xs in zip(texts, asked[i:], strict=False) for x in xs]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], schema=schema)
+
+    return run
+
+
+def similar_paragraphs(lines: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """``node, component`` of different paragraphs that are similar: every pair that shares a bucket is verified."""
-    entry = units.where("keys IS NOT NULL").select(F.explode("keys").alias("bucket"), "full").distinct()
-    buckets = entry.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = scratch.stage(entry.join(buckets.hint("merge"), "bucket"), "shared")
+    entry = lines.select(F.explode("keys").alias("bucket"), "full")
+    buckets = entry.groupBy("bucket").agg(F.min("full").alias("a"), F.max("full").alias("b")).where("a <> b").select("bucket")
+    met = scratch.stage(entry.join(buckets.hint("merge"), "bucket").distinct(), "met")
+    shared = scratch.stage(met.join(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).hint("merge"), "bucket"), "shared")
+    scratch.drop("met")
     wanted = shared.select("full").distinct()
-    places = units.where("keys IS NOT NULL").groupBy("full").agg(F.min(F.struct("doc_id", "start", "end")).alias("p")).join(wanted.hint("merge"), "full").select("full", "p.doc_id", "p.start", "p.end")
-    read = texts.join(places.hint("merge"), "doc_id").select("doc_id", "full", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("words"))
-    read = scratch.stage(read.dropDuplicates(["full"]).drop("doc_id"), "read")
+    place = (F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")).alias("place")
+    places = lines.select("full", "doc_id", place).join(wanted.hint("merge"), "full").groupBy("full").agg(F.min_by("place", "doc_id").alias("place"), F.min("doc_id").alias("doc_id"))
+    spans = places.groupBy("doc_id").agg(F.collect_list(F.struct("full", F.shiftright("place", 32).cast("int").alias("start"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end"))).alias("asked"))
+    read = scratch.stage(texts.join(spans.hint("merge"), "doc_id").select("text", "asked").mapInArrow(_cut(), "full long, words string"), "read")
 
     small = shared.where(F.col("n") <= SMALL_BUCKET)
     pairs = small.select("bucket", F.col("full").alias("u")).join(small.select("bucket", F.col("full").alias("v")), "bucket").where("u < v").select("u", "v").distinct()
@@ -201,25 +217,17 @@ def similar_paragraphs(units: DataFrame, texts: DataFrame, scratch: Scratch, per
     return found
 
 
-def around(text: str, start: int, end: int) -> tuple[str, str, str]:
-    """Of a span its words, those before it (the nearest first) and those behind it, GAP at most, each with its border
-    (start or end) as ``word border``."""
-    before, size = [], 200
-    while True:  # a chunk's first word may be cut
-        begin = max(0, start - size)
-        before = [(m[0], begin + m.start()) for m in WORD.finditer(text[begin:start])][::-1]
-        if begin == 0 or len(before) > GAP:
-            break
-        size *= 4
-    behind = []
-    for m in WORD.finditer(text, end):
-        behind.append((m[0], m.end()))
-        if len(behind) == GAP:
-            break
-    return " ".join(WORD.findall(text[start:end])).translate(LOW), *("\n".join(f"{w.translate(LOW)} {at}" for w, at in x[:GAP]) for x in (before, behind))
+AROUND = "component long, doc_id long, pos int, start int, end int, words string, before string, behind string"
 
 
-AROUND = "component long, doc_id long, pos int, words string, before string, behind string"
+def around(text: str, starts: list[int], ends: list[int], pos: int) -> tuple[int, int, str, str, str]:
+    """Of the window at word ``pos`` its span, its words, and those before it (the nearest first) and behind it, GAP at
+    most, each with its border (start or end) as ``word border``; the words' spans are given."""
+    to = pos + LENGTH
+    low = lambda k: text[starts[k] : ends[k]].translate(LOW)
+    before = "\n".join(f"{low(k)} {starts[k]}" for k in range(pos - 1, max(pos - GAP, 0) - 1, -1))
+    behind = "\n".join(f"{low(k)} {ends[k]}" for k in range(to, min(to + GAP, len(starts))))
+    return starts[pos], ends[to - 1], " ".join(low(k) for k in range(pos, to)), before, behind
 
 
 def _around():
@@ -229,9 +237,17 @@ def _around():
         import pyarrow as pa
 
         for batch in batches:
-            ids, texts, asked = (batch.column(k).to_pylist() for k in range(3))
-            rows = [(x["component"], d, x["pos"], *around(t, x["start"], x["end"])) for d, t, xs in zip(ids, texts, asked, strict=True) for x in xs]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema, strict=True)], schema=schema)
+            ids, asked = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for i, _, texts in parts_of(batch.column(1), PART):
+                cps, docs = codepoints(texts)
+                starts, ends = runs(~separators(cps), docs)
+                first = np.searchsorted(starts, docs)
+                rows = []
+                for k, text in enumerate(texts):
+                    a, b = first[k], first[k + 1]
+                    s, e = (starts[a:b] - docs[k]).tolist(), (ends[a:b] - docs[k]).tolist()
+                    rows += [(x["component"], ids[i + k], x["pos"], *around(text, s, e, x["pos"])) for x in asked[i + k]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
     return run
 
@@ -267,19 +283,14 @@ def _extended():
     return run
 
 
-def extensions(ends: DataFrame, firsts: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of windows that begin or end a repeat (doc_id, pos, start, end, component) how far each reaches beyond its border."""
-    asked = ends.select("component", "doc_id", "pos", "start", "end").unionByName(firsts.select("component", "doc_id", "pos", "start", "end")).distinct()
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("component", "pos", "start", "end")).alias("asked"))
-    read = scratch.stage(texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "asked").mapInArrow(_around(), AROUND), "around")
-    own = ends.select("component", "doc_id", "pos").join(read, ["component", "doc_id", "pos"])
-    first = firsts.select("component", F.col("doc_id").alias("first_doc"), F.col("pos").alias("first_pos")).join(
-        read.select("component", F.col("doc_id").alias("first_doc"), F.col("pos").alias("first_pos"), F.col("words").alias("first_words"), F.col("before").alias("first_before"), F.col("behind").alias("first_behind")),
-        ["component", "first_doc", "first_pos"],
-    )
+def extensions(read: DataFrame, ends: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of windows that begin or end a repeat (doc_id, pos, component) how far each reaches beyond its border; ``read`` holds
+    what stands around them and around the first occurrences."""
+    own = ends.select("component", "doc_id", "pos").join(read, ["component", "doc_id", "pos"]).select("component", "doc_id", "pos", "words", "before", "behind")
+    names = {"doc_id": "first_doc", "pos": "first_pos", "words": "first_words", "before": "first_before", "behind": "first_behind"}
+    first = firsts.select("component", "doc_id", "pos").join(read, ["component", "doc_id", "pos"]).select("component", *[F.col(c).alias(x) for c, x in names.items()])
     both = own.join(first, "component").where("words = first_words").select("doc_id", "pos", "first_doc", "first_pos", "before", "behind", "first_before", "first_behind")
     done = scratch.stage(both.mapInArrow(_extended(), EXTENDED), "extended")
-    scratch.drop("around")
     reach = [F.min("left").alias("left"), F.max("n_left").alias("n_left"), F.max("right").alias("right"), F.max("n_right").alias("n_right")]
     mine = done.select("doc_id", "pos", F.lit(True).alias("removed"), "left", "n_left", "right", "n_right")
     theirs = done.select(F.col("first_doc").alias("doc_id"), F.col("first_pos").alias("pos"), F.lit(False).alias("removed"), F.col("first_left").alias("left"), "n_left", F.col("first_right").alias("right"), "n_right")
@@ -293,49 +304,56 @@ def repeated_passages(docs: DataFrame, percent: int = 80, seed: int = 11) -> Dat
     scratch = Scratch(spark, "passages")
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", text_of().alias("text"))
     units = scratch.stage(texts.mapInArrow(_units(seed), UNITS), "units")
-    found = similar_paragraphs(units, texts, scratch, percent)
+    paragraphs = units.where("n IS NOT NULL")
+    found = scratch.stage(similar_paragraphs(paragraphs, texts, scratch, percent), "found")
 
-    # clusters in two documents or more; windows are their own clusters, and most of the table
-    windows = units.where("keys IS NULL").select("doc_id", "pos", "n", "start", "end", F.col("full").alias("component"), F.lit(True).alias("window"))
-    lines = units.where("keys IS NOT NULL").join(found, F.col("full") == F.col("node"), "left").select("doc_id", "pos", "n", "start", "end", F.coalesce("component", "full").alias("component"), F.lit(False).alias("window"))
+    # clusters in two documents or more; windows (most of the table, so only three columns move) are their own clusters
+    windows = units.where("n IS NULL").select("doc_id", "pos", F.col("full").alias("component"))
+    lines = paragraphs.join(found, F.col("full") == F.col("node"), "left").select("doc_id", "pos", "n", "start", "end", F.coalesce("component", "full").alias("component"))
     marked = []
     for name, part in (("windows", windows), ("lines", lines)):
         clusters = part.groupBy("component").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc")
         clusters = scratch.stage(clusters.drop("last_doc"), f"{name}_clusters")
-        marked.append(scratch.stage(part.join(clusters, "component").withColumn("removed", F.col("doc_id") > F.col("first_doc")), f"{name}_marked"))
+        marked.append(scratch.stage(part.join(clusters.hint("merge"), "component").withColumn("removed", F.col("doc_id") > F.col("first_doc")), f"{name}_marked"))
         scratch.drop(f"{name}_clusters")
     scratch.drop("units")
+    scratch.drop("found")
+    none = F.lit(None).cast("int")
+    windows = marked[0].select("doc_id", "pos", F.lit(LENGTH).alias("n"), none.alias("start"), none.alias("end"), "component", "removed", F.lit(True).alias("window"))
+    lines = marked[1].select("doc_id", "pos", "n", "start", "end", "component", "removed", F.lit(False).alias("window"))
 
     # overlapping and adjacent units of a document with the same mark become one passage
     key = ["doc_id", "removed"]
     order = Window.partitionBy(*key).orderBy("pos", "n", "component")
     before = F.max(F.col("pos") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = marked[0].unionByName(marked[1]).withColumn("new", F.when(F.col("pos") <= before, 0).otherwise(1))
+    apart = windows.unionByName(lines).withColumn("new", F.when(F.col("pos") <= before, 0).otherwise(1))
     numbered = apart.withColumn("passage", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    unit = F.struct("pos", F.when(F.col("window"), F.col("start")).alias("start"), F.when(F.col("window"), F.col("end")).alias("end"), "component")
-    last = F.struct(F.col("pos") + F.col("n"), F.col("window"), unit.alias("unit"))
+    unit = F.struct("pos", "window", "start", "end", "component").alias("unit")
     merged = numbered.groupBy(*key, "passage").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("n")).alias("to"),
-        F.sort_array(F.collect_set("component")).alias("component_ids"),
-        F.min(F.struct("pos", ~F.col("window"), unit.alias("unit")))["unit"].alias("head"), F.max(last)["unit"].alias("tail"),
+        F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("n")).alias("to"), F.sort_array(F.collect_set("component")).alias("component_ids"),
+        F.min(F.struct("pos", ~F.col("window"), unit))["unit"].alias("head"), F.max(F.struct(F.col("pos") + F.col("n"), F.col("window"), unit))["unit"].alias("tail"),
     )
     merged = scratch.stage(merged, "merged")
 
-    # the windows at either end reach as far as the first occurrence's words are the same
-    ends = merged.where("removed").select("doc_id", F.explode(F.array("head", "tail")).alias("u")).where("u.start IS NOT NULL").select("doc_id", "u.component", "u.pos", "u.start", "u.end").distinct()
-    ends = scratch.stage(ends, "ends")
-    firsts = marked[0].where("NOT removed").join(ends.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min(F.struct("doc_id", "pos", "start", "end")).alias("f"))
+    # windows at either end: their spans, and how far the words equal those of the first occurrence
+    ends = scratch.stage(merged.select("doc_id", "removed", F.explode(F.array("head", "tail")).alias("u")).where("u.window").select("doc_id", "removed", "u.component", "u.pos").distinct(), "ends")
+    wanted = ends.where("removed").select("component").distinct()
+    firsts = marked[0].where("NOT removed").join(wanted.hint("merge"), "component", "left_semi").groupBy("component").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
     firsts = scratch.stage(firsts.select("component", "f.*"), "firsts")
-    reach = scratch.stage(extensions(ends, firsts, texts, scratch), "reach")
+    asked = ends.drop("removed").unionByName(firsts.select("doc_id", "component", "pos")).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("component", "pos")).alias("asked"))
+    read = scratch.stage(texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "asked").mapInArrow(_around(), AROUND), "around")
+    reach = scratch.stage(extensions(read, ends.where("removed"), firsts, scratch), "reach")
+    spans = read.groupBy("doc_id", "pos").agg(F.min("start").alias("from"), F.min("end").alias("till"))
+    reach = scratch.stage(ends.select("doc_id", "removed", "pos").distinct().join(spans.hint("merge"), ["doc_id", "pos"]).join(reach.hint("merge"), ["doc_id", "pos", "removed"], "left"), "spans")
+    for name in ("around", "extended", "reach", "firsts", "ends", "windows_marked", "lines_marked"):
+        scratch.drop(name)
     for side, at in (("h", "head"), ("t", "tail")):
-        names = {c: f"{side}_{c}" for c in ("left", "n_left", "right", "n_right")}
-        own = reach.select("doc_id", F.col("removed"), F.col("pos").alias(f"{side}_pos"), *[F.col(c).alias(x) for c, x in names.items()])
-        merged = merged.withColumn(f"{side}_pos", F.when(F.col(f"{at}.start").isNotNull(), F.col(f"{at}.pos"))).join(own, ["doc_id", "removed", f"{side}_pos"], "left")
+        names = {c: f"{side}_{c}" for c in ("from", "till", "left", "n_left", "right", "n_right")}
+        own = reach.select("doc_id", "removed", F.col("pos").alias(f"{side}_pos"), *[F.col(c).alias(x) for c, x in names.items()])
+        merged = merged.withColumn(f"{side}_pos", F.when(F.col(f"{at}.window"), F.col(f"{at}.pos"))).join(own, ["doc_id", "removed", f"{side}_pos"], "left")
     n_words = F.col("to") - F.col("pos") + F.coalesce("h_n_left", F.lit(0)) + F.coalesce("t_n_right", F.lit(0))
-    return merged.select(
-        "doc_id", F.least("start", "h_left").alias("start"), F.greatest("end", "t_right").alias("end"), n_words.cast("long").alias("n_words"),
-        F.col("component_ids")[0].alias("component_id"), "removed", "component_ids",
-    )
+    start, end = F.coalesce("h_left", "h_from", "head.start"), F.coalesce("t_right", "t_till", "tail.end")
+    return merged.select("doc_id", start.alias("start"), end.alias("end"), n_words.cast("long").alias("n_words"), F.col("component_ids")[0].alias("component_id"), "removed", "component_ids")
 
 
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
