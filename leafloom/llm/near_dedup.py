@@ -165,10 +165,12 @@ def sketch_links(reps: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     verified = lambda pairs: pairs.join(sketch("u"), "u").join(sketch("v"), "v").select("u", "v", "su", "sv").mapInArrow(_alike(least), "u long, v long")
     stars = shared.where("doc_id <> centre").select(F.col("doc_id").alias("u"), F.col("centre").alias("v")).distinct()
     links = scratch.stage(verified(stars), "stars")
-    near = scratch.stage(components(links, scratch, "star"), "contracted")
+    own = scratch.stage(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")), "own")  # v < u
+    step = own.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    labels = own.join(step.hint("merge"), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
 
-    # buckets of several components: pairs across them
-    parts = shared.join(near.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("part"))
+    # buckets of several labels: pairs across them
+    parts = shared.join(labels.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n", F.coalesce("label", "doc_id").alias("part"))
     mixed = parts.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("bucket")
     opened = scratch.stage(parts.join(mixed.hint("merge"), "bucket"), "opened")
     small = opened.where(F.col("n") <= SMALL_BUCKET)
@@ -180,15 +182,14 @@ def sketch_links(reps: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     member = large.join(reps.select("doc_id", "sketch").hint("merge"), "doc_id").select("bucket", "doc_id", "part", "sketch", k.alias("k"), F.pmod(F.xxhash64("doc_id"), k).cast("int").alias("own"))
     grouped = member.select("bucket", "doc_id", "part", "sketch", "own", other).select("bucket", "doc_id", "part", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     blocks = grouped.groupBy("bucket", "i", "j").applyInArrow(_alike_block(least), "u long, v long")
-    more = scratch.stage(verified(pairs).unionByName(blocks), "more")
-    out = near if more.isEmpty() else components(links.unionByName(more), scratch, "cluster")
-    for name in ("shared", "opened"):
+    out = components(links.unionByName(verified(pairs)).unionByName(blocks), scratch, "cluster")
+    for name in ("shared", "opened", "stars", "own"):
         scratch.drop(name)
     return out
 
 
 def _alike_block(least: float):
-    """Links across components of a block of a bucket, a spanning forest of them."""
+    """Links across labels of a block of a bucket, a spanning forest of them."""
 
     def run(table):
         import pyarrow as pa
@@ -202,13 +203,13 @@ def _alike_block(least: float):
     return run
 
 
-def exact_links(texts: DataFrame, cluster: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
-    """Links on full sets inside clusters (``node, component``), enough to connect what is connected."""
+def exact_components(texts: DataFrame, cluster: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """``node, component`` by links on full sets; only members of the same cluster (``node, component``) are compared."""
     sizes = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("own")
     member = scratch.stage(cluster.join(sizes.hint("merge"), "component").select(F.col("node").alias("doc_id"), "component", "k").select("*", own), "member")
-    hubs = member.where("k > 1 AND doc_id = component").select("doc_id", "component", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("own"), F.col("own").alias("mine")).where("own <> mine")
-    rows = member.select("doc_id", "component", "own").unionByName(hubs.drop("mine"))
+    hubs = member.where("k > 1 AND doc_id = component").select("doc_id", "component", "k", F.col("own").alias("mine"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("own")).where("own <> mine")
+    rows = member.unionByName(hubs.drop("mine"))
 
     def confirm(table):
         import pyarrow as pa
@@ -218,16 +219,17 @@ def exact_links(texts: DataFrame, cluster: DataFrame, scratch: Scratch, words: i
         edges = forest([items[at[k] : at[k + 1]] for k in range(len(ids))], percent)
         return pa.table({"u": pa.array([ids[x] for x, _ in edges], pa.int64()), "v": pa.array([ids[y] for _, y in edges], pa.int64())})
 
-    placed = texts.join(rows.hint("merge"), "doc_id")  # one plan at every size: each text moves once
+    placed = scratch.stage(texts.join(rows.hint("merge"), "doc_id"), "placed")  # the one shuffle of all texts
     links = scratch.stage(placed.groupBy("component", "own").applyInArrow(confirm, "u long, v long"), "confirmed")
 
     # clusters of several blocks that are still in parts
-    part = components(links, scratch, "part")
+    part = scratch.stage(components(links, scratch, "part"), "parts")
     state = member.where("k > 1").join(part.select(F.col("node").alias("doc_id"), F.col("component").alias("part")).hint("merge"), "doc_id", "left").select("doc_id", "component", F.coalesce("part", "doc_id").alias("part"))
     split = state.groupBy("component").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("component")
     state = scratch.stage(state.join(split.hint("merge"), "component"), "split")
     if state.isEmpty():
-        return links
+        scratch.drop("placed")
+        return part
     part_sizes = state.groupBy("component", "part").agg(F.count(F.lit(1)).alias("m"))
     loose = part_sizes.where(F.col("m") < BLOCK).groupBy("component").agg(F.sum("m").alias("loose"))
     own = state.join(part_sizes, ["component", "part"]).join(loose, "component", "left")
@@ -238,8 +240,11 @@ def exact_links(texts: DataFrame, cluster: DataFrame, scratch: Scratch, words: i
     blocks = own.groupBy("component").agg(F.collect_set(F.struct("block", "whole")).alias("blocks"))  # one of BLOCK members each
     pairs = own.join(blocks.hint("merge"), "component").select("doc_id", "component", "block", "whole", F.explode("blocks").alias("b")).where("b.whole IS NULL OR whole IS NULL OR b.whole <> whole")
     pairs = pairs.select("doc_id", "component", F.least("block", "b.block").alias("i"), F.greatest("block", "b.block").alias("j"))
-    across = texts.join(pairs.hint("merge"), "doc_id").groupBy("component", "i", "j").applyInArrow(confirm, "u long, v long")
-    return links.unionByName(scratch.stage(across, "across"))
+    once = placed.where("doc_id <> component OR own = pmod(xxhash64(doc_id), k)")  # not the smallest member's other rows
+    across = once.drop("component", "own", "k").join(pairs.hint("merge"), "doc_id").groupBy("component", "i", "j").applyInArrow(confirm, "u long, v long")
+    out = scratch.stage(components(links.unionByName(across), scratch, "final"), "finals")
+    scratch.drop("placed")
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, seed: int = 7) -> DataFrame:
@@ -252,8 +257,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     reps = scratch.stage(filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "bands", "sketch"), "reps")
     cluster = scratch.stage(sketch_links(reps, scratch, percent), "clusters")
     scratch.drop("reps")
-    final = components(exact_links(texts, cluster, scratch, words, percent), scratch, "final")
-    for name in ("clusters", "member", "blocks", "split"):
+    final = exact_components(texts, cluster, scratch, words, percent)
+    for name in ("clusters", "member", "blocks", "split", "confirmed"):
         scratch.drop(name)
     named = classes.join(final, classes.rep == final.node, "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
