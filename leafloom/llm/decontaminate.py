@@ -2,25 +2,31 @@
 
 Numbers, units after numbers and names (capitalised words, wherever they stand) become typed placeholders, so a question
 with other values has the same template.  Windows of the plain words in lower case are compared too, so a copy is found in
-any case and wrapping.  Windows of five template words of all documents are hash-joined with those of
-the benchmark items.  A document in which at least 80 % of an item's distinct windows occur is compared slot by slot:
-the item's values must map to the document's values consistently (one value to one value) for a re-parameterised
-question; where all values are equal it is a copy.
-
-Defined results: null and empty texts and texts of fewer than five words have no windows and match nothing; rows that
-share a doc_id are one document; a null item text matches nothing; an empty table on either side gives no rows; other
-columns are ignored.
+any case and wrapping.
+
+1. Windows of five words of all documents are hash-joined with the distinct windows of the benchmark: the hits.
+2. The hits give each window's frequency.  A document that holds 80 % of an item's distinct windows holds one of its
+   rarest 20 % (and one more), so only those name candidate pairs; a window that all documents share pairs nothing.
+3. A pair's coverage is counted from all hits.  Pairs of 80 % are compared slot by slot: an item's value must stand for one
+   value of the document, and two names for two names (numbers and units may coincide), in 80 % of the slots; for each
+   shift between the two texts that many windows agree on, the best counts.  Where all values are equal it is a copy.
+4. An item of fewer than five words is found where a whole line of a document consists of it.
+
+Defined results: null and empty texts hold nothing; rows that share a doc_id are one document; rows without doc_id or
+item_id match nothing, nor does a null or empty item; items that share an item_id are looked for each, the best counts; of
+several places the best counts, a tie changes nothing; very long texts are searched whole; an empty table on either side
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafloom.llm._common import Scratch, documents, text_of
 
 WINDOW, LEAST_COVERAGE, LEAST_CONSISTENT = 5, 0.8, 0.8
-#: Benchmark windows up to this number are broadcast (16 bytes each); beyond it the join shuffles.
+#: Distinct benchmark windows up to this number are broadcast (8 bytes each); beyond it the join shuffles.
 MOST_BROADCAST = 2_000_000
 #: Units that are a slot after a number.
 UNITS = (
@@ -37,7 +43,7 @@ def _spaced(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(text, r"[^\p{L}\p{M}0-9\s]+", ""), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, r"[^\p{L}\p{M}0-9]+"), lambda w: w != "")
 
 
 def raw_words(text: Column) -> Column:
@@ -70,60 +76,95 @@ def template_windows(words: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Distinct windows of each item with their number: of its template and, ``plain``, of its words."""
+    """Of each item, by template and (``plain``) by words, the distinct windows: item_id, plain, own."""
     words = benchmark.where("item_id IS NOT NULL").select("item_id", template_words(text_of()).alias("words"), raw_words(text_of()).alias("raw"))
     own = [F.struct(F.lit(False).alias("plain"), F.array_distinct(template_windows(F.col("words"))).alias("own")), F.struct(F.lit(True).alias("plain"), F.array_distinct(windows(F.col("raw"), F.lit(True))).alias("own"))]
     kinds = words.select("item_id", F.explode(F.array(*own)).alias("k")).select("item_id", "k.plain", "k.own")
-    return kinds.select("item_id", "plain", F.size("own").alias("n_windows"), F.explode("own").alias("window"))
+    return kinds.where(F.size("own") > 0).select("item_id", "plain", "own", F.xxhash64("own").alias("text_key")).distinct()
 
 
-def covered(docs: DataFrame, items: DataFrame) -> DataFrame:
+def covered(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id, item_id, plain, coverage`` of pairs that share enough windows, by the words themselves where these do."""
-    if items.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        items = F.broadcast(items)  # size checked above
-    words = docs.select("doc_id", template_words(text_of()).alias("words"), raw_words(text_of()).alias("raw"))
-    both = F.array_distinct(F.concat(windows(F.col("words")), windows(F.col("raw"), F.lit(True))))
-    own = words.select("doc_id", F.explode(both).alias("window"))
-    shared = own.join(items, "window").groupBy("doc_id", "item_id", "plain").agg(F.count(F.lit(1)).alias("n"), F.first("n_windows").alias("n_windows"))
-    coverage = F.least(F.col("n") / F.col("n_windows"), F.lit(1.0))
-    enough = shared.select("doc_id", "item_id", "plain", coverage.alias("coverage")).where(F.col("coverage") >= LEAST_COVERAGE)
-    return enough.groupBy("doc_id", "item_id").agg(F.max("plain").alias("plain"), F.max("coverage").alias("coverage"))
+    keys = items.select(F.explode("own").alias("window")).distinct()
+    if keys.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        keys = F.broadcast(keys)  # size checked above
+    words = docs.where("doc_id IS NOT NULL").select("doc_id", template_words(text_of()).alias("words"), raw_words(text_of()).alias("raw"))
+    own = words.select("doc_id", F.explode(F.concat(windows(F.col("words")), windows(F.col("raw"), F.lit(True)))).alias("window"))
+    hits = scratch.stage(own.join(keys, "window").distinct(), "hits")
+
+    key = ["item_id", "plain", "text_key"]
+    often = hits.groupBy("window").agg(F.count(F.lit(1)).alias("often"))
+    each = items.select(*key, F.size("own").alias("n_windows"), F.explode("own").alias("window")).join(often.hint("merge"), "window")
+    found = each.groupBy(*key, "n_windows").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") >= LEAST_COVERAGE * F.col("n_windows"))
+    # windows that no document holds are the rarest; of the others so many must be looked at
+    asked = F.floor((1 - LEAST_COVERAGE) * F.col("n_windows") + 1e-9) + 1 - (F.col("n_windows") - F.col("found"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("often", "window"))
+    probes = each.join(found.drop("n_windows"), key).withColumn("rank", rank).where(F.col("rank") <= asked).select(*key, "n_windows", "window")
+    pairs = hits.join(probes.hint("merge"), "window").select("doc_id", *key, "n_windows").distinct()
+    own = hits.groupBy("doc_id").agg(F.collect_set("window").alias("held"))  # windows of one document
+    counted = pairs.join(own.hint("merge"), "doc_id").join(items.hint("merge"), key).select("doc_id", "item_id", "plain", (F.size(F.array_intersect("own", "held")) / F.col("n_windows")).alias("coverage"))
+    return counted.where(F.col("coverage") >= LEAST_COVERAGE).groupBy("doc_id", "item_id").agg(F.max("plain").alias("plain"), F.max("coverage").alias("coverage"))
 
 
 def slots(pairs: DataFrame) -> DataFrame:
-    """Adds n_slots, n_changed and n_consistent to rows of doc_text and item_text that match.
-
-    The shift between the two word lists is the most frequent one over the item's windows.
-    """
+    """Adds n_slots, n_changed and n_consistent to rows of doc_text and item_text that match, for the best shift between
+    the two word lists among those that at least half as many windows have as the most frequent one."""
     rows = pairs.select(
         "*", template_words(F.col("item_text")).alias("it"), raw_words(F.col("item_text")).alias("ir"), template_words(F.col("doc_text")).alias("dt"), raw_words(F.col("doc_text")).alias("dr"), template_words(F.col("item_text"), inside=True).alias("inner")
     )
     rows = rows.select("*", F.when(F.col("plain"), windows(F.col("ir"))).otherwise(windows(F.col("it"))).alias("iw"), F.when(F.col("plain"), windows(F.col("dr"))).otherwise(windows(F.col("dt"))).alias("dw"))
-    shift = F.filter(F.transform("iw", lambda w, i: F.when(F.array_contains("dw", w), F.array_position("dw", w).cast("int") - 1 - i)), lambda s: s.isNotNull())
-    rows = rows.withColumn("shifts", shift)
-    often = F.array_max(F.transform(F.array_distinct("shifts"), lambda s: F.struct(F.size(F.filter("shifts", lambda x: x == s)).alias("n"), s.alias("s"))))["s"]
-    rows = rows.withColumn("shift", often)
+    shifts = F.filter(F.transform("dw", lambda w, j: F.when(F.array_contains("iw", w), j + 1 - F.array_position("iw", w).cast("int"))), lambda s: s.isNotNull())
+    rows = rows.withColumn("shifts", shifts)
+    rows = rows.withColumn("counts", F.transform(F.array_distinct("shifts"), lambda s: F.struct(F.size(F.filter("shifts", lambda x: x == s)).alias("n"), s.alias("s"))))
+    rows = rows.withColumn("most", F.array_max("counts")["n"])
     is_slot = lambda w: w.isin(NUMBER_SLOT, UNIT_SLOT, NAME_SLOT)
-    doc = lambda i: F.when(F.col("shift") + i >= 0, F.get("dr", F.col("shift") + i))
-    # a capitalised word that only begins a sentence is a slot where it changed
-    slot = lambda w, i: is_slot(w) & (is_slot(F.get("inner", i)) | ~F.get("ir", i).eqNullSafe(doc(i)))
-    at = F.filter(F.transform("it", lambda w, i: F.when(slot(w, i), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("values", F.transform(at, lambda i: F.struct(F.get("ir", i).alias("item"), doc(i).alias("doc"))))
-    same = F.size(F.filter("values", lambda v: ~F.exists("values", lambda w: (w["item"] == v["item"]) & ~w["doc"].eqNullSafe(v["doc"])) & v["doc"].isNotNull()))
-    changed = F.size(F.filter("values", lambda v: ~v["item"].eqNullSafe(v["doc"])))
-    return rows.select(*[c for c in pairs.columns if c != "plain"], F.size("values").alias("n_slots"), changed.alias("n_changed"), same.alias("n_consistent"))
+
+    def checked(shift: Column) -> Column:
+        doc = lambda i: F.when(shift + i >= 0, F.get("dr", shift + i))
+        # a capitalised word that only begins a sentence is a slot where it changed
+        slot = lambda w, i: is_slot(w) & (is_slot(F.get("inner", i)) | ~F.get("ir", i).eqNullSafe(doc(i)))
+        at = F.filter(F.transform("it", lambda w, i: F.when(slot(w, i), i)), lambda i: i.isNotNull())
+        values = F.transform(at, lambda i: F.struct((F.get("it", i) == NAME_SLOT).alias("name"), F.get("ir", i).alias("item"), doc(i).alias("doc")))
+
+        def counted(v: Column) -> Column:
+            apart = lambda a, b: ((a["item"] == b["item"]) & ~a["doc"].eqNullSafe(b["doc"])) | (a["name"] & b["name"] & (a["item"] != b["item"]) & a["doc"].eqNullSafe(b["doc"]))
+            distinct = F.array_distinct(v)
+            good = F.size(F.filter(v, lambda a: a["doc"].isNotNull() & ~F.exists(distinct, lambda b: apart(a, b))))
+            changed = F.size(F.filter(v, lambda a: ~a["item"].eqNullSafe(a["doc"])))
+            share = F.when(F.size(v) > 0, good / F.size(v)).otherwise(F.lit(1.0))
+            return F.struct(share.alias("share"), (-changed).alias("same"), F.size(v).alias("n_slots"), changed.alias("n_changed"), good.alias("n_consistent"))
+
+        return F.get(F.transform(F.array(values), counted), F.lit(0))
+
+    best = F.array_max(F.transform(F.filter("counts", lambda c: 2 * c["n"] >= F.col("most")), lambda c: checked(c["s"])))
+    return rows.withColumn("best", best).select(*[c for c in pairs.columns if c != "plain"], "best.n_slots", "best.n_changed", "best.n_consistent")
+
+
+def short_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """Documents with a line that is an item of one to four words; None where there are no such items."""
+    words = raw_words(text_of())
+    short = benchmark.where("item_id IS NOT NULL").select("item_id", words.alias("w")).where(F.size("w").between(1, WINDOW - 1)).select("item_id", F.array_join("w", " ").alias("line"))
+    if short.isEmpty():
+        return None
+    lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.split(text_of(), "\n")).alias("text"))
+    lines = lines.select("doc_id", raw_words(F.col("text")).alias("w")).where(F.size("w").between(1, WINDOW - 1)).select("doc_id", F.array_join("w", " ").alias("line")).distinct()
+    zero = F.lit(0)
+    return lines.join(short, "line").select("doc_id", "item_id", F.lit(1.0).alias("coverage"), zero.alias("n_slots"), zero.alias("n_changed"), zero.alias("n_consistent")).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, coverage, n_slots, n_changed, n_consistent."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = scratch.stage(benchmark_windows(benchmark), "items")
-    pairs = scratch.stage(covered(docs, items), "pairs")
+    pairs = scratch.stage(covered(docs, items, scratch), "pairs")
+    scratch.drop("hits")
     texts = docs.select("doc_id", text_of().alias("doc_text"))
     found = pairs.join(texts, "doc_id").join(benchmark.select("item_id", text_of().alias("item_text")), "item_id")
     # staged before the filter: pushed below, it would repeat the whole chain of expressions for every value
     checked = scratch.stage(slots(found).drop("doc_text", "item_text"), "checked").where(F.col("n_consistent") >= LEAST_CONSISTENT * F.col("n_slots"))
-    return checked.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("coverage", "n_slots", "n_changed", "n_consistent")])
+    short = short_items(docs, benchmark)
+    out = checked if short is None else checked.unionByName(short)
+    return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("coverage", "n_slots", "n_changed", "n_consistent")])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
