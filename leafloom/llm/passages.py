@@ -182,7 +182,9 @@ def similar_paragraphs(lines: DataFrame, texts: DataFrame, scratch: Scratch, per
     """``node, component`` of different paragraphs that are similar: every pair that shares a bucket is verified."""
     entry = lines.select(F.explode("keys").alias("bucket"), "full")
     buckets = entry.groupBy("bucket").agg(F.min("full").alias("a"), F.max("full").alias("b")).where("a <> b").select("bucket")
+    buckets = scratch.stage(buckets, "buckets")  # apart from the join, so that only one shuffle of the entries is held
     met = scratch.stage(entry.join(buckets.hint("merge"), "bucket").distinct(), "met")
+    scratch.drop("buckets")
     shared = scratch.stage(met.join(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).hint("merge"), "bucket"), "shared")
     scratch.drop("met")
     wanted = shared.select("full").distinct()
