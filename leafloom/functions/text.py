@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,13 +95,22 @@ def hash_bucket(word: Column, dim: int) -> Column:
     return F.pmod(number, F.lit(dim).cast("decimal(20,0)")).cast("int")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def hash_counts(text: Column, dim: int) -> Column:
+    """Words of a text by hash bucket; each word is hashed once, and counting is a native scan for each bucket."""
+    w = let(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""), lambda x: F.when(F.size(x) == 0, F.array(F.lit("__empty__"))).otherwise(x))
+    code = lambda k: F.concat(F.lit("|"), F.lpad(k.cast("string"), 7, "0"))
+    places = F.array_join(F.transform(w, lambda x: code(hash_bucket(x, dim))), "")
+    return let(places, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: occurrences(s, code(k)).cast("double")))
+
+
 def hash_embedding(text: Column, dim: int) -> Column:
     """The offline embedding: counts of words by hash bucket, to unit length."""
-    w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    w = F.when(F.size(w) == 0, F.array(F.lit("__empty__"))).otherwise(w)
-    places = F.transform(w, lambda x: hash_bucket(x, dim))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
-    return unit(counts)
+    return unit(hash_counts(text, dim))
 
 
 def norm(v: Column) -> Column:
@@ -108,7 +119,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """To length 1; a zero vector stays."""
-    return F.when(norm(v) == 0, v).otherwise(F.transform(v, lambda x: x / norm(v)))
+    return let(v, lambda w: let(norm(w), lambda n: F.when(n == 0, w).otherwise(F.transform(w, lambda x: x / n))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -143,21 +154,40 @@ def source_locale(source: Column, known: list[str]) -> Column:
 def evidence(text: Column, terms: list[str]) -> Column:
     """The window of the text with most term occurrences: struct of text, matched_terms, start, end.
 
-    Windows begin at 0 and 120 characters before each occurrence; the smallest start wins a tie.
+    Windows begin at 0 and 120 characters before each occurrence; the smallest start wins a tie.  The cleaned text is bound
+    once and cut into chunks of a window's size, so a window costs two chunks wherever it lies.
     """
+    size = EVIDENCE_CHARS
+
+    def begins(low: Column, term: str) -> Column:
+        """A little before each occurrence: the pieces between occurrences give their places."""
+        def summed(sizes: Column) -> Column:
+            seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+            step = lambda a, n: F.struct((a["at"] + n + len(term)).alias("at"), F.array_append(a["out"], F.greatest(F.lit(0), a["at"] + n - size // 3)).alias("out"))
+            return F.aggregate(F.slice(sizes, F.lit(1), F.size(sizes) - 1), seed, step)["out"]
+
+        return let(F.transform(F.split(low, rf"\Q{term}\E", -1), lambda p: F.length(p)), summed)
+
+    def over(clean: Column, low: Column, chunks: Column) -> Column:
+        def window(s: Column) -> Column:
+            k = F.floor(s / size).cast("int")
+            two = F.concat(F.coalesce(F.get(chunks, k), F.lit("")), F.coalesce(F.get(chunks, k + 1), F.lit("")))
+            return F.substring(two, s - k * size + 1, F.lit(size))
+
+        score = lambda w: sum((occurrences(w, F.lit(t)) for t in terms), F.lit(0).cast("long"))
+        starts = F.concat(F.array(F.lit(0)), *[begins(low, t) for t in terms])
+        best = F.negative(F.array_max(F.transform(F.array_distinct(starts), lambda s: F.struct(let(window(s), score).alias("n"), F.negative(s).alias("s"))))["s"])
+
+        def shown(at: Column) -> Column:
+            end = F.least(F.length(clean), at + size)
+            cut = F.substring(clean, at + 1, F.lit(size))
+            out = F.when(at > 0, F.concat(F.lit("..."), F.ltrim(cut))).otherwise(cut)
+            out = F.when(end < F.length(clean), F.concat(F.rtrim(out), F.lit("..."))).otherwise(out)
+            matched = let(window(at), lambda w: F.filter(F.array(*[F.lit(t) for t in terms]).cast("array<string>"), lambda t: F.contains(w, t)))
+            return F.struct(out.alias("text"), matched.alias("matched_terms"), at.alias("start"), end.alias("end"))
+
+        return let(best, shown)
+
+    chunked = lambda low: F.regexp_extract_all(low, F.lit("(?s).{1,%d}" % size), F.lit(0))
     clean = F.regexp_replace(text, r"^\s+|\s+$", "")
-    low = F.lower(clean)
-    starts = F.array(F.lit(0))
-    for t in terms:
-        sizes = F.transform(F.split(low, rf"\Q{t}\E", -1), lambda p: F.length(p))
-        ends = F.aggregate(F.slice(sizes, F.lit(1), F.size(sizes) - 1), F.array().cast("array<int>"), lambda a, n: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)) + len(t), F.lit(0)) + n))
-        starts = F.concat(starts, F.transform(ends, lambda p: F.greatest(F.lit(0), p - EVIDENCE_CHARS // 3)))
-    window = lambda s: F.substring(low, s + 1, F.lit(EVIDENCE_CHARS))
-    score = lambda s: sum((occurrences(window(s), F.lit(t)) for t in terms), F.lit(0).cast("long"))
-    best = F.negative(F.array_max(F.transform(F.array_distinct(starts), lambda s: F.struct(score(s).alias("n"), F.negative(s).alias("s"))))["s"])
-    end = F.least(F.length(clean), best + EVIDENCE_CHARS)
-    cut = F.substring(clean, best + 1, F.lit(EVIDENCE_CHARS))
-    shown = F.concat(F.when(best > 0, F.concat(F.lit("..."), F.ltrim(cut))).otherwise(cut), F.lit(""))
-    shown = F.when(end < F.length(clean), F.concat(F.rtrim(shown), F.lit("..."))).otherwise(shown)
-    matched = F.filter(F.array(*[F.lit(t) for t in terms]).cast("array<string>"), lambda t: F.contains(window(best), t))
-    return F.struct(shown.alias("text"), matched.alias("matched_terms"), best.alias("start"), end.alias("end"))
+    return let(clean, lambda c: let(F.lower(c), lambda low: let(chunked(low), lambda chunks: over(c, low, chunks))))

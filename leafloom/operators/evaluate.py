@@ -11,14 +11,24 @@ CHUNK_WORDS = 512
 def chunks(docs: DataFrame, size: int = CHUNK_WORDS) -> DataFrame:
     """``doc_id, text`` to chunks of ``size`` words with character offsets.
 
-    A word's offset comes from the lengths of the words and gaps before it, within one row; nothing is shuffled.
+    A chunk is cut from the words and the gaps before them, its offset comes from the lengths of the chunks before it; all
+    within one row, nothing is shuffled and no row carries the whole text beside its chunks.
     """
-    rows = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w"), F.split("text", r"\S+", -1).alias("g")).where(F.size("w") > 0)
-    length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    rows = rows.select("doc_id", "text", "w", "g", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / size).cast("int"))).alias("chunk"))
-    first, last = F.col("chunk") * size, F.least(F.size("w"), (F.col("chunk") + 1) * size)
-    rows = rows.withColumn("start", length(F.col("g"), first + 1) + length(F.col("w"), first)).withColumn("end", length(F.col("g"), last) + length(F.col("w"), last))
-    return rows.select("doc_id", "chunk", "start", "end", F.expr("substring(text, start + 1, end - start)").alias("text"))
+    words, gaps = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), F.split("text", r"\S+", -1)
+
+    def cut(pair: Column) -> Column:
+        part = lambda a, k: F.slice(a, k * size + 1, F.lit(size))
+        count = F.floor((F.size(pair["w"]) - 1) / size).cast("int")
+        body = lambda k: F.array_join(F.zip_with(part(pair["w"], k), F.slice(pair["g"], k * size + 1, F.size(part(pair["w"], k))), lambda w, g: F.concat(g, w)), "")
+        return F.transform(F.sequence(F.lit(0), count), lambda k: F.struct(body(k).alias("body"), F.length(F.get(pair["g"], k * size)).alias("lead")))
+
+    def placed(pieces: Column) -> Column:
+        ahead = lambda k: F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x["body"]))
+        piece = lambda x, k: T.let(ahead(k), lambda at: F.struct(k.alias("chunk"), (at + x["lead"]).alias("start"), (at + F.length(x["body"])).alias("end"), F.substring(x["body"], x["lead"] + 1, F.length(x["body"])).alias("text")))
+        return F.transform(pieces, piece)
+
+    rows = docs.select("doc_id", F.struct(words.alias("w"), gaps.alias("g")).alias("p")).where(F.size("p.w") > 0)
+    return rows.select("doc_id", F.explode(T.let(T.let(F.col("p"), cut), placed)).alias("c")).select("doc_id", "c.*")
 
 
 def assign_sections(pieces: DataFrame, sections: DataFrame) -> DataFrame:

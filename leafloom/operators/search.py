@@ -137,12 +137,20 @@ class Signals:
             return F.lit(0.0)
         return IDENTITY * T.clamp(add([F.when(self._in(["h_doc", "h_source"], self.single[t]), self.q.weights[t]).otherwise(0.0) for t in own]) / total)
 
+    def counted(self, recs: DataFrame) -> DataFrame:
+        """Adds ``tfs``, by term the largest count of a single-word variant among the record's tokens: one native scan of
+        the joined tokens for each variant, done once for all signals."""
+        joined = F.concat(F.lit(" "), F.array_join("tokens", "  "), F.lit(" "))
+        forms = {t: [v for v in self.single[t] if self.df.get(v, 0) > 0] for t in self.q.terms}
+
+        def counts(s: Column) -> Column:
+            each = [[T.occurrences(s, F.lit(f" {v} ")).cast("int") for v in forms[t]] for t in self.q.terms]
+            return F.array(*[F.lit(0) if not c else c[0] if len(c) == 1 else F.greatest(*c) for c in each]).cast("array<int>")
+
+        return recs.withColumn("tfs", T.let(joined, counts))
+
     def tf(self, term: str) -> Column:
-        """The largest count of a single-word variant among the record's tokens."""
-        forms = self.single[term]
-        count = lambda v: F.size(F.filter("tokens", lambda x: x == v))
-        counts = [count(v) for v in forms if self.df.get(v, 0) > 0]
-        return F.lit(0) if not counts else counts[0] if len(counts) == 1 else F.greatest(*counts)
+        return F.get("tfs", F.lit(self.q.terms.index(term)))
 
     def sparse(self) -> Column:
         """BM25 over the terms that occur, against the most these could give."""
@@ -198,7 +206,7 @@ def blend(vector: Column, lexical: Column, sparse: Column, graph: Column | None
 def score(recs: DataFrame, signals: Signals, vector: list[float] | None) -> DataFrame:
     """Signals and ``base_score`` of every record, in one pass."""
     dense = T.clamp(T.dot(F.col("vector"), F.array(*[F.lit(float(x)) for x in vector]))) if vector is not None else F.lit(0.0)
-    rows = recs.select(
+    rows = signals.counted(recs).select(
         "*", F.coalesce(dense, F.lit(0.0)).alias("vector_score"), signals.lexical().alias("profile"), signals.focus().alias("focus"), signals.coverage().alias("coverage"), signals.overview().alias("overview"),
         signals.sparse().alias("sparse_score"), signals.identity().alias("identity_bonus"), signals.factor().alias("rank_factor"),
     )
@@ -206,7 +214,7 @@ def score(recs: DataFrame, signals: Signals, vector: list[float] | None) -> Data
     lexical = F.least(F.lit(1.0), supported * (COVERAGE_FLOOR + COVERAGE_WEIGHT * F.col("coverage")) + F.col("overview"))
     rows = rows.withColumn("lexical_score", lexical)
     base = F.least(F.lit(1.0), blend(F.col("vector_score"), F.col("lexical_score"), F.col("sparse_score")) + F.col("identity_bonus")) * F.col("rank_factor")
-    return rows.withColumn("base_score", base)
+    return rows.withColumn("base_score", base).drop("tfs")
 
 
 def graph_edges(sections: DataFrame, xrefs: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
@@ -257,7 +265,7 @@ def shortlist(recs: DataFrame, signals: Signals, vector: list[float] | None, k:
     want = max(SHORTLIST, PER_RESULT * k, PER_DOC_RESULT * k * sections_per_doc)
     key = ["doc_id", "section_id"]
     dense = T.dot(F.col("vector"), F.array(*[F.lit(float(x)) for x in vector])) if vector is not None else F.lit(0.0)
-    rows = recs.select(*key, "rec_ord", F.coalesce(dense, F.lit(0.0)).alias("dense"), signals.quick().alias("quick"))
+    rows = signals.counted(recs).select(*key, "rec_ord", F.coalesce(dense, F.lit(0.0)).alias("dense"), signals.quick().alias("quick"))
     first = rows.where("dense > 0").orderBy(F.desc("dense"), "rec_ord").limit(min(want, max(32 * k, want // 2))).select(*key)
     second = rows.where("quick > 0").orderBy(F.desc("quick"), "rec_ord").limit(want).select(*key)
     found = first.union(second).distinct()

@@ -79,9 +79,8 @@ def get_section(sections: DataFrame, summaries: DataFrame, doc_id: str, section_
     """One row: content at the level, path, whether it has children, deeper levels.  ``expand`` is the same query."""
     own = sections.where((F.col("doc_id") == doc_id) & (F.col("section_id") == section_id))
     rows = own.join(summaries.select("doc_id", "section_id", "gist", "synopsis", "digest"), ["doc_id", "section_id"], "left")
-    found = rows.select("doc_id", "section_id", "title", "path", content_at(level).alias("content"), (F.size("children") > 0).alias("has_children"), deeper_levels(level).alias("next_levels")).cache()
-    first = found.head()
-    if first is None or first.content is None:
+    found = rows.select("doc_id", "section_id", "title", "path", content_at(level).alias("content"), (F.size("children") > 0).alias("has_children"), deeper_levels(level).alias("next_levels"))
+    if found.where("content IS NOT NULL").isEmpty():
         raise schema.NotFound(f"{section_id} at level {level}")
     return found
 

@@ -11,7 +11,7 @@ from leafloom import schema
 from leafloom.functions import text as T
 
 SCOPE = r"^[a-z0-9][a-z0-9_/-]*$"
-#: Query vectors up to this number are broadcast; more go in several plans of this size.
+#: Query vectors of one block; more queries are dealt to several blocks.
 MOST_QUERIES = 4096
 
 
@@ -33,15 +33,19 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 8, scope: str | Non
 
 
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
-    """The k best for each row of ``query_id, query`` (unit vectors, at most MOST_QUERIES rows): a block of queries
-    against all rows, with a partial top k in each task before the shuffle."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise schema.InvalidInput(f"more than {MOST_QUERIES} queries in one plan")
-    block = queries.agg(F.collect_list(F.struct("query_id", "query")).alias("block"))  # at most MOST_QUERIES vectors
-    scored = vectors.join(F.broadcast(block)).select("doc_id", "section_id", "vector", F.explode("block").alias("q"))
-    scored = scored.select("q.query_id", "doc_id", "section_id", T.clamp(T.dot(F.col("vector"), F.col("q.query"))).alias("score"))
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "section_id", "doc_id")
-    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    """The k best for each row of ``query_id, query`` (unit vectors): blocks of about MOST_QUERIES queries, each against all
+    rows, with a partial top k in each task before the shuffle."""
+    blocks = max(1, -(-queries.count() // (MOST_QUERIES // 2)))  # hashed blocks are uneven
+    numbered = queries.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    out = None
+    for b in range(blocks):
+        block = numbered.where(F.col("b") == b).agg(F.collect_list(F.struct("query_id", "query")).alias("block"))
+        scored = vectors.join(F.broadcast(block)).select("doc_id", "section_id", "vector", F.explode("block").alias("q"))
+        scored = scored.select("q.query_id", "doc_id", "section_id", T.clamp(T.dot(F.col("vector"), F.col("q.query"))).alias("score"))
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "section_id", "doc_id")
+        best = scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def check(vectors: DataFrame, sections: DataFrame, dim: int) -> DataFrame:

@@ -162,11 +162,6 @@ def child_lists(spark, sf):
     return A.tree(spark, sf).where(F.size("children") > 0).select("doc_id", "section_id", F.array_join("children", ",").alias("children"))
 
 
-@query("tree_problems", "SELECT CAST(NULL AS VARCHAR) AS doc_id, CAST(NULL AS VARCHAR) AS section_id, CAST(NULL AS VARCHAR) AS problem WHERE FALSE")
-def tree_problems(spark, sf):
-    return tree.validate(A.tree(spark, sf))
-
-
 @query(
     "read_range_budget",
     f"""WITH {SQL_LINES}, k AS (SELECT doc_id, pos, section_id, '## ' || title || chr(10) || chr(10) || line AS content FROM l), b AS (SELECT *, {TOKENS.format('content')} AS tokens FROM k),
@@ -220,11 +215,10 @@ def l2_normalize(spark, sf):
     n AS (SELECT doc_id, bucket, count(*) AS n FROM b GROUP BY ALL) SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM n""",
 )
 def hash_embed(spark, sf):
-    """The offline embedding of whole documents as sparse rows: words are counted by bucket before anything is squared."""
-    words = A.table(spark, sf, "documents").select("doc_id", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("word"))
-    n = words.groupBy("doc_id", T.hash_bucket(F.col("word"), 64).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc_id")))
-    return n.select("doc_id", "bucket", F.round(F.col("n") / total, 6).alias("value"))
+    """The offline embedding of whole documents, as the sparse rows of its values."""
+    docs = A.table(spark, sf, "documents").where("trim(text) <> ''")
+    rows = docs.select("doc_id", F.posexplode(T.hash_embedding(F.col("text"), 64)).alias("bucket", "v")).where("v <> 0")
+    return rows.select("doc_id", "bucket", F.round("v", 6).alias("value"))
 
 
 SQL_RECORDS = f"""{SQL_LINES}, r AS (SELECT doc_id, section_id, pos, source, title,
@@ -402,11 +396,6 @@ def entity_mentions(spark, sf):
     return entities.hits(A.lines(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))).select("doc_id", "hit_ord", "section_id", "canonical", "kind", "span.start", "span.end")
 
 
-@query("xref_textual", f"""WITH {SQL_LINES}, g AS (SELECT doc_id, pos, unnest(regexp_extract_all(line, '(?i)(?:§\\s*|(?:Section|Chapter|§)\\s+)([0-9]+(?:\\.[0-9]+)*)\\b', 1)) AS number FROM l) SELECT doc_id, pos, number FROM g""")
-def xref_textual(spark, sf):
-    return xrefs._matches(A.lines(spark, sf), xrefs.REFERENCE).select("doc_id", "pos", F.col("found").alias("number"))
-
-
 @query("shared_entity_pairs", f"""WITH {SQL_NAMED}, k AS (SELECT DISTINCT canonical, doc_id, section_id FROM m), f AS (SELECT canonical FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 24)
 SELECT DISTINCT a.doc_id AS l_doc, a.section_id AS l_section, b.doc_id AS r_doc, b.section_id AS r_section FROM k a JOIN k b USING (canonical) JOIN f USING (canonical) WHERE (a.doc_id, a.section_id) < (b.doc_id, b.section_id)""")
 def shared_entity_pairs(spark, sf):

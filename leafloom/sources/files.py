@@ -6,6 +6,7 @@ import fnmatch
 import os
 import re
 import tomllib
+import uuid
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -20,13 +21,18 @@ from leafloom.sources import markdown
 MARKDOWN = (".md", ".markdown", ".mdown", ".mkd")
 PDF = (".pdf",)
 CONVERTED = (".docx", ".pptx", ".xlsx", ".xls", ".html", ".htm", ".csv", ".json", ".xml", ".txt", ".rtf", ".epub", ".msg", ".ipynb", ".rst", ".tsv", ".zip", ".odt")
+#: Folders that are never documents.
+EXCLUDED = tuple(f"{name}/**" for name in (
+    ".git", ".codegraph", ".hypothesis", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".venv", ".tox", ".nox", "venv", "node_modules", "dist", "build", "site", "__pycache__",
+))
 CONFIG = "loom.toml"
+BUCKETS = 64
 
 
 @dataclass(frozen=True)
 class RepoConfig:
     include: tuple[str, ...] = ("**/*.md",)
-    exclude: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = EXCLUDED
     documents_dir: str = "documents"
     primary_doc: str | None = None
     convert: bool = False
@@ -97,36 +103,67 @@ def excluded(source, patterns: tuple[str, ...]):
 
 
 def document_ids(found: DataFrame) -> DataFrame:
-    """``source`` to ``id``: the path without suffix as one slug; collisions are numbered in path order.
+    """``source`` to ``id``: the path without suffix as one slug; in path order an id in use moves on to the next free number.
 
-    A numbered id that another path already has by itself moves on by the number of paths that share the slug.
+    Numbers can only clash among slugs that differ in trailing numbers.  Where such slugs meet, their paths (nothing else
+    of the rows) are numbered one by one; all others by a window over their slug.
     """
     base = T.slug(F.regexp_replace(F.regexp_replace("source", r"\.[^./]+$", ""), "/", "-"), "document")
-    order = Window.partitionBy("base").orderBy("source")
-    rows = found.withColumn("base", base).withColumn("n", F.row_number().over(order)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("base")))
-    first = rows.select(F.col("base").alias("taken")).distinct()
-    name = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "n"))
-    rows = rows.withColumn("id", name).join(first, (F.col("id") == F.col("taken")) & (F.col("n") > 1), "left")
-    return rows.withColumn("id", F.when(F.col("taken").isNotNull(), F.concat_ws("-", "base", F.col("n") + F.col("of"))).otherwise(F.col("id"))).drop("base", "n", "of", "taken")
+    rows = found.withColumn("base", base).withColumn("root", F.regexp_replace("base", "(?:-[0-9]+)+$", ""))
+    mixed = rows.groupBy("root").agg(F.min("base").alias("a"), F.max("base").alias("b")).select("root", (F.col("a") != F.col("b")).alias("mixed"))
+    rows = rows.join(mixed, "root")
+    n = F.row_number().over(Window.partitionBy("base").orderBy("source"))
+    plain = rows.where("NOT mixed").withColumn("id", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", F.col("base"), n)))
+
+    def number(group):
+        used, after, ids = set(), {}, []
+        group = group.sort_values("source")
+        for name in group["base"]:
+            own, k = name, after.get(name, 2)
+            while own in used:
+                own, k = f"{name}-{k}", k + 1
+            after[name] = k
+            used.add(own)
+            ids.append(own)
+        return group.assign(id=ids)[["source", "id"]]
+
+    clash = rows.where("mixed").select("root", "source", "base").groupBy("root").applyInPandas(number, "source string, id string")
+    clash = rows.where("mixed").join(clash, "source")
+    return plain.unionByName(clash).drop("base", "root", "mixed")
 
 
 def select_sources(paths: DataFrame, config: RepoConfig) -> DataFrame:
-    """Paths (column ``source``) that are included, not excluded and supported, once each, with ids and order."""
+    """Paths (column ``source``) that are included, not excluded and supported, once each, with ids and ``doc_ord``, which
+    grows in path order (a range sort; the numbers may leave gaps)."""
     suffixes = MARKDOWN + PDF + (CONVERTED if config.convert else ())
     keep = F.lit(False)
     for p in config.include:
         keep = keep | F.col("source").rlike(glob_regex(p))
     suffix = F.lower(F.regexp_extract("source", r"(\.[^./]+)$", 1))
     found = paths.where(keep & ~excluded(F.col("source"), config.exclude) & suffix.isin(*suffixes)).dropDuplicates(["source"])
-    return document_ids(found).withColumn("doc_ord", F.row_number().over(Window.orderBy("source")) - 1)
+    return document_ids(found).orderBy("source").withColumn("doc_ord", F.monotonically_increasing_id())
 
 
 def discover(spark: SparkSession, root: str, config: RepoConfig) -> DataFrame:
-    """``id, source, doc_ord, content, source_file_hash`` of a repository's documents."""
+    """``id, source, doc_ord, content, source_file_hash`` of a repository's documents.
+
+    Ids and order are made from the paths alone; the contents of the chosen files are joined last.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = Path(root).resolve().as_posix()
     source = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{re.escape(base)}/", "")
-    return select_sources(files.select(source.alias("source"), "content"), config).withColumn("source_file_hash", F.sha2("content", 256))
+    chosen = select_sources(files.select(source.alias("source")), config)
+    return chosen.join(files.select(source.alias("source"), "content"), "source").withColumn("source_file_hash", F.sha2("content", 256))
+
+
+def parser_of(source: str, convert: bool = True) -> str:
+    """The reader of a path by its suffix: markdown, pdf or converted; an unknown suffix is an error."""
+    suffix = os.path.splitext(source)[1].lower()
+    kinds = {"markdown": MARKDOWN, "pdf": PDF, "converted": CONVERTED if convert else ()}
+    for kind, own in kinds.items():
+        if suffix in own:
+            return kind
+    raise schema.InvalidConfig(f"no parser for {suffix!r}: {source}")
 
 
 def read_markdown(discovered: DataFrame) -> DataFrame:
@@ -172,7 +209,7 @@ def pages_to_sections(pages: DataFrame, toc: DataFrame | None = None, spans: Dat
     heads = None
     if toc is not None:
         good = toc.where("trim(title) <> '' AND level IS NOT NULL AND page IS NOT NULL")
-        heads = good.join(placed.select("doc_id", "page", "offset"), ["doc_id", "page"]).select("doc_id", "ord", F.greatest(F.lit(1), F.least(F.lit(6), "level")).alias("level"), F.trim("title").alias("title"), F.col("offset").alias("start"))
+        heads = good.join(placed.select("doc_id", "page", "offset"), ["doc_id", "page"]).select("doc_id", "ord", F.greatest(F.lit(1), F.col("level")).alias("level"), F.trim("title").alias("title"), F.col("offset").alias("start"))
     elif spans is not None:
         median = spans.groupBy("doc_id").agg(F.percentile("size", 0.5).alias("median"))
         big = spans.join(median, "doc_id").where("size >= 1.3 * median AND length(trim(text)) BETWEEN 1 AND 200").select("doc_id", "page", F.trim("text").alias("title"))
@@ -184,10 +221,13 @@ def pages_to_sections(pages: DataFrame, toc: DataFrame | None = None, spans: Dat
     lone = docs.where("text <> ''").join(heads.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("ord"), F.lit(1).alias("level"), F.lit("document").alias("title"), F.lit(0).alias("start"))
     heads = heads.unionByName(lone).join(docs, "doc_id")
     heads = heads.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "ord")) - 1).withColumn("body_start", F.col("start"))
-    rows = markdown.assemble(heads.select("doc_id", "pos", "level", "title", "start", "body_start", "size"))
+    # nesting compares levels as given (their ranks: any six distinct ones); only the stored level is clamped
+    rank = F.least(F.lit(6), F.dense_rank().over(Window.partitionBy("doc_id").orderBy("level")))
+    heads = heads.withColumn("stored", F.least(F.lit(6), F.col("level"))).withColumn("level", rank)
+    rows = markdown.assemble(heads.select("doc_id", "pos", "level", "stored", "title", "start", "body_start", "size"))
     raw = docs.select("doc_id", F.encode("text", "UTF-8").alias("raw"))
     body = F.decode(F.substring(F.col("raw"), F.col("body_start") + 1, F.greatest(F.lit(0), F.col("body_end") - F.col("body_start"))), "UTF-8")
-    return rows.join(raw, "doc_id").select("doc_id", "pos", "section_id", "title", "level", "parent", "children", "span", "path", body.alias("raw_text"))
+    return rows.join(raw, "doc_id").select("doc_id", "pos", "section_id", "title", F.col("stored").alias("level"), "parent", "children", "span", "path", body.alias("raw_text"))
 
 
 class Store:
@@ -197,18 +237,38 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def write(self, name: str, rows: DataFrame) -> None:
-        """Replaces the documents that ``rows`` has; others stay."""
-        out = rows.withColumn("format_version", F.lit(schema.FORMAT_VERSION)).repartition("doc_id")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(f"{self.root}/{name}")
+        """Replaces the documents that ``rows`` has; others stay.
+
+        Documents lie in BUCKETS folders by their hash.  New rows, and what else the touched folders hold, are staged beside
+        the table, then those folders are overwritten.
+        """
+        work = f"{self.root}/_work-{name}-{uuid.uuid4().hex[:12]}"
+        bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(BUCKETS)).cast("int")
+        try:
+            rows.withColumn("format_version", F.lit(schema.FORMAT_VERSION)).withColumn("bucket", bucket).write.parquet(f"{work}/new")
+            new = self.spark.read.parquet(f"{work}/new")
+            found = new
+            if self._exists(name):
+                touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most BUCKETS rows
+                old = self.spark.read.schema(new.schema).parquet(f"{self.root}/{name}").where(F.col("bucket").isin(*touched))
+                old.join(new.select("doc_id").distinct(), "doc_id", "left_anti").select(*new.columns).write.parquet(f"{work}/old")
+                found = new.unionByName(self.spark.read.schema(new.schema).parquet(f"{work}/old"))
+            found.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
+        finally:
+            self._path(work).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(self._path(work), True)
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _exists(self, name: str) -> bool:
+        path = self._path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def read(self, name: str, ddl: str, optional: bool = False) -> DataFrame:
         """The table; an unknown format version is an error, an absent optional table is empty."""
-        try:
-            rows = self.spark.read.schema(f"{ddl}, format_version int").parquet(f"{self.root}/{name}")
-        except Exception as error:
-            if optional and "PATH_NOT_FOUND" in str(error):
-                return self.spark.createDataFrame([], ddl)
-            raise
+        if optional and not self._exists(name):
+            return self.spark.createDataFrame([], ddl)
+        rows = self.spark.read.schema(f"{ddl}, format_version int").parquet(f"{self.root}/{name}").drop("bucket")
         known = F.assert_true(F.col("format_version") == schema.FORMAT_VERSION, F.lit("unknown format version"))
         return rows.where(known.isNull()).drop("format_version")
 

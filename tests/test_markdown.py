@@ -1,3 +1,6 @@
+import pytest
+
+from leafloom import schema
 from leafloom.operators import tree
 from leafloom.session import ship
 from leafloom.sources import files, markdown
@@ -47,6 +50,27 @@ def test_discovery(spark, tmp_path):
     assert files.read_markdown(files.discover(spark, str(tmp_path), files.RepoConfig())).count() == 5
 
 
+def test_document_ids_skip_ids_in_use(spark, tmp_path):
+    names = ["A.md", "a-2.md", "a-4.md", "a.md", "b.md", "B.md", "b-2.md", "\u4e2d.md", "\u56fd.md"]
+    want, used = {}, set()
+    for name in sorted(names):
+        base = name[:-3].lower() if name[0].isascii() else "document"
+        own, k = base, 2
+        while own in used:
+            own, k = f"{base}-{k}", k + 1
+        used.add(own)
+        want[name] = own
+    got = files.document_ids(spark.createDataFrame([(n,) for n in names], "source string")).collect()
+    assert {r.source: r.id for r in got} == want and len(set(want.values())) == len(names)
+    assert files.parser_of("x/Y.MD") == "markdown" and files.parser_of("a.pdf") == "pdf" and files.parser_of("a.html") == "converted"
+    with pytest.raises(schema.InvalidConfig):
+        files.parser_of("a.exe")
+    for name in ("node_modules/x/a.md", "docs/build/b.md", "docs/c.md", ".venv/d.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("# Hi")
+    assert [r.source for r in files.discover(spark, str(tmp_path), files.RepoConfig()).collect()] == ["docs/c.md"]
+
+
 def test_config_round_trip(tmp_path):
     config = files.RepoConfig(exclude=("x/**",), sections_per_doc=3, primary_doc="readme")
     files.write_config(str(tmp_path), config)
