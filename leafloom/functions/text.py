@@ -18,6 +18,11 @@ _FROM = "".join(_PLAIN.values())
 _TO = "".join(k * len(v) for k, v in _PLAIN.items())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slug(title: Column, fallback: str = "section") -> Column:
     """Lower case, Latin letters without marks, other runs to one hyphen; ``fallback`` where nothing is left."""
     low = F.translate(F.lower(title), _FROM, _TO)
@@ -64,16 +69,17 @@ def embedding_text(title: Column, body: Column) -> Column:
 
 def summary(title: Column, body: Column, level: str) -> Column:
     """The offline summary: the first words of the body, with an ellipsis where it was cut."""
-    w, n = words(body), LEVELS[level]
-    cut = F.concat(F.array_join(F.slice(w, 1, n), " "), F.when(F.size(w) > n, F.lit("…")).otherwise(F.lit("")))
+    n = LEVELS[level]
     blank = F.when(F.trim(title) == "", F.lit("Section.")).otherwise(F.concat(F.trim(title), F.lit(".")))
-    return F.when(F.size(w) == 0, blank).otherwise(cut)
+    cut = lambda w: F.concat(F.array_join(F.slice(w, 1, n), " "), F.when(F.size(w) > n, F.lit("…")).otherwise(F.lit("")))
+    return let(words(body), lambda w: F.when(F.size(w) == 0, blank).otherwise(cut(w)))
 
 
 def within_budget(text: Column, level: str) -> Column:
     """The text itself within the level's budget, else its first words with an ellipsis."""
-    w, n = words(text), BUDGETS[level]
-    return F.when(F.size(w) <= n, text).otherwise(F.concat(F.array_join(F.slice(w, 1, n), " "), F.lit("…")))
+    n = BUDGETS[level]
+    cut = lambda w: F.concat(F.array_join(F.slice(w, 1, n), " "), F.lit("…"))
+    return let(text, lambda t: let(words(t), lambda w: F.when(F.size(w) <= n, t).otherwise(cut(w))))
 
 
 def head(text: Column) -> Column:
@@ -91,13 +97,8 @@ def search_tokens(text: Column) -> Column:
 
 def hash_bucket(word: Column, dim: int) -> Column:
     """First eight bytes of the word's SHA-256 as a number, modulo ``dim``."""
-    number = F.conv(F.substring(F.sha2(word, 256), 1, 16), 16, 10).cast("decimal(20,0)")
-    return F.pmod(number, F.lit(dim).cast("decimal(20,0)")).cast("int")
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once, also inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    half = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("long") % dim
+    return let(F.sha2(word, 256), lambda h: (half(h, 1) * ((1 << 32) % dim) + half(h, 9)) % dim).cast("int")
 
 
 def hash_counts(text: Column, dim: int) -> Column:

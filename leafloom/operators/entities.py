@@ -73,7 +73,7 @@ def vocabulary(sections: DataFrame) -> DataFrame:
     part = lambda terms, kind: F.transform(terms, lambda t, i: F.struct(F.lit(kind).alias("kind"), t.alias("name"), i.alias("i")))
     heading = F.filter(F.array(heading_term(F.col("title"))), lambda t: t.isNotNull())
     found = F.concat(part(code_terms(b), "code"), part(bold_terms(b), "defined"), part(proper_terms(b), "proper"), part(heading, "defined"))
-    rows = sections.select("doc_id", "pos", F.posexplode(found).alias("at", "t")).select("doc_id", "pos", "at", "t.kind", F.trim("t.name").alias("canonical"))
+    rows = sections.select("doc_id", "pos", F.posexplode_outer(found).alias("at", "t")).where("t IS NOT NULL").select("doc_id", "pos", "at", "t.kind", F.trim("t.name").alias("canonical"))
     several = F.col("canonical").rlike(r"\s")
     rows = rows.where((F.col("canonical") != "") & (several | (F.col("kind") == "proper") | F.col("canonical").rlike(r"[\p{Lu}0-9_]")))
     rows = rows.withColumn("case_sensitive", ~several).withColumn("key", F.when(several, F.regexp_replace(F.lower("canonical"), r"\s+", " ")).otherwise(F.col("canonical")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafloom.functions import text as T
+
 CHUNK_WORDS = 512
 
 
@@ -28,7 +30,7 @@ def chunks(docs: DataFrame, size: int = CHUNK_WORDS) -> DataFrame:
         return F.transform(pieces, piece)
 
     rows = docs.select("doc_id", F.struct(words.alias("w"), gaps.alias("g")).alias("p")).where(F.size("p.w") > 0)
-    return rows.select("doc_id", F.explode(T.let(T.let(F.col("p"), cut), placed)).alias("c")).select("doc_id", "c.*")
+    return rows.select("doc_id", F.explode_outer(T.let(T.let(F.col("p"), cut), placed)).alias("c")).select("doc_id", "c.*")
 
 
 def assign_sections(pieces: DataFrame, sections: DataFrame) -> DataFrame:
@@ -82,7 +84,6 @@ def report(summary: DataFrame) -> str:
 
 def baseline_hits(pieces: DataFrame, questions: DataFrame, dim: int = 64, k: int = 8) -> DataFrame:
     """The structure-blind baseline: chunks ranked by the offline embedding of ``question_id, question``."""
-    from leafloom.functions import text as T
     from leafloom.operators import vectors
 
     rows = pieces.select("doc_id", F.col("chunk").cast("string").alias("section_id"), T.hash_embedding(F.col("text"), dim).alias("vector"))

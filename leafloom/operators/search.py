@@ -56,7 +56,7 @@ def haystacks(rows: DataFrame) -> DataFrame:
 
 def postings(recs: DataFrame) -> DataFrame:
     """``doc_id, section_id, token, tf``."""
-    return recs.select("doc_id", "section_id", F.explode("tokens").alias("token")).groupBy("doc_id", "section_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return recs.select("doc_id", "section_id", F.explode_outer("tokens").alias("token")).where("token IS NOT NULL").groupBy("doc_id", "section_id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:

@@ -66,17 +66,17 @@ def md_sections(spark, sf):
     return rows.select("doc_id", "pos", "section_id", "title", "level", "parent", "span.start", "span.end", "raw_text", F.array_join("path", ">").alias("path"), F.array_join("children", "|").alias("children"))
 
 
-@query("md_links", f"WITH {SQL_MD} SELECT doc_id, section_id AS src, 'doc-' || doc_id || '/2-second-part/details' AS dst, 0.95 AS confidence, instr(raw, '(#details)') + 1 AS start, instr(raw, '(#details)') + 8 AS \"end\" FROM t WHERE pos = 1")
+@query("md_links", f"WITH {SQL_MD} SELECT doc_id, section_id AS src, 'doc-' || doc_id || '/2-second-part/details' AS dst, 0.95::DOUBLE AS confidence, instr(raw, '(#details)') + 1 AS start, instr(raw, '(#details)') + 8 AS \"end\" FROM t WHERE pos = 1")
 def md_links(spark, sf):
     return xrefs.links(sections(spark, sf)).select("doc_id", "src", "dst", "confidence", "span.start", "span.end")
 
 
-@query("md_textual", f"WITH {SQL_MD} SELECT doc_id, section_id AS src, 'doc-' || doc_id || '/2-second-part' AS dst, 0.7 AS confidence, instr(raw, 'Section 2') + 7 AS start, instr(raw, 'Section 2') + 8 AS \"end\" FROM t WHERE pos = 1")
+@query("md_textual", f"WITH {SQL_MD} SELECT doc_id, section_id AS src, 'doc-' || doc_id || '/2-second-part' AS dst, 0.7::DOUBLE AS confidence, instr(raw, 'Section 2') + 7 AS start, instr(raw, 'Section 2') + 8 AS \"end\" FROM t WHERE pos = 1")
 def md_textual(spark, sf):
     return xrefs.textual(sections(spark, sf)).select("doc_id", "src", "dst", "confidence", "span.start", "span.end")
 
 
-_EDGES = """e AS (SELECT doc_id, 'doc-' || doc_id || '/1-first-part' AS src, 'doc-' || doc_id || '/2-second-part/details' AS dst, 'link' AS kind, 0.95 AS confidence FROM d
+_EDGES = """e AS (SELECT doc_id, 'doc-' || doc_id || '/1-first-part' AS src, 'doc-' || doc_id || '/2-second-part/details' AS dst, 'link' AS kind, 0.95::DOUBLE AS confidence FROM d
   UNION ALL SELECT doc_id, 'doc-' || doc_id || '/1-first-part', 'doc-' || doc_id || '/2-second-part', 'textual', 0.7 FROM d
   UNION ALL SELECT doc_id, 'doc-' || doc_id || '/2-second-part', 'doc-' || doc_id || '/2-second-part/details-2', 'entity', 0.5 FROM d
   UNION ALL SELECT doc_id, 'doc-' || doc_id || '/2-second-part/details-2', 'doc-' || doc_id || '/2-second-part', 'entity', 0.5 FROM d)"""
@@ -201,7 +201,7 @@ def md_semantic(spark, sf):
 @query(
     "md_shared_edges",
     f"""WITH {SQL_MD}, p AS (SELECT doc_id, section_id, parent AS n_section, 'p' AS k FROM t WHERE parent IS NOT NULL), x AS (
-      SELECT doc_id, 'doc-' || doc_id || '/1-first-part' AS section_id, 'doc-' || doc_id || '/2-second-part/details' AS n_section, 0.95 AS w FROM d
+      SELECT doc_id, 'doc-' || doc_id || '/1-first-part' AS section_id, 'doc-' || doc_id || '/2-second-part/details' AS n_section, 0.95::DOUBLE AS w FROM d
       UNION ALL SELECT doc_id, 'doc-' || doc_id || '/1-first-part', 'doc-' || doc_id || '/2-second-part', 0.7 FROM d
       UNION ALL SELECT doc_id, section_id, n_section, {search.PARENT_WEIGHT} FROM p)
     SELECT doc_id, section_id, n_section, round(max(w), 6) AS weight FROM (SELECT * FROM x UNION ALL SELECT doc_id, n_section, section_id, w FROM x) GROUP BY ALL""",

@@ -217,7 +217,7 @@ def l2_normalize(spark, sf):
 def hash_embed(spark, sf):
     """The offline embedding of whole documents, as the sparse rows of its values."""
     docs = A.table(spark, sf, "documents").where("trim(text) <> ''")
-    rows = docs.select("doc_id", F.posexplode(T.hash_embedding(F.col("text"), 64)).alias("bucket", "v")).where("v <> 0")
+    rows = docs.select("doc_id", F.posexplode_outer(T.hash_embedding(F.col("text"), 64)).alias("bucket", "v")).where("v <> 0")
     return rows.select("doc_id", "bucket", F.round("v", 6).alias("value"))
 
 
