@@ -89,7 +89,8 @@ def covered(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
     if keys.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         keys = F.broadcast(keys)  # size checked above
     words = docs.where("doc_id IS NOT NULL").select("doc_id", template_words(text_of()).alias("words"), raw_words(text_of()).alias("raw"))
-    own = words.select("doc_id", F.explode(F.concat(windows(F.col("words")), windows(F.col("raw"), F.lit(True)))).alias("window"))
+    # outer: the filters that explode brings with it would make the windows again
+    own = words.select("doc_id", F.explode_outer(F.concat(windows(F.col("words")), windows(F.col("raw"), F.lit(True)))).alias("window"))
     hits = scratch.stage(own.join(keys, "window").distinct(), "hits")
 
     key = ["item_id", "plain", "text_key"]

@@ -238,7 +238,7 @@ def candidates(text: Column) -> Column:
 def thresholds(scanned: DataFrame, rate: float = 0.01) -> dict[tuple[int, int], int]:
     """Benjamini-Hochberg by stratum: the least bin that is a discovery.  The histogram has a fixed number of rows."""
     tests = F.flatten(F.transform("candidates", lambda r: F.concat(F.array(r["test"]), F.transform(r["parts"], lambda x: x["test"]))))
-    rows = scanned.select(F.explode(tests).alias("t")).where("t IS NOT NULL").groupBy("t.encoding", "t.band", "t.bin").count().collect()
+    rows = scanned.select(F.explode_outer(tests).alias("t")).where("t IS NOT NULL").groupBy("t.encoding", "t.band", "t.bin").count().collect()
     strata: dict[tuple[int, int], dict[int, int]] = {}
     for r in rows:
         strata.setdefault((r.encoding, r.band), {})[r.bin] = r["count"]
