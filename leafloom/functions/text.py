@@ -104,7 +104,7 @@ def hash_bucket(word: Column, dim: int) -> Column:
 def hash_counts(text: Column, dim: int) -> Column:
     """Words of a text by hash bucket; each word is hashed once, and counting is a native scan for each bucket."""
     w = let(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""), lambda x: F.when(F.size(x) == 0, F.array(F.lit("__empty__"))).otherwise(x))
-    code = lambda k: F.concat(F.lit("|"), F.lpad(k.cast("string"), 7, "0"))
+    code = lambda k: F.concat(F.lit("|"), F.lpad(k.cast("string"), len(str(dim - 1)), "0"))
     places = F.array_join(F.transform(w, lambda x: code(hash_bucket(x, dim))), "")
     return let(places, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: occurrences(s, code(k)).cast("double")))
 
