@@ -115,7 +115,7 @@ def _alike(least: float):
 
 
 def _spanning(n: int, near) -> list[tuple[int, int]]:
-    """A spanning forest of n nodes; ``near(x)`` marks the neighbours of x."""
+    """The components of n nodes as stars: (smallest node, other node); ``near(x)`` marks the neighbours of x."""
     edges, seen = [], np.zeros(n, bool)
     for root in range(n):
         if seen[root]:
@@ -127,14 +127,15 @@ def _spanning(n: int, near) -> list[tuple[int, int]]:
             new = np.flatnonzero(near(x) & ~seen)
             seen[new] = True
             queue += new.tolist()
-            edges += [(x, int(y)) for y in new]
+            edges += [(root, int(y)) for y in new]
     return edges
 
 
-def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links ``100 * intersection >= percent * union`` between sets of distinct hashes.
+def forest(sets: list[np.ndarray], percent: int, ids: list[int] | None = None) -> list[tuple[int, int]]:
+    """Stars of the components under the links ``100 * intersection >= percent * union`` between sets of distinct hashes.
 
-    Intersections come from products of incidence matrices over bounded ranges of the elements.
+    Intersections come from products of incidence matrices over bounded ranges of the elements.  Rows that share an id are
+    linked too.
     """
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
@@ -152,6 +153,8 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     common = common.astype(np.int64)
     linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
     linked &= (size[:, None] > 0) & (size[None, :] > 0)
+    if ids is not None:
+        linked |= np.equal.outer(np.array(ids, np.int64), np.array(ids, np.int64))
     return _spanning(n, lambda x: linked[x])
 
 
@@ -189,22 +192,31 @@ def sketch_links(reps: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
 
 
 def _alike_block(least: float):
-    """Links across labels of a block of a bucket, a spanning forest of them."""
+    """Links across labels of a block of a bucket: for each component one link of each label to its smallest member.
+
+    The links inside a label are there already, so any member can stand for its label.
+    """
 
     def run(table):
         import pyarrow as pa
 
+        table = table.sort_by("doc_id")
         ids, parts = (table[c].to_numpy() for c in ("doc_id", "part"))
         rows = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
         edges = _spanning(len(ids), lambda x: ((rows == rows[x]).mean(axis=1) >= least) | (parts == parts[x]))
-        edges = [(x, y) for x, y in edges if parts[x] != parts[y]]
+        edges = list({(x, parts[y]): (x, y) for x, y in edges if parts[x] != parts[y]}.values())
         return pa.table({"u": pa.array([int(ids[x]) for x, _ in edges], pa.int64()), "v": pa.array([int(ids[y]) for _, y in edges], pa.int64())})
 
     return run
 
 
 def exact_components(texts: DataFrame, cluster: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
-    """``node, component`` by links on full sets; only members of the same cluster (``node, component``) are compared."""
+    """``node, component`` of nodes that are not alone, by links on full sets; only members of the same cluster
+    (``node, component``) are compared.
+
+    A block reports its components as stars around their smallest member.  A member is in one block, but for the smallest
+    of the cluster, which is in all and is the smallest of each; so the stars are components already, without any rounds.
+    """
     sizes = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("own")
     member = scratch.stage(cluster.join(sizes.hint("merge"), "component").select(F.col("node").alias("doc_id"), "component", "k").select("*", own), "member")
@@ -214,16 +226,18 @@ def exact_components(texts: DataFrame, cluster: DataFrame, scratch: Scratch, wor
     def confirm(table):
         import pyarrow as pa
 
+        table = table.sort_by("doc_id")
         ids = table["doc_id"].to_pylist()
         items, at = shingles(table["text"].to_pylist(), words)
-        edges = forest([items[at[k] : at[k + 1]] for k in range(len(ids))], percent)
-        return pa.table({"u": pa.array([ids[x] for x, _ in edges], pa.int64()), "v": pa.array([ids[y] for _, y in edges], pa.int64())})
+        stars = forest([items[at[k] : at[k + 1]] for k in range(len(ids))], percent, ids)
+        edges = {(ids[y], ids[x]): None for x, y in stars if ids[x] != ids[y]}
+        return pa.table({"u": pa.array([u for u, _ in edges], pa.int64()), "v": pa.array([v for _, v in edges], pa.int64())})
 
     placed = scratch.stage(texts.join(rows.hint("merge"), "doc_id"), "placed")  # the one shuffle of all texts
     links = scratch.stage(placed.groupBy("component", "own").applyInArrow(confirm, "u long, v long"), "confirmed")
 
     # clusters of several blocks that are still in parts
-    part = scratch.stage(components(links, scratch, "part"), "parts")
+    part = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     state = member.where("k > 1").join(part.select(F.col("node").alias("doc_id"), F.col("component").alias("part")).hint("merge"), "doc_id", "left").select("doc_id", "component", F.coalesce("part", "doc_id").alias("part"))
     split = state.groupBy("component").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("component")
     state = scratch.stage(state.join(split.hint("merge"), "component"), "split")
@@ -244,6 +258,7 @@ def exact_components(texts: DataFrame, cluster: DataFrame, scratch: Scratch, wor
     across = once.drop("component", "own", "k").join(pairs.hint("merge"), "doc_id").groupBy("component", "i", "j").applyInArrow(confirm, "u long, v long")
     out = scratch.stage(components(links.unionByName(across), scratch, "final"), "finals")
     scratch.drop("placed")
+    scratch.drop("confirmed")
     return out
 
 
@@ -258,7 +273,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     cluster = scratch.stage(sketch_links(reps, scratch, percent), "clusters")
     scratch.drop("reps")
     final = exact_components(texts, cluster, scratch, words, percent)
-    for name in ("clusters", "member", "blocks", "split", "confirmed"):
+    for name in ("clusters", "member", "blocks", "split"):
         scratch.drop(name)
     named = classes.join(final, classes.rep == final.node, "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
