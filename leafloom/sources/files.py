@@ -7,6 +7,8 @@ import os
 import re
 import tomllib
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -191,7 +193,7 @@ def convert(discovered: DataFrame, version: str = "1") -> DataFrame:
     stem = F.regexp_extract("source", r"([^/]+?)(?:\.[^./]+)?$", 1)
     text = F.decode("content", "UTF-8")
     body = F.when(F.lower("source").rlike(r"\.html?$"), html_to_markdown(text)).otherwise(text)
-    out = discovered.select("id", "source", "content", markdown.with_title(body, stem).alias("text"), F.trim(body).alias("b")).where("b <> ''")
+    out = discovered.select("id", "source", "content", markdown.with_title(body, stem).alias("text"), body.alias("b")).where(F.col("b").rlike(r"\S"))
     mark = F.sha2(F.concat("content", F.encode(F.concat(F.char(F.lit(0)), F.lit(version), F.char(F.lit(0)), F.col("text")), "UTF-8")), 256)
     return out.select(F.col("id").alias("doc_id"), "source", "text", mark.alias("source_hash"))
 
@@ -236,26 +238,41 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def write(self, name: str, rows: DataFrame) -> None:
-        """Replaces the documents that ``rows`` has; others stay.
+    def write(self, name: str, rows: DataFrame, replaced: DataFrame | None = None) -> None:
+        """Replaces the documents that ``rows`` has, or those of ``replaced`` (``doc_id``), also where they have no rows;
+        others stay.
 
         Documents lie in BUCKETS folders by their hash.  New rows, and what else the touched folders hold, are staged beside
-        the table, then those folders are overwritten.
+        the table, then those folders are overwritten; touched folders that are left without rows go.
         """
-        work = f"{self.root}/_work-{name}-{uuid.uuid4().hex[:12]}"
+        table = f"{self.root}/{name}"
         bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(BUCKETS)).cast("int")
-        try:
-            rows.withColumn("format_version", F.lit(schema.FORMAT_VERSION)).withColumn("bucket", bucket).write.parquet(f"{work}/new")
-            new = self.spark.read.parquet(f"{work}/new")
-            found = new
+        marked = rows.withColumn("format_version", F.lit(schema.FORMAT_VERSION)).withColumn("bucket", bucket)
+        with self.staged(marked) as new:
+            keys = (new if replaced is None else replaced).select("doc_id").distinct()
+            touched = [r.bucket for r in keys.select(bucket.alias("bucket")).distinct().collect()]  # at most BUCKETS rows
+            old = new.limit(0)
             if self._exists(name):
-                touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most BUCKETS rows
-                old = self.spark.read.schema(new.schema).parquet(f"{self.root}/{name}").where(F.col("bucket").isin(*touched))
-                old.join(new.select("doc_id").distinct(), "doc_id", "left_anti").select(*new.columns).write.parquet(f"{work}/old")
-                found = new.unionByName(self.spark.read.schema(new.schema).parquet(f"{work}/old"))
-            found.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
+                old = self.spark.read.schema(new.schema).parquet(table).where(F.col("bucket").isin(*touched))
+            with self.staged(old.join(keys, "doc_id", "left_anti").select(*new.columns)) as kept:
+                found = new.unionByName(kept)
+                found.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+                full = {r.bucket for r in found.select("bucket").distinct().collect()}
+            for b in set(touched) - full:
+                self._delete(f"{table}/bucket={b}")
+
+    @contextmanager
+    def staged(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """The rows as a table below the store's folder, while the block runs."""
+        work = f"{self.root}/_work-{uuid.uuid4().hex[:12]}"
+        try:
+            rows.write.parquet(work)
+            yield self.spark.read.schema(rows.schema).parquet(work)
         finally:
-            self._path(work).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(self._path(work), True)
+            self._delete(work)
+
+    def _delete(self, path: str) -> None:
+        self._path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(self._path(path), True)
 
     def _path(self, path: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
