@@ -6,7 +6,8 @@ Two kinds of units are compared:
   minima of universal hashes over five-word shingles are banded in eight bands of two (a pair of Jaccard similarity 0.8
   meets with probability 0.9997).  All different paragraphs that share a bucket are verified by exact Jaccard similarity
   on their full shingle sets: pairs in small buckets, blocks of bounded size (all pairs of blocks are separate groups) in
-  large ones; connected components are the clusters;
+  large ones; connected components are the clusters.  Texts move only for pairs whose counts of shingles by hash leave it
+  open: the counts bound the intersection from above, so no similar pair is lost;
 * windows of 20 words that begin at an anchor, for passages that are part of a line or cross lines.  Anchors are chosen by
   content (the smallest hash of three words in any 10 consecutive places), so every document that holds a passage of 29
   words cuts the same windows out of it.  Windows with the same words are a cluster.
@@ -140,6 +141,41 @@ def _units(seed: int):
     return run
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """How many of the distinct hashes have each value of their low bits, one or two on average; a byte a value."""
+    width = 1 << max(4, (len(items) // 2).bit_length())
+    while (counts := np.bincount((items & np.uint64(width - 1)).astype(np.int64), minlength=width)).max() > 255:
+        width *= 2
+    return counts.astype(np.uint8).tobytes()
+
+
+def within_reach(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
+    """Whether the sets of each pair of sketches can be similar enough: false only where they certainly are not."""
+    keep = np.zeros(len(x), bool)
+    width = np.array([list(map(len, x)), list(map(len, y))], np.int64).reshape(2, -1)
+    for p, q in np.unique(width, axis=1).T.tolist():
+        at, to = np.flatnonzero((width[0] == p) & (width[1] == q)), min(p, q)
+        a, b = (np.frombuffer(b"".join(z[k] for k in at), np.uint8).reshape(len(at), -1, to).sum(1, dtype=np.int64) for z in (x, y))
+        common = np.minimum(a, b).sum(1)
+        keep[at] = 100 * common >= percent * (a.sum(1) + b.sum(1) - common)
+    return keep
+
+
+def _close(percent: int):
+    """Keeps pairs of paragraphs whose sketches don't rule out that they are similar enough."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = [within_reach(x[i:j], y[i:j], percent) for i, j in in_parts([max(p, q, key=len) for p, q in zip(x, y, strict=True)], PART)]
+            keep = pa.array(np.concatenate([np.zeros(0, bool), *keep]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+
+    return run
+
+
 def _jaccard(percent: int):
     """Keeps pairs of paragraph texts whose shingle sets are similar enough."""
 
@@ -162,9 +198,12 @@ def _jaccard(percent: int):
     return run
 
 
+READ = "full long, words string, sketch binary"
+
+
 def _cut():
-    """The words of the asked paragraphs of each text."""
-    schema = arrow_schema("full long, words string")
+    """The words of the asked paragraphs of each text, and the sketch of their shingles."""
+    schema = arrow_schema(READ)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -173,7 +212,10 @@ def _cut():
             asked = batch.column(1).to_pylist()
             for i, _, texts in parts_of(batch.column(0), PART):
                 rows = [(x["full"], t[x["start"] : x["end"]]) for t, xs in zip(texts, asked[i:], strict=False) for x in xs]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], schema=schema)
+                words = [r[1] for r in rows]
+                items, at = shingles(words, SHINGLE)
+                counts = [sketch(items[at[k] : at[k + 1]]) for k in range(len(rows))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(words, pa.string()), pa.array(counts, pa.binary())], schema=schema)
 
     return run
 
@@ -191,12 +233,15 @@ def similar_paragraphs(lines: DataFrame, texts: DataFrame, scratch: Scratch, per
     place = (F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")).alias("place")
     places = lines.select("full", "doc_id", place).join(wanted.hint("merge"), "full").groupBy("full").agg(F.min_by("place", "doc_id").alias("place"), F.min("doc_id").alias("doc_id"))
     spans = places.groupBy("doc_id").agg(F.collect_list(F.struct("full", F.shiftright("place", 32).cast("int").alias("start"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end"))).alias("asked"))
-    read = scratch.stage(texts.join(spans.hint("merge"), "doc_id").select("text", "asked").mapInArrow(_cut(), "full long, words string"), "read")
+    read = scratch.stage(texts.join(spans.hint("merge"), "doc_id").select("text", "asked").mapInArrow(_cut(), READ), "read")
 
     small = shared.where(F.col("n") <= SMALL_BUCKET)
     pairs = small.select("bucket", F.col("full").alias("u")).join(small.select("bucket", F.col("full").alias("v")), "bucket").where("u < v").select("u", "v").distinct()
-    side = lambda c: read.select(F.col("full").alias(c), F.col("words").alias(f"t{c}"))
-    similar = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "tu", "tv").mapInArrow(_jaccard(percent), "u long, v long")
+    side = lambda c, what: read.select(F.col("full").alias(c), F.col(what).alias(f"t{c}")).hint("merge")
+    both = lambda rows, what: rows.join(side("u", what), "u").join(side("v", what), "v").select("u", "v", "tu", "tv")
+    close = scratch.stage(both(pairs, "sketch").mapInArrow(_close(percent), "u long, v long").distinct(), "close")
+    similar = scratch.stage(both(close, "words").mapInArrow(_jaccard(percent), "u long, v long"), "similar")  # apart from the blocks, so that only one shuffle of the texts is held
+    scratch.drop("close")
 
     # large buckets: each pair of blocks is a group
     k = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -212,10 +257,12 @@ def similar_paragraphs(lines: DataFrame, texts: DataFrame, scratch: Scratch, per
         edges = forest([items[at[x] : at[x + 1]] for x in range(len(ids))], percent)
         return pa.table({"u": pa.array([ids[x] for x, _ in edges], pa.int64()), "v": pa.array([ids[y] for _, y in edges], pa.int64())})
 
-    blocks = grouped.groupBy("bucket", "i", "j").applyInArrow(confirm, "u long, v long")
+    blocks = scratch.stage(grouped.groupBy("bucket", "i", "j").applyInArrow(confirm, "u long, v long"), "blocks")
+    for name in ("read", "shared"):
+        scratch.drop(name)
     found = components(similar.unionByName(blocks), scratch, "near")
-    scratch.drop("read")
-    scratch.drop("shared")
+    for name in ("similar", "blocks"):
+        scratch.drop(name)
     return found
 
 

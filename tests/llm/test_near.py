@@ -191,3 +191,55 @@ def test_the_whole_repeated_passage_is_reported(spark):
     got = passage_rows(spark, rows)
     assert {r.doc_id: dict(rows)[r.doc_id][r.start : r.end] for r in got} == want and len(got) == 80
     assert all(r.n_words == len(want[r.doc_id].split()) for r in got)
+
+
+def test_sketches_bound_the_similarity_of_sets():
+    """No pair that is similar enough is ruled out, of any sizes; hardly any that is far from it is left."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+    sets = []
+    for n in (1, 2, 15, 16, 17, 40, 63, 200, 3000, 20_000):
+        for share in (0, 0.3, 0.7, 0.85, 0.9, 0.95, 1):
+            common, k = draw(round(n * share)), n - round(n * share)
+            sets += [(np.union1d(common, draw(k)), np.union1d(common, draw(k))), (np.union1d(common, draw(k)), common)]
+    sets += [(draw(0), draw(0)), (draw(40), draw(0)), (np.arange(400, dtype=np.uint64) << np.uint64(14), np.arange(380, dtype=np.uint64) << np.uint64(14))]
+    shared = np.array([len(np.intersect1d(a, b)) for a, b in sets])
+    either = np.array([len(np.union1d(a, b)) for a, b in sets])
+    left = passages.within_reach([passages.sketch(a) for a, _ in sets], [passages.sketch(b) for _, b in sets], 80)
+    similar = 100 * shared >= 80 * either
+    assert left[similar].all() and similar.sum() > 20
+    far = (100 * shared < 40 * either) & (either > 100)
+    assert not left[far].any() and far.sum() > 10
+    assert len(passages.within_reach([], [], 80)) == 0
+
+
+def test_texts_of_pairs_that_are_not_similar_stay(spark):
+    """Groups of 15 lines that share buckets, as half of each is the same: what is shuffled is bounded by the texts, not the pairs."""
+    _, words = fresh(10)
+    rows = []
+    for k in range(10):
+        half = words(2000)
+        rows += [(100 * k + j, " ".join(half + words(2000))) for j in range(15)]
+    near = rows[0][1].split()
+    near[3000] = "changed"
+    rows.append((5000, " ".join(near)))
+    docs = ship(spark).createDataFrame(rows, "doc_id long, text string").repartition(4)
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        found = store.stageList(None, False, False, none, None)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    joins = "spark.sql.autoBroadcastJoinThreshold"
+    before, held = written(), spark.conf.get(joins)
+    spark.conf.set(joins, "-1")
+    try:
+        got = passages.repeated_passages(docs).collect()
+    finally:
+        spark.conf.set(joins, held)
+    moved = sum(n for k, n in written().items() if k not in before) / sum(len(t) for _, t in rows)
+    whole = {r.doc_id: r.component_id for r in got if (r.start, r.end) == (0, len(dict(rows)[r.doc_id]))}
+    assert whole.keys() >= {0, 5000} and whole[0] == whole[5000]
+    assert moved < 8
