@@ -42,7 +42,7 @@ class PieceCodec:
     ``remembered`` bounds the chunks, and the pairs of pieces, that a worker holds; beyond it the memory is emptied.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, remembered: int = 500_000, longest: int = 64):
         import ahocorasick
         import sentencepiece
 
@@ -79,6 +79,7 @@ class PieceCodec:
                 self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         self.most = max(map(len, self.score))
+        self.known_letters = {piece for piece in self.score if len(piece) == 1}
         self.joint = {piece[k : k + 2] for piece in self.score for k in range(len(piece) - 1)}
         splits = not any(pair[1] == SPACE and pair[0] != SPACE for pair in self.joint)
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if splits else ".+", re.DOTALL)
@@ -90,18 +91,24 @@ class PieceCodec:
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by the rule itself: the best-scored pair, the leftmost of equals, until none is left."""
-        parts = list(text)
+        parts, score = list(text), self.score
+        ranks = [score.get(a + b) for a, b in zip(parts, parts[1:])]  # of each pair of neighbours
         while True:
-            found = [(-self.score[pair], k) for k in range(len(parts) - 1) if (pair := parts[k] + parts[k + 1]) in self.score]
-            if not found:
+            best = max((r for r in ranks if r is not None), default=None)
+            if best is None:
                 return parts
-            k = min(found)[1]
+            k = ranks.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = score.get(parts[k - 1] + parts[k])
+            if k < len(ranks):
+                ranks[k] = score.get(parts[k] + parts[k + 1])
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the two pieces, merged again from their characters, stay what they are."""
         pair = [self.letters(left), self.letters(right)]
-        if len(self.agrees) > 5 * self.remembered:
+        if len(self.agrees) > 2 * self.remembered:
             self.agrees.clear()
         found = self.agrees[left << 32 | right] = self.merged("".join(pair)) == pair
         return found
@@ -164,10 +171,43 @@ class PieceCodec:
                 pick = len(rows[place - first])
         return taken
 
+    def short_pieces(self, text: str) -> list[int]:
+        """``pieces`` for a text of known characters within one block: the same search with less to keep."""
+        n, agrees, fits = len(text), self.agrees, self.fits
+        rows: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        for end, (size, piece) in self.automaton.iter(text):
+            rows[end + 1 - size].append((end + 1, piece))
+        failed, place, left = 0, 0, 0
+        taken: list[int] = []
+        went: list[tuple[int, list[tuple[int, int]]]] = []
+        row = rows[0]
+        while True:
+            while row:
+                end, piece = row.pop()
+                if failed >> end & 1:
+                    continue
+                if taken:
+                    agreed = agrees.get(left << 32 | piece)
+                    if not (fits(left, piece) if agreed is None else agreed):
+                        continue
+                taken.append(piece)
+                if end == n:
+                    return taken
+                went.append((place, row))
+                place, left, row = end, piece, rows[end]
+                break
+            else:
+                failed |= 1 << place
+                place, row = went.pop()
+                taken.pop()
+                left = taken[-1] if taken else 0
+
     def _ids(self, stray: int) -> list[int]:
         return [self.byte_id[b] for b in chr(stray - STRAY).encode()] if self.byte_id else [self.unknown]
 
     def _coded(self, chunk: str) -> bytes:
+        if len(chunk) <= self.longest and self.known_letters.issuperset(chunk):
+            return array("I", self.short_pieces(chunk)).tobytes()
         found = self.pieces(chunk)
         if max(found) >= STRAY:
             found = [i for piece in found for i in (self._ids(piece) if piece >= STRAY else [piece])]
@@ -229,7 +269,7 @@ _CODECS: dict[str, PieceCodec] = {}
 
 
 def codec(path: str) -> PieceCodec:
-    """The codec of this worker for a model file."""
+    """The codec of this worker for a model file.  It lives as long as the worker: what one task learned, the next one uses."""
     if path not in _CODECS:
         _CODECS[path] = PieceCodec(path)
     return _CODECS[path]
@@ -246,7 +286,6 @@ def _encoded(path: str):
             for a, b, texts in parts_of(batch.column(1), 2 * PART):
                 ids = [own.encode(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
-        own.forget()
 
     return run
 
