@@ -49,29 +49,63 @@ def batch_answers(answer: Column) -> Column:
     return F.from_json(bare, "items array<struct<id:string,summary:string>>")["items"]
 
 
-def mapped(rows: DataFrame, text: str, out: str, kind: str, call: Batch, size: int = 32) -> DataFrame:
-    """Adds the column ``out`` of the SQL type ``kind`` by ``call`` over batches of ``size`` texts."""
+def answered(call: Batch, texts: list[str]) -> list[tuple[object, str | None]]:
+    """An answer or an error for each text: a batch that fails is halved until only the texts at fault are left."""
+    try:
+        answers = call(texts)
+        if len(answers) != len(texts):
+            raise ValueError(f"{len(texts)} texts gave {len(answers)} answers")
+        return [(a, None) for a in answers]
+    except Exception as error:  # whatever a model raises is the text's error
+        if len(texts) == 1:
+            return [(None, f"{type(error).__name__}: {error}")]
+        half = len(texts) // 2
+        return answered(call, texts[:half]) + answered(call, texts[half:])
+
+
+def mapped(rows: DataFrame, text: str, out: str, kind: str, call: Batch, size: int = 32, workers: int = 1) -> DataFrame:
+    """Adds the column ``out`` of the SQL type ``kind`` by ``call`` over batches of ``size`` texts, and ``error``.
+
+    A task has up to ``workers`` calls under way, and as many batches read ahead; rows keep their order.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    whole = StructType(list(rows.schema) + StructType.fromDDL(f"{out} {kind}").fields)
+    whole = StructType(list(rows.schema) + StructType.fromDDL(f"{out} {kind}, error string").fields)
     arrow = to_arrow_schema(whole)
 
     def run(batches: Iterator) -> Iterator:
+        from collections import deque
+        from concurrent.futures import ThreadPoolExecutor
+
         import pyarrow as pa
 
-        for batch in batches:
-            for a in range(0, batch.num_rows, size):
-                part = batch.slice(a, size)
-                texts = part.column(part.schema.get_field_index(text)).to_pylist()
-                answers = call(texts)
-                if len(answers) != len(texts):
-                    raise ValueError(f"{len(texts)} texts gave {len(answers)} answers")
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(answers, arrow.field(out).type)], schema=arrow)
+        def done(part, future) -> pa.RecordBatch:
+            found = future.result()
+            values = [pa.array([f[k] for f in found], arrow.field(n).type) for k, n in enumerate((out, "error"))]
+            return pa.RecordBatch.from_arrays([*part.columns, *values], schema=arrow)
+
+        with ThreadPoolExecutor(workers) as pool:
+            under_way: deque = deque()
+            for batch in batches:
+                for a in range(0, batch.num_rows, size):
+                    part = batch.slice(a, size)
+                    texts = part.column(part.schema.get_field_index(text)).to_pylist()
+                    under_way.append((part, pool.submit(answered, call, texts)))
+                    if len(under_way) > 2 * workers:
+                        yield done(*under_way.popleft())
+            while under_way:
+                yield done(*under_way.popleft())
 
     return rows.mapInArrow(run, whole)
 
 
+def sure(made: DataFrame, out: str) -> DataFrame:
+    """Rows without ``error``; one that has it stops the job."""
+    checked = F.when(F.col("error").isNull(), F.col(out)).otherwise(F.raise_error(F.col("error")))
+    return made.withColumn(out, checked).drop("error")
+
+
 def summarize(sections: DataFrame, level: str, call: Batch, model: str, cache: DataFrame | None = None) -> DataFrame:
     """Summaries at a level; sections whose content and model are in the cache are not asked again."""
     t, b = F.col("title"), F.col("raw_text")
@@ -81,13 +115,23 @@ def summarize(sections: DataFrame, level: str, call: Batch, model: str, cache: D
         from leafloom.sources.files import cache_misses
 
         rows, known = cache_misses(rows, cache)
-    made = mapped(rows, "prompt", "text", "string", call).withColumn("text", T.within_budget(F.trim("text"), level)).drop("prompt")
+    made = sure(mapped(rows, "prompt", "text", "string", call), "text").withColumn("text", T.within_budget(F.trim("text"), level)).drop("prompt")
     return made if known is None else made.unionByName(known.drop("prompt"))
 
 
-def embed(sections: DataFrame, call: Batch, dim: int, size: int = 32) -> DataFrame:
-    """Vectors of all sections by a model, to unit length; another length than ``dim`` is an error."""
+def cached_summaries(store, sections: DataFrame, level: str, call: Batch, model: str) -> DataFrame:
+    """``summarize`` with the store's table ``summary_cache``: answers it lacks are asked for and added, the rest is read."""
+    found = summarize(sections, level, call, model, store.read("summary_cache", "key string, text string", optional=True))
+    with store.staged(found) as rows:
+        known = store.read("summary_cache", "key string, text string", optional=True)
+        store.append("summary_cache", rows.select("key", "text").dropDuplicates(["key"]).join(known, "key", "left_anti"), "key string, text string")
+    wanted = sections.select("doc_id", "section_id", T.cache_key(F.lit(model), F.lit(level), T.section_hash(F.col("title"), F.col("raw_text"))).alias("key"))
+    return wanted.join(store.read("summary_cache", "key string, text string"), "key").select("doc_id", "section_id", "key", "text")
+
+
+def embed(sections: DataFrame, call: Batch, dim: int, size: int = 32, workers: int = 1) -> DataFrame:
+    """Vectors of all sections by a model, to unit length, and ``error``; another length than ``dim`` is one."""
     rows = sections.select("doc_id", "section_id", T.embedding_text(F.col("title"), F.col("raw_text")).alias("text"))
-    found = mapped(rows, "text", "v", "array<double>", call, size)
-    checked = F.when(F.size("v") == dim, T.unit(F.col("v"))).otherwise(F.raise_error(F.lit("a vector has another dimension")))
-    return found.select("doc_id", "section_id", F.lit(dim).alias("dim"), F.transform(checked, lambda x: x.cast("float")).alias("vector"))
+    found = mapped(rows, "text", "v", "array<double>", call, size, workers)
+    error = F.coalesce("error", F.when(F.size("v") != dim, F.lit("a vector has another dimension")).when(F.col("v").isNull(), F.lit("no vector")))
+    return found.select("doc_id", "section_id", F.lit(dim).alias("dim"), F.transform(T.unit(F.col("v")), lambda x: x.cast("float")).alias("vector"), error.alias("error"))

@@ -10,8 +10,9 @@ ENTITY_HITS = f"doc_id string, hit_ord int, section_id string, canonical string,
 XREFS = f"doc_id string, src string, dst string, kind string, confidence double, span {SPAN}"
 VECTORS = "doc_id string, section_id string, dim int, vector array<float>"
 STATUS = "id string, source string, doc_dir string, state string, section_count int, source_hash string, indexed_hash string, source_file_hash string, indexed_source_file_hash string, indexed_at timestamp, error string"
-MANIFEST = "doc_id string, indexed_hash string, indexed_source_file_hash string, section_count int, indexed_at timestamp, summarizer string, embedder string, entity_extractor string, xref_extractor string"
+MANIFEST = "doc_id string, indexed_hash string, indexed_source_file_hash string, section_count int, indexed_at timestamp, summarizer string, embedder string, parser string, entity_extractor string, xref_extractor string"
 ENTITY_KINDS = ("term", "code", "proper", "defined")
+FAILURES = "doc_id string, stage string, error string"
 XREF_KINDS = ("link", "textual", "entity")
 STATES = ("indexed", "stale", "missing", "error", "orphaned")
 
@@ -38,6 +39,12 @@ class Stale(LoomError):
     code = "INDEX_STALE"
 
 
+class Conflict(LoomError):
+    """Another writer was faster."""
+
+    code = "CONFLICT"
+
+
 class InvalidConfig(LoomError):
     code = "INVALID_CONFIG"
 

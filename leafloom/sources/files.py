@@ -6,9 +6,6 @@ import fnmatch
 import os
 import re
 import tomllib
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -18,6 +15,7 @@ from pyspark.sql import functions as F
 from leafloom import schema
 from leafloom.functions import text as T
 from leafloom.sources import markdown
+from leafloom.sources.store import Store  # noqa: F401  callers find it here too
 
 #: Suffixes by parser.
 MARKDOWN = (".md", ".markdown", ".mdown", ".mkd")
@@ -28,7 +26,6 @@ EXCLUDED = tuple(f"{name}/**" for name in (
     ".git", ".codegraph", ".hypothesis", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".venv", ".tox", ".nox", "venv", "node_modules", "dist", "build", "site", "__pycache__",
 ))
 CONFIG = "loom.toml"
-BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -232,69 +229,6 @@ def pages_to_sections(pages: DataFrame, toc: DataFrame | None = None, spans: Dat
     return rows.join(raw, "doc_id").select("doc_id", "pos", "section_id", "title", F.col("stored").alias("level"), "parent", "children", "span", "path", body.alias("raw_text"))
 
 
-class Store:
-    """Sub-index tables below one folder, one Parquet dataset each, with the format version beside the rows."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def write(self, name: str, rows: DataFrame, replaced: DataFrame | None = None) -> None:
-        """Replaces the documents that ``rows`` has, or those of ``replaced`` (``doc_id``), also where they have no rows;
-        others stay.
-
-        Documents lie in BUCKETS folders by their hash.  New rows, and what else the touched folders hold, are staged beside
-        the table, then those folders are overwritten; touched folders that are left without rows go.
-        """
-        table = f"{self.root}/{name}"
-        bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(BUCKETS)).cast("int")
-        marked = rows.withColumn("format_version", F.lit(schema.FORMAT_VERSION)).withColumn("bucket", bucket)
-        with self.staged(marked) as new:
-            keys = (new if replaced is None else replaced).select("doc_id").distinct()
-            touched = [r.bucket for r in keys.select(bucket.alias("bucket")).distinct().collect()]  # at most BUCKETS rows
-            old = new.limit(0)
-            if self._exists(name):
-                old = self.spark.read.schema(new.schema).parquet(table).where(F.col("bucket").isin(*touched))
-            with self.staged(old.join(keys, "doc_id", "left_anti").select(*new.columns)) as kept:
-                found = new.unionByName(kept)
-                found.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
-                full = {r.bucket for r in found.select("bucket").distinct().collect()}
-            for b in set(touched) - full:
-                self._delete(f"{table}/bucket={b}")
-
-    @contextmanager
-    def staged(self, rows: DataFrame) -> Iterator[DataFrame]:
-        """The rows as a table below the store's folder, while the block runs."""
-        work = f"{self.root}/_work-{uuid.uuid4().hex[:12]}"
-        try:
-            rows.write.parquet(work)
-            yield self.spark.read.schema(rows.schema).parquet(work)
-        finally:
-            self._delete(work)
-
-    def _delete(self, path: str) -> None:
-        self._path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(self._path(path), True)
-
-    def _path(self, path: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _exists(self, name: str) -> bool:
-        path = self._path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-    def read(self, name: str, ddl: str, optional: bool = False) -> DataFrame:
-        """The table; an unknown format version is an error, an absent optional table is empty."""
-        if optional and not self._exists(name):
-            return self.spark.createDataFrame([], ddl)
-        rows = self.spark.read.schema(f"{ddl}, format_version int").parquet(f"{self.root}/{name}").drop("bucket")
-        known = F.assert_true(F.col("format_version") == schema.FORMAT_VERSION, F.lit("unknown format version"))
-        return rows.where(known.isNull()).drop("format_version")
-
-    def consistent(self, *names: str) -> bool:
-        """All tables hold the same documents."""
-        first, *rest = [self.spark.read.parquet(f"{self.root}/{n}").select("doc_id").distinct() for n in names]
-        return all(not first.exceptAll(r).limit(1).count() and not r.exceptAll(first).limit(1).count() for r in rest)
-
-
 def cache_misses(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose ``key`` the cache lacks, and the rest with the cached ``text``."""
     return wanted.join(cache.select("key"), "key", "left_anti"), wanted.join(cache.select("key", "text"), "key")

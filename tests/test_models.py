@@ -21,8 +21,46 @@ def test_summaries_use_the_cache(sections, spark):
 def test_vectors_are_checked(sections):
     rows = models.embed(sections, lambda texts: [[3.0, 4.0]] * len(texts), 2).collect()
     assert rows[0].vector == pytest.approx([0.6, 0.8])
-    with pytest.raises(Exception, match="dimension"):
-        models.embed(sections, lambda texts: [[1.0]] * len(texts), 2).collect()
+    assert {r.error for r in models.embed(sections, lambda texts: [[1.0]] * len(texts), 2).collect()} == {"a vector has another dimension"}
+
+
+def test_calls_run_side_by_side_and_only_texts_at_fault_fail(spark):
+    import time
+
+    def slow(texts):
+        time.sleep(0.1)
+        if "bad" in texts:
+            raise ValueError("bad")
+        return [t.upper() for t in texts]
+
+    texts = [f"t{k}" for k in range(40)]
+    texts[17] = "bad"
+    rows = ship(spark).createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1)
+    took = {}
+    for workers in (1, 10):
+        began = time.time()
+        found = models.mapped(rows, "t", "out", "string", slow, 2, workers).collect()
+        took[workers] = time.time() - began
+        assert [r.k for r in found] == list(range(40)) and [r.out for r in found] == [None if t == "bad" else t.upper() for t in texts]
+        assert [r.error for r in found if r.error] == ["ValueError: bad"]
+    assert took[10] < took[1] / 2
+
+
+def test_answers_are_kept_in_the_store(sections, spark, tmp_path):
+    from leafloom.sources.store import Store
+
+    store, calls = Store(spark, str(tmp_path)), spark.sparkContext.accumulator(0)
+
+    def call(texts):
+        calls.add(len(texts))
+        return ["short"] * len(texts)
+
+    for _ in range(2):
+        assert {(r.section_id, r.text) for r in models.cached_summaries(store, sections, "gist", call, "m").collect()} == {("a", "short"), ("b", "short")}
+    assert calls.value == 2
+    store.clear("summary_cache")
+    models.cached_summaries(store, sections, "gist", call, "m").collect()
+    assert calls.value == 4
 
 
 def test_retries():
