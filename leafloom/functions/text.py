@@ -1,9 +1,13 @@
-"""Text and vector expressions.  All are built-in Spark columns, so they stay inside generated code."""
+"""Text and vector expressions.  All but the counting of words by hash are built-in Spark columns, so they stay inside
+generated code."""
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ LEVELS = {"gist": 15, "synopsis": 60, "digest": 200}
 BUDGETS = {"gist": 20, "synopsis": 80, "digest": 300}
 SNIPPET_CHARS, EVIDENCE_CHARS = 200, 360
 SCHEME = "doc"
+_SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
 #: Latin letters and their plain forms, for slugs.
 _PLAIN = {"a": "àáâãäåāăą", "c": "çćĉċč", "d": "ďđ", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥħ", "i": "ìíîïĩīĭįı", "j": "ĵ", "k": "ķ", "l": "ĺļľŀł", "n": "ñńņňŉ", "o": "òóôõöøōŏő", "r": "ŕŗř", "s": "śŝşš", "t": "ţťŧ", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž"}
 _FROM = "".join(_PLAIN.values())
@@ -95,18 +100,27 @@ def search_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def hash_bucket(word: Column, dim: int) -> Column:
-    """First eight bytes of the word's SHA-256 as a number, modulo ``dim``."""
-    half = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("long") % dim
-    return let(F.sha2(word, 256), lambda h: (half(h, 1) * ((1 << 32) % dim) + half(h, 9)) % dim).cast("int")
+def hash_counts(text: Column, dim: int) -> Column:
+    """Words of a text by hash bucket, the first eight bytes of the word's SHA-256 modulo ``dim``: one pass over the words in
+    an Arrow function; a worker hashes a word once while it remembers it."""
 
+    known: dict[str, int] = {}
 
-def hash_counts(text: Column, dim: int) -> Column:
-    """Words of a text by hash bucket; each word is hashed once, and counting is a native scan for each bucket."""
-    w = let(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""), lambda x: F.when(F.size(x) == 0, F.array(F.lit("__empty__"))).otherwise(x))
-    code = lambda k: F.concat(F.lit("|"), F.lpad(k.cast("string"), len(str(dim - 1)), "0"))
-    places = F.array_join(F.transform(w, lambda x: code(hash_bucket(x, dim))), "")
-    return let(places, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: occurrences(s, code(k)).cast("double")))
+    def place(word: str) -> int:
+        if word not in known:
+            if len(known) > 200_000:
+                known.clear()
+            known[word] = int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "big") % dim
+        return known[word]
+
+    @F.pandas_udf("array<double>")
+    def counted(texts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        words = [None if t is None else [w for w in _SPACES.split(t) if w] or ["__empty__"] for t in texts]
+        return pd.Series([None if w is None else np.bincount([place(x) for x in w], minlength=dim).astype(float) for w in words])
+
+    return counted(F.lower(text))
 
 
 def hash_embedding(text: Column, dim: int) -> Column:

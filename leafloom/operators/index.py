@@ -14,6 +14,7 @@ passed over for it only where fewer than ``k`` sections score more.  Scores are
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -156,8 +157,20 @@ class Index:
     def __init__(self, snapshot):
         self.snapshot, self.spark = snapshot, snapshot.store.spark
         self.records = snapshot.read("records", RECORDS)
+        self.work: list[str] = []
         self.signature = (snapshot.store.root, *snapshot.signature("records", "postings"))
 
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """The rows as a table below the store, where an answer needs them more than once; ``clean`` takes it away."""
+        self.work.append(f"{self.snapshot.store.root}/_work/{uuid.uuid4().hex[:12]}")
+        rows.write.parquet(self.work[-1])
+        return self.spark.read.schema(rows.schema).parquet(self.work[-1])
+
+    def clean(self) -> None:
+        """Deletes what answers were made from; they can't be read again after it."""
+        while self.work:
+            self.snapshot.store.delete(self.work.pop())
+
     def statistics(self) -> Statistics:
         if self.signature not in _STATISTICS:
             row = self.records.agg(F.count(F.lit(1)), F.avg("length")).first()
@@ -227,14 +240,13 @@ def matches(tokens: DataFrame, asked: DataFrame, lengths: list[int]) -> DataFram
 
 
 def hits(index: Index, asked: DataFrame) -> DataFrame:
-    """``query_id, doc_id, section_id, length, found``: for each question the sections that hold one of its words, with an
-    array of (term, fields, tf, variant counts)."""
+    """``variant, token, doc_id, section_id, tf, length, fields``: entries of the tokens that contain a word of a question."""
     sizes = F.transform(F.flatten("terms.variants"), lambda v: F.length(v))
     runs = F.flatten(F.transform("runs", lambda r: F.transform(F.split(r["text"], " "), lambda w: F.length(w))))
     lengths = sorted(r.n for r in asked.select(F.explode(F.concat(sizes, runs)).alias("n")).where("n > 0").distinct().limit(64).collect())  # lengths of words
     if not lengths:
         lengths = [1]
-    pairs = matches(index.tokens(), asked, lengths)
+    pairs = index.kept(matches(index.tokens(), asked, lengths))
     few = [r.token for r in pairs.select("token").distinct().limit(NAMED + 1).collect()]
     blocks = index.blocks(few if len(few) <= NAMED else pairs.select("token").distinct())
     entries = index.entries(blocks)
@@ -261,12 +273,13 @@ def score(index: Index, questions: DataFrame, k: int = 8, locales: tuple[str, ..
     asked = parsed(questions.withColumnRenamed("vector", "asked") if with_vectors else questions, locales)
     if not with_vectors:
         asked = asked.withColumn("asked", F.lit(None).cast("array<double>"))
-    asked = asked.persist()
+    asked = index.kept(asked)
     words = hits(index, asked)
     variants = asked.select("query_id", F.posexplode("terms").alias("at", "t")).select("query_id", "t.k", F.explode("t.variants").alias("variant"))
     variants = variants.unionByName(asked.select("query_id", F.lit(-1).alias("k"), F.explode(F.flatten(F.transform("runs", lambda r: F.split(r["text"], " ")))).alias("variant")).distinct())
     tf = F.when(F.col("token") == F.col("variant"), F.col("tf")).otherwise(0)
     by_term = words.join(variants, "variant").groupBy("query_id", "doc_id", "section_id", "length", "k").agg(F.bit_or("fields").alias("fields"), F.max(tf).alias("tf"))
+    by_term = index.kept(by_term)
 
     # statistics of each question's terms: sections with the commonest variant, and with any
     exact = words.where("token = variant AND tf > 0")
@@ -287,7 +300,7 @@ def score(index: Index, questions: DataFrame, k: int = 8, locales: tuple[str, ..
     rows = found.join(recs, ["doc_id", "section_id"]).join(asked_in_full, "query_id")
     if with_vectors:
         rows = rows.where("asked IS NULL OR dim = size(asked)")
-    scored = _scored(rows, stats)
+    scored = index.kept(_scored(rows, stats))
     return _with_dense(index, asked_in_full, scored, stats, k, with_vectors)
 
 
@@ -388,10 +401,10 @@ def search(index: Index, questions: DataFrame, k: int = 8, sections_per_doc: int
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rn")
 
 
-def bm25(index: Index, question: str, k: int = 50) -> DataFrame:
+def bm25(index: Index, question: str, k: int = 50, ties: bool = False) -> DataFrame:
     """The ``k`` best sections by the sparse signal, by reading few blocks: a section's score is a weighted mean over its
     terms and so at most the largest of them, which a block's largest count and smallest length bound.  The ``k``-th best of
-    the first blocks' sections is a score to reach; blocks that can't are left out."""
+    the first blocks' sections is a score to reach; blocks that can't are left out.  With ``ties``, also what equals the last."""
     stats, q = index.statistics(), Q.parse(question)
     forms = {t: [v for v in q.variants[t] if " " not in v] for t in q.terms}
     named = sorted({v for vs in forms.values() for v in vs})
@@ -420,5 +433,9 @@ def bm25(index: Index, question: str, k: int = 50) -> DataFrame:
     if best is None:
         return index.spark.createDataFrame([], "doc_id string, section_id string, sparse double")
     reach = scores(sections(blocks.where(bound >= best))).orderBy(F.desc("sparse")).limit(k).agg(F.min("sparse"), F.count(F.lit(1))).first()
-    least = reach[0] - 1e-9 if reach[1] >= k else 0.0
-    return scores(sections(blocks.where(bound >= least))).orderBy(F.desc("sparse"), "doc_id", "section_id").limit(k)
+    least = reach[0] - 1e-6 if reach[1] >= k else 0.0
+    found = scores(sections(blocks.where(bound >= least)))
+    if ties:
+        last = found.select(F.round("sparse", 6).alias("s")).orderBy(F.desc("s")).limit(k).agg(F.min("s")).first()[0]
+        return found.where(F.round("sparse", 6) >= F.lit(last))
+    return found.orderBy(F.desc("sparse"), "doc_id", "section_id").limit(k)

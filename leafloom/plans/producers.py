@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from leafloom import schema
 from leafloom.functions import text as T
@@ -72,20 +74,17 @@ for _dim in (16, 64, 256):
 
 
 def per_document(function: Callable[..., list[dict]], ddl: str) -> Producer:
-    """A producer of a function from the rows of one document (lists of dicts, one per table) to rows of ``ddl`` without
-    doc_id, on the executors.  An error it raises is that document's.  A task holds one document at a time."""
+    """A producer of a function from the rows of one document (lists of dicts, one per table) to rows of ``ddl``, whose
+    doc_id is set, on the executors.  An error it raises is that document's.  A task holds one document at a time."""
 
     def run(*tables: DataFrame) -> DataFrame:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
         arrow = to_arrow_schema(StructType.fromDDL(f"{ddl}, error string"))
 
         def rows(doc, parts):
             import pyarrow as pa
 
             try:
-                out = [{"doc_id": doc, **r} for r in function(*parts)]
+                out = [{**r, "doc_id": doc} for r in function(*parts)]
                 return pa.Table.from_pylist(out, schema=arrow)
             except Exception as error:  # whatever a plug-in raises is its document's error
                 return pa.Table.from_pylist([{"doc_id": doc, "error": f"{type(error).__name__}: {error}"}], schema=arrow)

@@ -246,9 +246,10 @@ def average_length(spark, sf):
     return _records(spark, sf).agg(F.count(F.lit(1)).alias("records"), F.round(F.avg(F.size("tokens")), 6).alias("mean"))
 
 
-def _search_sql(select: str) -> str:
-    """The whole ranker as SQL for one query: corpus statistics and weights come from the data."""
-    q = Q.parse(SEARCH)
+def _search_sql(select: str, question: str | None = None, dim: int = 0) -> str:
+    """The whole ranker as SQL for one query: corpus statistics and weights come from the data.  With ``dim``, the dense
+    signal of the offline embedding too."""
+    q = Q.parse(question or SEARCH)
     one = {t: [v for v in q.variants[t] if " " not in v] for t in q.terms}
     forms = sorted({v for t in q.terms for v in one[t]})
     name = {v: f"df_{k}" for k, v in enumerate(forms)}
@@ -278,12 +279,21 @@ def _search_sql(select: str) -> str:
     factor = locale if q.wants_history else f"CASE WHEN list_has_any(string_split(concat_ws(' ', h_doc, h_source, h_title), ' '), {history}) THEN 0.45 ELSE 1 END * {locale}"
     first = listed(one[q.terms[0]] + [f"docs {v}" for v in one[q.terms[0]]])
     over = f"greatest(CASE WHEN list_contains({first}, h_doc) THEN 0.16 ELSE 0 END, CASE WHEN list_contains({listed(one[q.terms[0]])}, h_title) THEN 0.12 ELSE 0 END)"
-    return f"""WITH {SQL_RECORDS}, s0 AS (SELECT count(*) AS n, avg(len(tokens)) AS mean, {stats} FROM r), s1 AS (SELECT *, {biggest}, {weights} FROM s0), s AS (SELECT *, {idf} FROM s1),
-a AS (SELECT r.*, s.*, {tf}, {over} AS over FROM r, s),
+    dense, blended, alone, vectors_sql = "0", "", "0", ""
+    if dim:
+        bucket = f"CAST(('0x' || substr(sha256(w), 1, 16))::UBIGINT % {dim} AS INT)"
+        words = "[x FOR x IN string_split_regex(lower({}), '\\s+') IF x <> '']"
+        both = "title || chr(10) || chr(10) || line"
+        vectors_sql = f""", vb AS (SELECT doc_id, pos, {bucket} AS b, count(*) AS n FROM (SELECT doc_id, pos, unnest({words.format(both)}) AS w FROM l) GROUP BY ALL),
+qb AS (SELECT {bucket} AS b, count(*) AS m FROM (SELECT unnest({words.format("'" + (question or SEARCH) + "'")}) AS w) GROUP BY ALL), vn AS (SELECT doc_id, pos, sqrt(sum(n * n)) AS norm FROM vb GROUP BY ALL),
+vd AS (SELECT doc_id, pos, sum(n * m) / any_value(norm) / (SELECT sqrt(sum(m * m)) FROM qb) AS dense FROM vb JOIN qb USING (b) JOIN vn USING (doc_id, pos) GROUP BY ALL)"""
+        dense, blended, alone = "least(1, greatest(0, coalesce((SELECT dense FROM vd WHERE vd.doc_id = r.doc_id AND vd.pos = r.pos), 0)))", "0.22 * dense + ", "0.25 * dense"
+    return f"""WITH {SQL_RECORDS}{vectors_sql}, s0 AS (SELECT count(*) AS n, avg(len(tokens)) AS mean, {stats} FROM r), s1 AS (SELECT *, {biggest}, {weights} FROM s0), s AS (SELECT *, {idf} FROM s1),
+a AS (SELECT r.*, s.*, {tf}, {over} AS over, {dense} AS dense FROM r, s),
 b AS (SELECT *, least(1, ({" + ".join(lex)}) / (({everything}) * 9.5)) AS profile, ({focus}) / (w_0 + w_1) AS focus, ({cover}) / ({everything}) AS coverage, 0.25 * ({ident}) / (w_0 + w_1 + w_2) AS identity,
   CASE WHEN ({most}) > 0 THEN least(1, greatest(0, ({got}) / ({most}))) ELSE 0 END AS sparse, {factor} AS factor, least(0.22, over + CASE WHEN over > 0 THEN 0.04 ELSE 0 END) AS overview FROM a),
 d AS (SELECT *, least(1, (CASE WHEN profile <= 0 OR focus >= 1 THEN profile ELSE profile * (0.3 + 0.7 * focus) END) * (0.45 + 0.55 * coverage) + overview) AS lexical FROM b),
-e AS (SELECT *, CASE WHEN lexical <= 0 AND sparse <= 0 THEN 0 ELSE least(1, 0.5 * lexical + 0.28 * (CASE WHEN sparse <= 0 THEN 0 WHEN lexical <= 0 THEN 0.15 * sparse ELSE sparse * least(1, greatest(0.25, 2 * lexical)) END)) END AS blend FROM d),
+e AS (SELECT *, CASE WHEN lexical <= 0 AND sparse <= 0 THEN {alone} ELSE least(1, {blended}0.5 * lexical + 0.28 * (CASE WHEN sparse <= 0 THEN 0 WHEN lexical <= 0 THEN 0.15 * sparse ELSE sparse * least(1, greatest(0.25, 2 * lexical)) END)) END AS blend FROM d),
 f AS (SELECT *, round(least(1, blend + identity) * factor, 6) AS score FROM e) {select}"""
 
 

@@ -32,3 +32,14 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(shutil.make_archive(f"{to}/leafloom", "zip", f"{to}/pkg"))
         _shipped.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that all nodes share: ``spark.checkpoint.dir``, else one below the warehouse, or for a local master one in the
+    temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return f"file://{tempfile.gettempdir()}/checkpoints"
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"

@@ -3,7 +3,8 @@ from pathlib import Path
 import pytest
 
 from leafloom import schema
-from leafloom.plans import build
+from leafloom.operators import index
+from leafloom.plans import build, producers
 from leafloom.session import ship
 from leafloom.sources import files
 
@@ -48,3 +49,83 @@ def test_nothing_to_build_is_an_error(spark, tmp_path):
     (tmp_path / "repo" / "a.bin").write_bytes(b"x")
     with pytest.raises(schema.InvalidConfig):
         build.sync(spark, str(tmp_path / "repo"), files.Store(spark, str(tmp_path / "store")))
+
+
+def repository(tmp_path, **texts):
+    root = tmp_path / "repo"
+    root.mkdir(exist_ok=True)
+    for name, text in texts.items():
+        (root / f"{name}.md").write_text(text)
+    return str(root)
+
+
+def test_what_a_producer_cannot_do_stays_with_its_document(spark, tmp_path):
+    spark = ship(spark)
+    root = repository(tmp_path, a="# A\n\nfine\n", b="# B\n\nbroken\n", c="# C\n\nfine too\n")
+    store = files.Store(spark, str(tmp_path / "store"))
+
+    def summarize(texts):
+        if any("broken" in t for t in texts):
+            raise RuntimeError("no answer")
+        return ["said"] * len(texts)
+
+    def extract(sections):
+        if sections[0]["title"] == "C":
+            raise KeyError("c")
+        return [{"hit_ord": s["pos"], "section_id": s["section_id"], "canonical": s["title"], "surface_form": s["title"], "kind": "term", "span": {"start": 0, "end": 1}} for s in sections]
+
+    producers.register("summarizer", "fragile", producers.summarizer_of(summarize, "fragile-model", levels=("gist", "synopsis")))
+    hit = schema.ENTITY_HITS
+    producers.register("entity_extractor", "fragile", producers.per_document(extract, hit))
+    use = producers.Producers(summarizer="fragile", entity_extractor="fragile")
+    log = {r.source: (r.rebuilt, r.ok, r.error) for r in build.sync(spark, root, store, use=use).collect()}
+    assert log["a.md"] == (True, True, None)
+    assert log["b.md"] == (False, False, "summarizer: RuntimeError: no answer") and log["c.md"][2].startswith("entity_extractor: KeyError")
+    for name in (*build.TABLES, "records"):
+        assert {r.doc_id for r in store.read(name, build.TABLES.get(name, "doc_id string")).collect()} <= {"a"}
+    assert {(r.gist, r.digest, r.model) for r in store.read("summaries", schema.SUMMARIES).collect()} == {("said", None, "fragile-model")}
+    # a document that fails keeps what was built before
+    good = build.sync(spark, root, store).collect()
+    assert all(r.ok and r.rebuilt for r in good)
+    repository(tmp_path, b="# New B\n\nbroken again\n")
+    log = {r.source: r.ok for r in build.sync(spark, root, store, use=producers.Producers(summarizer="fragile")).collect()}
+    assert log == {"a.md": True, "b.md": False, "c.md": True}
+    assert {r.title for r in store.read("sections", schema.SECTIONS).where("doc_id = 'b'").collect()} == {"B"}
+
+
+def test_trees_that_are_not_well_formed_are_not_written(spark, tmp_path):
+    root = repository(tmp_path, a="# Foo\n\n# Foo\n\n# Foo 2\n", b="# Bar\n")
+    store = files.Store(ship(spark), str(tmp_path / "store"))
+    log = {r.source: (r.ok, r.error) for r in build.sync(spark, root, store).collect()}
+    assert log["a.md"] == (False, "tree: duplicate id foo-2") and log["b.md"] == (True, None)
+    assert {r.doc_id for r in store.read("sections", schema.SECTIONS).collect()} == {"b"}
+
+
+def test_the_build_writes_the_search_index(spark, tmp_path):
+    root = repository(tmp_path, a="# Install\n\nHow to install the engine.\n", b="# Login\n\nTokens and sessions.\n")
+    store = files.Store(ship(spark), str(tmp_path / "store"))
+    build.sync(spark, root, store)
+    asked = spark.createDataFrame([("q", "installing")], "query_id string, question string")
+    best = index.search(index.Index(store.snapshot()), asked, 1).first()
+    assert (best.doc_id, best.section_id, best.matched_terms) == ("a", "install", ["installing"])
+    version = store.version()
+    build.sync(spark, root, store)
+    assert store.version() == version  # nothing to build, nothing written
+    repository(tmp_path, a="# Removed\n\nNothing here.\n")
+    build.sync(spark, root, store)
+    best = index.search(index.Index(store.snapshot()), asked, 1).first()
+    assert best.base_score == 0 or best.matched_terms == []
+
+
+def test_other_producers_build_again_and_unknown_ones_are_refused(spark, tmp_path):
+    root = repository(tmp_path, a="# A\n\n# B\n")
+    store = files.Store(ship(spark), str(tmp_path / "store"))
+    build.sync(spark, root, store)
+    use = producers.Producers(xref_extractor="consecutive")
+    assert [r.rebuilt for r in build.sync(spark, root, store, use=use).collect()] == [True]
+    assert {(r.src, r.dst) for r in store.read("xrefs", schema.XREFS).collect()} == {("a", "b")}
+    assert [r.rebuilt for r in build.sync(spark, root, store, use=use).collect()] == [False]
+    with pytest.raises(schema.InvalidConfig):
+        build.sync(spark, root, store, force=True, use=producers.Producers(summarizer="nobody"))
+    with pytest.raises(schema.InvalidConfig):
+        producers.register("cook", "x", lambda rows: rows)
