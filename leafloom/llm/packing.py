@@ -4,7 +4,8 @@ A task keeps a fixed number of open sequences.  A bitset keyed by free space fin
 free space that still holds a piece; a piece that fits nowhere opens a sequence, and if too many are open the fullest
 closes first.  Documents longer than a sequence are cut; only the first piece is shorter than a whole sequence.
 
-Two passes: tasks pack what they read, then the pieces of the sequences that stayed open are packed together.
+Tasks pack what they read; then the pieces of the sequences that stayed open are packed again, in the same way, by fewer and
+fewer tasks until one has the rest.
 
 Defined results: a null text is empty (one piece: the end id); repeated rows are packed each; an empty table gives no
 rows; other columns are ignored; a null doc_id stays null.
@@ -109,23 +110,24 @@ def _pack(path: str, end_id: int, size: int, most: int):
     return run
 
 
-def _pack_again(size: int, most: int):
-    schema = arrow_schema(PACKED)
+def _pack_again(size: int, most: int, turn: int):
+    schema = arrow_schema(PACKED + ", closed boolean")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        bins, numbers = OpenBins(size, most), itertools.count(TaskContext.get().partitionId() << 33)
+        bins = OpenBins(size, most)
+        numbers = itertools.count(turn << 57 | TaskContext.get().partitionId() << 33)
         numbers = (-1 - k for k in numbers)  # below zero: apart from those of the first pass
         for batch in batches:
             out: list[dict] = []
             for piece in batch.to_pylist():
-                out += _placed(bins.add(piece, piece["length"]), numbers)
+                out += _placed(bins.add(piece | {"closed": True}, piece["length"]), numbers)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
         if out := _placed(bins.rest(), numbers):
-            yield pa.RecordBatch.from_pylist(out, schema)
+            yield pa.RecordBatch.from_pylist([row | {"closed": False} for row in out], schema)
 
     return run
 
@@ -134,16 +136,27 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: in
     """One row per piece: where it lies in its document and in its sequence.
 
     Every task packs what it reads with ``open_bins`` open sequences.  What is open at its end is not written as it is:
-    the pieces of all tasks' unfinished sequences (without their ids) are packed again, the longest first, in pools of
-    about ``pool`` pieces, so what stays unfilled doesn't grow with the number of tasks.  Sequence ids are unique: the
-    task's number, then a counter; below zero those of the second pass.
+    the pieces of all tasks' unfinished sequences (without their ids) are packed again in pools of about ``pool`` pieces
+    with as many open sequences, and so on until one pool is left or a turn gains little; so what stays unfilled doesn't
+    grow with the number of tasks.  Sequence ids are unique: the task's number, then a counter; below zero those of later
+    turns.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    first = scratch.stage(docs.select("doc_id", text_of().alias("text")).mapInArrow(_pack(tokenizer, end_id, size, open_bins), PACKED + ", closed boolean"), "first")
-    unfinished = first.where("NOT closed").drop("closed", "sequence_id", "offset")
-    pools = max(1, -(-unfinished.count() // pool))
-    dealt = unfinished.repartition(pools, F.xxhash64("doc_id", "piece", "start", "ids_crc32")).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
-    return first.where("closed").drop("closed").unionByName(dealt.mapInArrow(_pack_again(size, pool), PACKED))
+    found = [scratch.stage(docs.select("doc_id", text_of().alias("text")).mapInArrow(_pack(tokenizer, end_id, size, open_bins), PACKED + ", closed boolean"), "turn-0")]
+    left = found[-1].where("NOT closed").count()
+    for turn in range(1, 32):
+        pools = max(1, -(-left // pool))
+        # dealt by hash, and in that order: lengths play no part in it
+        unfinished = found[-1].where("NOT closed").drop("closed", "sequence_id", "offset").withColumn("h", F.xxhash64("doc_id", "piece", "start", "ids_crc32"))
+        dealt = unfinished.repartition(pools, "h").sortWithinPartitions("h", "doc_id", "piece").drop("h")
+        found.append(scratch.stage(dealt.mapInArrow(_pack_again(size, open_bins, turn), PACKED + ", closed boolean"), f"turn-{turn}"))
+        before, left = left, found[-1].where("NOT closed").count()
+        if pools == 1 or 4 * left > 3 * before:
+            break
+    out = found[-1].drop("closed")
+    for turn in found[:-1]:
+        out = out.unionByName(turn.where("closed").drop("closed"))
+    return out
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

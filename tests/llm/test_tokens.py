@@ -113,6 +113,60 @@ def test_open_bins_close_the_fullest():
     assert bins.add("d", 3) == [["b", "d"]] and bins.add("e", 10) == [["e"]] and bins.rest() == [["a"]]
 
 
+def plain_packer(pieces, size, most):
+    """Bounded-space best-fit by looking at every open sequence."""
+    closed, opened = [], []
+    for name, length in pieces:
+        if length == size:
+            closed.append([name])
+            continue
+        fit = [b for b in opened if b["free"] >= length]
+        own = min(reversed(fit), key=lambda b: b["free"]) if fit else {"free": size, "names": []}
+        if fit:
+            opened.remove(own)
+        own["names"].append(name)
+        own["free"] -= length
+        if own["free"] == 0:
+            closed.append(own["names"])
+            continue
+        opened.append(own)
+        if len(opened) > most:
+            fullest = min(reversed(opened), key=lambda b: b["free"])
+            opened.remove(fullest)
+            closed.append(fullest["names"])
+    return closed, [b["names"] for b in opened]
+
+
+def test_open_bins_equal_a_plain_packer():
+    rng = random.Random(3)
+    for size, most in ((20, 1), (50, 3), (2048, 512), (100, 40)):
+        pieces = [(k, min(size, int(rng.expovariate(3 / size)) + 1)) for k in range(2000)]
+        bins, closed = packing.OpenBins(size, most), []
+        for name, length in pieces:
+            closed += bins.add(name, length)
+        want, rest = plain_packer(pieces, size, most)
+        assert closed == want and sorted(map(sorted, bins.rest())) == sorted(map(sorted, rest))
+
+
+def test_later_turns_have_no_more_open_sequences(spark, monkeypatch):
+    """All pieces are placed once, each turn with bounded space, whatever the number of tasks."""
+    most = []
+    add = packing.OpenBins.__init__
+    monkeypatch.setattr(packing.OpenBins, "__init__", lambda self, size, bound: (most.append(bound), add(self, size, bound))[1])
+    docs = ship(spark).createDataFrame([(k, "word " * (k * 7 % 40), "x") for k in range(400)], "doc_id long, text string, slot string")
+    rows = packing.pack_documents(docs.repartition(16), tokenizer_file(), size=64, open_bins=5, pool=60).collect()
+    assert sorted(r.doc_id for r in rows if r.piece == 0) == list(range(400))
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 64
+    tokens = sum(r.length for r in rows)
+    assert len(places) <= 1.1 * -(-tokens // 64) + 10
+    assert set(most) <= {5}
+
+
 def test_sharding(spark, docs, tmp_path):
     path = f"file://{tmp_path}/shards"
     schema = sharding.write_shards(docs, path, shards=4, bucket_bytes=200)
