@@ -10,7 +10,8 @@ any case and wrapping.
 3. A pair's coverage is counted from all hits.  Pairs of 80 % are compared slot by slot: an item's value must stand for one
    value of the document, and two names for two names (numbers and units may coincide), in 80 % of the slots; for each
    shift between the two texts that many windows agree on, the best counts.  Where all values are equal it is a copy.
-4. An item of fewer than five words is found where a whole line of a document consists of it.
+4. An item of two to four words is found as one window of its own length, at any place; an item of one word only where
+   a whole line consists of it.
 
 Defined results: null and empty texts hold nothing; rows that share a doc_id are one document; rows without doc_id or
 item_id match nothing, nor does a null or empty item; items that share an item_id are looked for each, the best counts; of
@@ -107,21 +108,30 @@ def covered(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
     return counted.where(F.col("coverage") >= LEAST_COVERAGE).groupBy("doc_id", "item_id").agg(F.max("plain").alias("plain"), F.max("coverage").alias("coverage"))
 
 
-def slots(pairs: DataFrame) -> DataFrame:
+def slots(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds n_slots, n_changed and n_consistent to rows of doc_text and item_text that match, for the best shift between
-    the two word lists among those that at least half as many windows have as the most frequent one."""
-    rows = pairs.select(
-        "*", template_words(F.col("item_text")).alias("it"), raw_words(F.col("item_text")).alias("ir"), template_words(F.col("doc_text")).alias("dt"), raw_words(F.col("doc_text")).alias("dr"), template_words(F.col("item_text"), inside=True).alias("inner")
+    the two word lists among those that at least half as many windows have as the most frequent one.
+
+    Shifts are counted by grouping, and each distinct part of a text that a shift points to is compared once, so a text
+    that repeats an item is as much work as it is long.
+    """
+    key = ["pair_id", "doc_id", "item_id", "coverage"]
+    rows = pairs.withColumn("pair_id", F.xxhash64("doc_text", "item_text")).select(
+        *key, "plain", template_words(F.col("item_text")).alias("it"), raw_words(F.col("item_text")).alias("ir"), template_words(F.col("doc_text")).alias("dt"), raw_words(F.col("doc_text")).alias("dr"), template_words(F.col("item_text"), inside=True).alias("inner")
     )
     rows = rows.select("*", F.when(F.col("plain"), windows(F.col("ir"))).otherwise(windows(F.col("it"))).alias("iw"), F.when(F.col("plain"), windows(F.col("dr"))).otherwise(windows(F.col("dt"))).alias("dw"))
     shifts = F.filter(F.transform("dw", lambda w, j: F.when(F.array_contains("iw", w), j + 1 - F.array_position("iw", w).cast("int"))), lambda s: s.isNotNull())
-    rows = rows.withColumn("shifts", shifts)
-    rows = rows.withColumn("counts", F.transform(F.array_distinct("shifts"), lambda s: F.struct(F.size(F.filter("shifts", lambda x: x == s)).alias("n"), s.alias("s"))))
-    rows = rows.withColumn("most", F.array_max("counts")["n"])
+    rows = scratch.stage(rows.select(*key, "it", "ir", "inner", "dr", shifts.alias("shifts")), "shifts")
+    counts = rows.select(*key, F.explode("shifts").alias("s")).groupBy(*key, "s").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max("n").over(Window.partitionBy(*key))
+    often = counts.withColumn("most", most).where(2 * F.col("n") >= F.col("most")).groupBy(*key).agg(F.collect_list("s").alias("s"))
+    # the words of the text that a shift sets beside the item's
+    beside = F.transform("s", lambda s: F.transform("it", lambda w, i: F.when(s + i >= 0, F.get("dr", s + i))))
+    parts = rows.drop("shifts").join(often.hint("merge"), key).select(*key, "it", "ir", "inner", F.explode(beside).alias("d")).distinct()
     is_slot = lambda w: w.isin(NUMBER_SLOT, UNIT_SLOT, NAME_SLOT)
 
-    def checked(shift: Column) -> Column:
-        doc = lambda i: F.when(shift + i >= 0, F.get("dr", shift + i))
+    def checked() -> Column:
+        doc = lambda i: F.get("d", i)
         # a capitalised word that only begins a sentence is a slot where it changed
         slot = lambda w, i: is_slot(w) & (is_slot(F.get("inner", i)) | ~F.get("ir", i).eqNullSafe(doc(i)))
         at = F.filter(F.transform("it", lambda w, i: F.when(slot(w, i), i)), lambda i: i.isNotNull())
@@ -137,20 +147,35 @@ def slots(pairs: DataFrame) -> DataFrame:
 
         return F.get(F.transform(F.array(values), counted), F.lit(0))
 
-    best = F.array_max(F.transform(F.filter("counts", lambda c: 2 * c["n"] >= F.col("most")), lambda c: checked(c["s"])))
-    return rows.withColumn("best", best).select(*[c for c in pairs.columns if c != "plain"], "best.n_slots", "best.n_changed", "best.n_consistent")
+    best = parts.select(*key, checked().alias("b")).groupBy(*key).agg(F.max("b").alias("best"))
+    return best.select("doc_id", "item_id", "coverage", "best.n_slots", "best.n_changed", "best.n_consistent")
 
 
 def short_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
-    """Documents with a line that is an item of one to four words; None where there are no such items."""
+    """Documents that hold an item of two to four words at any place, or one of a single word as a line; None where there
+    are no such items."""
     words = raw_words(text_of())
-    short = benchmark.where("item_id IS NOT NULL").select("item_id", words.alias("w")).where(F.size("w").between(1, WINDOW - 1)).select("item_id", F.array_join("w", " ").alias("line"))
+    short = benchmark.where("item_id IS NOT NULL").select("item_id", words.alias("w")).where(F.size("w").between(1, WINDOW - 1)).select("item_id", F.size("w").alias("n"), F.array_join("w", " ").alias("line"))
     if short.isEmpty():
         return None
-    lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.split(text_of(), "\n")).alias("text"))
-    lines = lines.select("doc_id", raw_words(F.col("text")).alias("w")).where(F.size("w").between(1, WINDOW - 1)).select("doc_id", F.array_join("w", " ").alias("line")).distinct()
+    named = docs.where("doc_id IS NOT NULL")
+    lines = named.select("doc_id", F.explode(F.split(text_of(), "\n")).alias("text")).select("doc_id", raw_words(F.col("text")).alias("w"))
+    lines = lines.where(F.size("w") == 1).select("doc_id", F.lit(1).alias("n"), F.get("w", F.lit(0)).alias("line")).distinct()
+    found = lines.join(short.where("n = 1"), ["n", "line"]).select("doc_id", "item_id")
+    longer = short.where("n > 1").select("item_id", "n", "line", F.split("line", " ")[0].alias("first"))
+    if not longer.isEmpty():
+        # a row for each word, which meets the items that begin with it; only those rows get the words after it
+        own = named.select("doc_id", words.alias("w")).where(F.size("w") > 1)
+        firsts = longer.select("first").distinct()
+        if firsts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+            firsts = F.broadcast(firsts)  # size checked above
+        ahead = F.transform("w", lambda x, i: F.struct(x.alias("first"), F.slice("w", i + 1, WINDOW - 1).alias("next")))
+        starts = own.select("doc_id", F.explode(ahead).alias("a")).select("doc_id", "a.first", "a.next").join(firsts, "first", "left_semi")
+        sizes = F.explode(F.sequence(F.lit(2), F.least(F.lit(WINDOW - 1), F.size("next")))).alias("n")
+        starts = starts.where(F.size("next") > 1).select("doc_id", "next", sizes).select("doc_id", "n", F.array_join(F.slice("next", 1, F.col("n")), " ").alias("line")).distinct()
+        found = found.unionByName(starts.join(longer.select("item_id", "n", "line"), ["n", "line"]).select("doc_id", "item_id"))
     zero = F.lit(0)
-    return lines.join(short, "line").select("doc_id", "item_id", F.lit(1.0).alias("coverage"), zero.alias("n_slots"), zero.alias("n_changed"), zero.alias("n_consistent")).distinct()
+    return found.distinct().select("doc_id", "item_id", F.lit(1.0).alias("coverage"), zero.alias("n_slots"), zero.alias("n_changed"), zero.alias("n_consistent"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -161,8 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     scratch.drop("hits")
     texts = docs.select("doc_id", text_of().alias("doc_text"))
     found = pairs.join(texts, "doc_id").join(benchmark.select("item_id", text_of().alias("item_text")), "item_id")
-    # staged before the filter: pushed below, it would repeat the whole chain of expressions for every value
-    checked = scratch.stage(slots(found).drop("doc_text", "item_text"), "checked").where(F.col("n_consistent") >= LEAST_CONSISTENT * F.col("n_slots"))
+    checked = slots(found, scratch).where(F.col("n_consistent") >= LEAST_CONSISTENT * F.col("n_slots"))
     short = short_items(docs, benchmark)
     out = checked if short is None else checked.unionByName(short)
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("coverage", "n_slots", "n_changed", "n_consistent")])

@@ -257,6 +257,31 @@ def test_copies_and_templates_in_any_context(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == {(1, 10), (2, 11), (3, 11), (4, 12), (5, 12)}
 
 
+def test_short_items_at_any_place(spark):
+    items = [(1, "What is photosynthesis?"), (2, "Paris"), (3, "Two words"), (4, "one two three four"), (5, None), (6, "")]
+    texts = {
+        10: "Question: What is photosynthesis? Answer: a process.", 11: "what is, photosynthesis", 12: "What is the photosynthesis", 13: "We saw Paris.", 14: "a\nParis\nb",
+        15: "in two\nwords", 16: "twowords", 17: "zero one two three four five", 18: "one two three", 19: "", 20: None, 21: "x Two words",
+    }
+    docs = spark.createDataFrame([(k, t, 0) for k, t in texts.items()] + [(10, texts[10], 1), (None, texts[10], 0)], "doc_id long, text string, item_id int")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(10, 1), (11, 1), (14, 2), (15, 3), (21, 3), (17, 4)}
+
+
+def test_many_repeats_in_one_text_are_linear(spark):
+    import time
+
+    item = "The quick 12 foxes jumped over 7 lazy dogs near the old river bank today."
+    took = {}
+    for n in (2_000, 20_000):
+        docs = spark.createDataFrame([(1, (item + " ") * n), (2, (item.replace("12", "99") + " ") * n)], "doc_id long, text string")
+        began = time.time()
+        rows = decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+        took[n] = time.time() - began
+        assert {(r.doc_id, r.n_slots, r.n_changed) for r in rows} >= {(1, rows[0].n_slots, 0)} and len(rows) == 2
+    assert took[20_000] < 30
+
+
 def test_toxicity_learns_from_document_labels(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
