@@ -83,24 +83,26 @@ def vocabulary(sections: DataFrame) -> DataFrame:
 
 
 def _scan(batches: Iterator) -> Iterator:
-    """Mentions of each row's vocabulary in its text: longest surface first, whole words, without overlap."""
+    """Mentions of a document's vocabulary, which is its first row, in the texts of its other rows: longest surface first,
+    whole words, without overlap."""
     import re
 
     import pyarrow as pa
 
     fence, inline = re.compile(r"```[^\n]*\n(.*?)\n```", re.S), re.compile(INLINE)
-    last, pattern, by_key = None, None, {}
+    owner, pattern, by_key = None, None, {}
     for batch in batches:
         out = []
         for doc, pos, section, text, terms in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if not terms:
-                continue
-            if doc != last:
-                last, by_key = doc, {}
+            if terms is not None:
+                owner, by_key = doc, {}
                 for t in terms:
                     by_key.setdefault(" ".join(t["canonical"].lower().split()), []).append(t)
                 surfaces = sorted((t["canonical"] for t in terms), key=len, reverse=True)
                 pattern = re.compile("(?<![A-Za-z0-9_])(?:" + "|".join(r"\s+".join(map(re.escape, s.split())) for s in surfaces) + ")(?![A-Za-z0-9_])", re.I)
+                continue
+            if doc != owner or not text:
+                continue
             fences = [m.span() for m in fence.finditer(text)]
             code = [m.span(1) for m in fence.finditer(text)] + [m.span(1) for m in inline.finditer(text) if not any(a <= m.start() < b for a, b in fences)]
             for m in pattern.finditer(text):
@@ -118,8 +120,11 @@ def hits(sections: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     """All mentions with offsets inside ``raw_text``, in order (``hit_ord`` by document)."""
     vocab = vocabulary(sections) if vocab is None else vocab
     terms = vocab.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "at", "canonical", "kind", "case_sensitive"))).alias("terms"))
-    rows = sections.select("doc_id", "pos", "section_id", "raw_text").join(terms, "doc_id").sortWithinPartitions("doc_id", "pos")
-    found = rows.select(F.col("doc_id").cast("string"), "pos", "section_id", "raw_text", "terms").mapInArrow(_scan, "doc_id string, pos int, " + HITS)
+    # a document's vocabulary goes once, before its sections
+    first = terms.select("doc_id", F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("section_id"), F.lit(None).cast("string").alias("raw_text"), "terms")
+    own = sections.select("doc_id", F.col("pos").cast("int").alias("pos"), "section_id", "raw_text", F.lit(None).cast(terms.schema["terms"].dataType).alias("terms"))
+    rows = first.unionByName(own).withColumn("doc_id", F.col("doc_id").cast("string")).repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    found = rows.mapInArrow(_scan, "doc_id string, pos int, " + HITS)
     by = Window.partitionBy("doc_id").orderBy("pos", "start")
     return found.select("doc_id", (F.row_number().over(by) - 1).alias("hit_ord"), "section_id", "canonical", "surface_form", "kind", F.struct("start", "end").alias("span"))
 

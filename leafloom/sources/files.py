@@ -104,13 +104,19 @@ def excluded(source, patterns: tuple[str, ...]):
 def document_ids(found: DataFrame) -> DataFrame:
     """``source`` to ``id``: the path without suffix as one slug; in path order an id in use moves on to the next free number.
 
-    Numbers can only clash among slugs that differ in trailing numbers.  Where such slugs meet, their paths (nothing else
-    of the rows) are numbered one by one; all others by a window over their slug.
+    Only a slug that several paths have gives numbers, so only slugs that are one of those and a number can clash with
+    them: their paths (nothing else of the rows) are numbered one by one.  All others are numbered by a window over their
+    slug; a folder of numbered files has no clash.
     """
     base = T.slug(F.regexp_replace(F.regexp_replace("source", r"\.[^./]+$", ""), "/", "-"), "document")
-    rows = found.withColumn("base", base).withColumn("root", F.regexp_replace("base", "(?:-[0-9]+)+$", ""))
-    mixed = rows.groupBy("root").agg(F.min("base").alias("a"), F.max("base").alias("b")).select("root", (F.col("a") != F.col("b")).alias("mixed"))
-    rows = rows.join(mixed, "root")
+    rows = found.withColumn("base", base)
+    several = rows.groupBy("base").count().where("count > 1").select(F.col("base").alias("root"))
+    tail = F.regexp_extract("base", "((?:-[0-9]+)*)$", 1)
+    heads = F.transform(F.sequence(F.lit(1), F.size(F.split(tail, "-")) - 1), lambda k: F.array_join(F.slice(F.split("base", "-"), F.lit(1), F.size(F.split("base", "-")) - k), "-"))
+    numbered = rows.select("base", tail.alias("tail")).where("tail <> ''").distinct().select("base", F.explode(heads).alias("root")).where("root <> ''")
+    clashes = numbered.join(several, "root").groupBy("base").agg(F.min_by("root", F.length("root")).alias("root"))
+    clashes = clashes.unionByName(clashes.select(F.col("root").alias("base"), "root").distinct()).groupBy("base").agg(F.min_by("root", F.length("root")).alias("root"))
+    rows = rows.join(clashes, "base", "left").withColumn("mixed", F.col("root").isNotNull())
     n = F.row_number().over(Window.partitionBy("base").orderBy("source"))
     plain = rows.where("NOT mixed").withColumn("id", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", F.col("base"), n)))
 
