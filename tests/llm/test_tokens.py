@@ -167,6 +167,18 @@ def test_later_turns_have_no_more_open_sequences(spark, monkeypatch):
     assert set(most) <= {5}
 
 
+def test_offsets_by_groups_of_buckets(spark, tmp_path, monkeypatch):
+    docs = ship(spark).createDataFrame([(k, f"text {k}" * (k % 9), "x") for k in range(300)], "doc_id long, text string, slot string")
+    found = {}
+    for group in (1, 3, 1024):
+        monkeypatch.setattr(sharding, "GROUP", group)
+        path = f"file://{tmp_path}/{group}"
+        rows = sharding.read_shards(spark, path, sharding.write_shards(docs, path, shards=7, bucket_bytes=100)).collect()
+        found[group] = sorted((r.shard, r.slot, r.record.doc_id) for r in rows)
+    assert found[1] == found[3] == found[1024]
+    assert [(s, k) for s, k, _ in found[1]] == [(s, k) for s in range(7) for k in range(43 if s < 6 else 42)]
+
+
 def test_sharding(spark, docs, tmp_path):
     path = f"file://{tmp_path}/shards"
     schema = sharding.write_shards(docs, path, shards=4, bucket_bytes=200)
