@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafloom.functions.text import let
 from leafloom.llm._common import Scratch, documents, text_of
 
 WINDOW, LEAST_COVERAGE, LEAST_CONSISTENT = 5, 0.8, 0.8
@@ -108,30 +109,24 @@ def covered(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
     return counted.where(F.col("coverage") >= LEAST_COVERAGE).groupBy("doc_id", "item_id").agg(F.max("plain").alias("plain"), F.max("coverage").alias("coverage"))
 
 
-def slots(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+def slots(pairs: DataFrame) -> DataFrame:
     """Adds n_slots, n_changed and n_consistent to rows of doc_text and item_text that match, for the best shift between
-    the two word lists among those that at least half as many windows have as the most frequent one.
-
-    Shifts are counted by grouping, and each distinct part of a text that a shift points to is compared once, so a text
-    that repeats an item is as much work as it is long.
-    """
-    key = ["pair_id", "doc_id", "item_id", "coverage"]
-    rows = pairs.withColumn("pair_id", F.xxhash64("doc_text", "item_text")).select(
-        *key, "plain", template_words(F.col("item_text")).alias("it"), raw_words(F.col("item_text")).alias("ir"), template_words(F.col("doc_text")).alias("dt"), raw_words(F.col("doc_text")).alias("dr"), template_words(F.col("item_text"), inside=True).alias("inner")
+    the two word lists among those that at least half as many windows have as the most frequent one.  Shifts are counted
+    as runs of their sorted list, and equal parts of a text are compared once, so a text that repeats an item is as much
+    work as it is long."""
+    rows = pairs.select(
+        "*", template_words(F.col("item_text")).alias("it"), raw_words(F.col("item_text")).alias("ir"), template_words(F.col("doc_text")).alias("dt"), raw_words(F.col("doc_text")).alias("dr"), template_words(F.col("item_text"), inside=True).alias("inner")
     )
     rows = rows.select("*", F.when(F.col("plain"), windows(F.col("ir"))).otherwise(windows(F.col("it"))).alias("iw"), F.when(F.col("plain"), windows(F.col("dr"))).otherwise(windows(F.col("dt"))).alias("dw"))
     shifts = F.filter(F.transform("dw", lambda w, j: F.when(F.array_contains("iw", w), j + 1 - F.array_position("iw", w).cast("int"))), lambda s: s.isNotNull())
-    rows = scratch.stage(rows.select(*key, "it", "ir", "inner", "dr", shifts.alias("shifts")), "shifts")
-    counts = rows.select(*key, F.explode("shifts").alias("s")).groupBy(*key, "s").agg(F.count(F.lit(1)).alias("n"))
-    most = F.max("n").over(Window.partitionBy(*key))
-    often = counts.withColumn("most", most).where(2 * F.col("n") >= F.col("most")).groupBy(*key).agg(F.collect_list("s").alias("s"))
-    # the words of the text that a shift sets beside the item's
-    beside = F.transform("s", lambda s: F.transform("it", lambda w, i: F.when(s + i >= 0, F.get("dr", s + i))))
-    parts = rows.drop("shifts").join(often.hint("merge"), key).select(*key, "it", "ir", "inner", F.explode(beside).alias("d")).distinct()
+    rows = rows.withColumn("shifts", F.array_sort(shifts))
+    begins = F.filter(F.sequence(F.lit(0), F.size("shifts") - 1), lambda k: (k == 0) | (F.get("shifts", k) != F.get("shifts", k - 1)))
+    rows = rows.withColumn("begins", F.when(F.size("shifts") > 0, begins).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("counts", F.transform("begins", lambda b, k: F.struct((F.coalesce(F.get("begins", k + 1), F.size("shifts")) - b).alias("n"), F.get("shifts", b).alias("s"))))
     is_slot = lambda w: w.isin(NUMBER_SLOT, UNIT_SLOT, NAME_SLOT)
 
-    def checked() -> Column:
-        doc = lambda i: F.get("d", i)
+    def checked(shift: Column) -> Column:
+        doc = lambda i: F.when(shift + i >= 0, F.get("dr", shift + i))
         # a capitalised word that only begins a sentence is a slot where it changed
         slot = lambda w, i: is_slot(w) & (is_slot(F.get("inner", i)) | ~F.get("ir", i).eqNullSafe(doc(i)))
         at = F.filter(F.transform("it", lambda w, i: F.when(slot(w, i), i)), lambda i: i.isNotNull())
@@ -147,8 +142,13 @@ def slots(pairs: DataFrame, scratch: Scratch) -> DataFrame:
 
         return F.get(F.transform(F.array(values), counted), F.lit(0))
 
-    best = parts.select(*key, checked().alias("b")).groupBy(*key).agg(F.max("b").alias("best"))
-    return best.select("doc_id", "item_id", "coverage", "best.n_slots", "best.n_changed", "best.n_consistent")
+    # place by place: a slice would copy the whole text for each shift
+    beside = lambda s: F.transform("it", lambda w, i: F.when(s + i >= 0, F.get("dr", s + i)))
+    often = F.transform(let(F.array_max("counts")["n"], lambda most: F.filter("counts", lambda c: 2 * c["n"] >= most)), lambda c: F.struct(F.xxhash64(beside(c["s"])).alias("h"), c["s"].alias("s")))
+    rows = rows.withColumn("often", F.array_sort(often))
+    rows = rows.withColumn("apart", F.filter("often", lambda o, k: (k == 0) | (o["h"] != F.get("often", k - 1)["h"])))
+    best = F.array_max(F.transform("apart", lambda o: checked(o["s"])))
+    return rows.withColumn("best", best).select(*[c for c in pairs.columns if c != "plain"], "best.n_slots", "best.n_changed", "best.n_consistent")
 
 
 def short_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
@@ -186,7 +186,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     scratch.drop("hits")
     texts = docs.select("doc_id", text_of().alias("doc_text"))
     found = pairs.join(texts, "doc_id").join(benchmark.select("item_id", text_of().alias("item_text")), "item_id")
-    checked = slots(found, scratch).where(F.col("n_consistent") >= LEAST_CONSISTENT * F.col("n_slots"))
+    # staged before the filter: pushed below, it would repeat the whole chain of expressions for every value
+    checked = scratch.stage(slots(found).drop("doc_text", "item_text"), "checked").where(F.col("n_consistent") >= LEAST_CONSISTENT * F.col("n_slots"))
     short = short_items(docs, benchmark)
     out = checked if short is None else checked.unionByName(short)
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("coverage", "n_slots", "n_changed", "n_consistent")])
