@@ -246,3 +246,63 @@ def tree_faults(spark, sf):
     bad = bad.unionByName(one.withColumns({"doc_id": F.lit("2"), "section_id": F.lit("other"), "children": F.array(F.lit("lost-child"))}))
     bad = bad.unionByName(one.withColumns({"doc_id": F.lit("3"), "section_id": F.lit("deep"), "span": odd, "children": none}))
     return tree.validate(rows.unionByName(bad))
+
+
+#: Blocks that hold a line's words {t}, and the heading's level if they are one; each stands after a paragraph of its own.
+BLOCKS = [
+    ("# {t} ##", 1), ("{t}\n===", 1), ("> ## {t}", 2), ("- item\n\n  ### {t}", 3), ("```\n# {t}\n```", None), ("    # {t}", None), ("{t}\n---", 2), ("#{t}", None), ("1. #### **{t}**", 4), ("> {t}\n---", None),
+    ("| {t} | b |\n|---|---|\n| c | d |\n---", None), ("[{t}]: /url\n===", None), ("- > 1. ##### `{t}`", 5), ("- ~~~\n  # {t}", None), ("~~~~\n{t}\n~~~\n# {t}\n~~~~", None), ("{t}\n- last\n  ===", 1),
+]
+TITLES = {15: "last"}
+SQL_BLOCKS = """b AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, i, CASE WHEN t = '' THEN 'x' ELSE t END AS t, (length(line) + i) % {n} AS kind FROM (
+  SELECT doc_id, i, line, array_to_string([w FOR w IN string_split(regexp_replace(lower(line), '[^a-z]+', ' ', 'g'), ' ') IF w <> ''][1:8], ' ') AS t
+  FROM (SELECT doc_id, i, ls[i + 1] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), UNNEST(range(len(ls))) u(i)) WHERE trim(line) <> ''))""".format(n=len(BLOCKS))
+
+
+def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for each document with a block for each of its lines, of a kind that depends on the line."""
+    lines = A.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("i", "line")).where(F.trim("line") != "")
+    words = F.array_join(F.slice(F.filter(F.split(F.regexp_replace(F.lower("line"), "[^a-z]+", " "), " "), lambda w: w != ""), 1, 8), " ")
+    made = F.lit("")
+    kind = (F.length("line") + F.col("i")) % len(BLOCKS)
+    for k, (block, _) in enumerate(BLOCKS):
+        made = F.when(kind == k, F.replace(F.lit("p\n\n" + block + "\n\n"), F.lit("{t}"), F.when(words == "", "x").otherwise(words))).otherwise(made)
+    rows = lines.select("doc_id", "i", made.alias("block"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "block"))), lambda b: b["block"]), "").alias("text"))  # one document's lines
+
+
+@query(
+    "md_blocks",
+    f"""WITH {SQL_BLOCKS}, h AS (SELECT doc_id, i, t, CASE kind {" ".join(f"WHEN {k} THEN {level}" for k, (_, level) in enumerate(BLOCKS) if level)} END AS level, CASE kind {" ".join(f"WHEN {k} THEN '{v}'" for k, v in TITLES.items())} ELSE t END AS title FROM b)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, level, title FROM h WHERE level IS NOT NULL""",
+)
+def md_blocks(spark, sf):
+    """Headings of texts whose structure differs from line to line: setext, quotes, list items, fences, tables, definitions."""
+    return markdown.parse(block_texts(spark, sf)).select("doc_id", "pos", "level", "title")
+
+
+SQL_ANCHORS = """l AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, i, [w FOR w IN string_split(regexp_replace(lower(ls[i + 1]), '[^a-z]+', ' ', 'g'), ' ') IF w <> ''] AS W
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), UNNEST(range(len(ls))) u(i)),
+k AS (SELECT doc_id, W, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM l WHERE len(W) > 1),
+o AS (SELECT *, CASE WHEN pos % 3 > 0 THEN pos - pos % 3 END AS up, W[1] || CASE WHEN row_number() OVER (PARTITION BY doc_id, CASE WHEN pos % 3 > 0 THEN pos - pos % 3 END, W[1] ORDER BY pos) = 1 THEN ''
+  ELSE '-' || row_number() OVER (PARTITION BY doc_id, CASE WHEN pos % 3 > 0 THEN pos - pos % 3 END, W[1] ORDER BY pos) END AS own FROM k),
+t AS (SELECT o.*, concat_ws('/', p.own, o.own) AS section_id FROM o LEFT JOIN o p ON p.doc_id = o.doc_id AND p.pos = o.up)"""
+
+
+@query(
+    "md_anchors",
+    f"""WITH {SQL_ANCHORS}, c AS (SELECT doc_id, own, count(*) AS n FROM t GROUP BY ALL)
+    SELECT DISTINCT a.doc_id, a.section_id AS src, b.section_id AS dst, CASE WHEN n = 1 THEN 0.95 ELSE 0.75 END::DOUBLE AS confidence
+    FROM t a JOIN t b ON b.doc_id = a.doc_id AND b.own = a.W[2] JOIN c ON c.doc_id = b.doc_id AND c.own = b.own WHERE a.section_id <> b.section_id""",
+)
+def md_anchors(spark, sf):
+    """Links to sections whose titles repeat in a document, so that many anchors are ambiguous: a section for each line, titled
+    by its first word and linked to by its second."""
+    lines = A.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    words = F.filter(F.split(F.regexp_replace(F.lower("line"), "[^a-z]+", " "), " "), lambda w: w != "")
+    lines = lines.select("doc_id", "i", words.alias("w")).where(F.size("w") > 1)
+    rows = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("ls"))  # one document's lines
+    part = lambda x, k: F.concat(F.when(k % 3 == 0, "# ").otherwise("## "), x["w"][0], F.lit("\n\n"), F.array_join(x["w"], " "), F.lit(" [it](#"), x["w"][1], F.lit(")\n\n"))
+    texts = rows.select("doc_id", F.array_join(F.transform("ls", part), "").alias("text"))
+    found = xrefs.dedupe(xrefs.links(markdown.parse(texts)))
+    return found.select("doc_id", "src", "dst", "confidence")

@@ -1,13 +1,14 @@
 """Markdown texts to heading trees.
 
-Only the classification of lines needs a sequential automaton (fences), so that is one Arrow function per batch of
-documents; tree, ids, territories and bodies are window expressions.
+Only the classification of lines is sequential (containers and fences), so that is one Arrow function per batch of documents;
+tree, ids, territories and bodies are window expressions.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,37 +26,172 @@ def _plain(title: str) -> str:
     return re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", "".join(clean)).strip() or title.strip()
 
 
+_ATX = re.compile(r"(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+_FENCE = re.compile(r"(`{3,}(?=[^`]*$)|~{3,})")
+_RULE = re.compile(r"([-*_])[ \t]*(?:\1[ \t]*){2,}$")
+_UNDERLINE = re.compile(r"(=+|-+)[ \t]*$")
+_ITEM = re.compile(r"([-+*]|([0-9]{1,9})[.)])(?: |$)")
+_DEFINITION = re.compile(
+    r"\A\[(?:[^\[\]\\]|\\.)*[^\s\[\]](?:[^\[\]\\]|\\.)*\]:[ \t]*\n?[ \t]*(?:<[^<>\n]*>|[^\s<]\S*)"
+    r"(?:(?:[ \t]+|[ \t]*\n[ \t]*)(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?:\n|\Z)", re.S,
+)
+_DELIMITERS = re.compile(r"\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+
+
+@dataclass
+class _Container:
+    """A block quote (width 0) or a list item whose content is ``width`` columns in; ``empty`` while an item has none."""
+
+    width: int
+    empty: bool = False
+
+
+def _cells(row: str) -> int:
+    """The number of cells of a table row."""
+    row = row.strip()
+    row = row[1:] if row.startswith("|") else row
+    parts = re.split(r"(?<!\\)\|", row)
+    return len(parts) - (1 if len(parts) > 1 and not parts[-1].strip() else 0)
+
+
+def _undefined(lines: list[str]) -> list[str]:
+    """A paragraph's lines without the link definitions that it begins with."""
+    text = "\n".join(lines)
+    while m := _DEFINITION.match(text):
+        text = text[m.end() :]
+    return text.split("\n") if text.strip() else []
+
+
+class _Blocks:
+    """Lines in turn to headings, with a stack of open quotes and list items and the leaf that is open inside them: a
+    paragraph (its first line and texts), a fence (its marker) or a table."""
+
+    def __init__(self):
+        self.stack: list[_Container] = []
+        self.paragraph: list[str] | None = None
+        self.first = 0
+        self.fence: str | None = None
+        self.table = False
+        self.found: list[tuple[int, str, int, int]] = []
+
+    def close(self) -> None:
+        self.paragraph, self.fence, self.table = None, None, False
+
+    def starts(self, body: str) -> bool:
+        """Whether a line begins a block that ends a paragraph."""
+        text = body.lstrip(" ")
+        if len(body) - len(text) > 3:
+            return False
+        item = _ITEM.match(text)
+        fit = item and text[item.end() :].strip() and (item[2] is None or int(item[2]) == 1)
+        return bool(text[:1] == ">" or _ATX.match(text) or _FENCE.match(text) or _RULE.match(text) or fit)
+
+    def enter(self, line: str) -> tuple[str, int]:
+        """What is left of a line inside the open containers it continues, and how many these are."""
+        for k, c in enumerate(self.stack):
+            text = line.lstrip(" ")
+            indent = len(line) - len(text)
+            if not c.width:
+                if indent > 3 or text[:1] != ">":
+                    return line, k
+                line = text[2:] if text[1:2] == " " else text[1:]
+            elif not text:
+                if c.empty:
+                    return line, k
+            elif indent >= c.width:
+                line, c.empty = line[c.width :], False
+            else:
+                return line, k
+        return line, len(self.stack)
+
+    def take(self, number: int, line: str) -> None:
+        body, depth = self.enter(line.expandtabs(4))
+        if depth < len(self.stack):
+            if self.paragraph is not None and body.strip() and not self.starts(body):
+                self.paragraph.append(body.strip())  # a lazy line
+                return
+            self.close()
+            del self.stack[depth:]
+        if self.fence:
+            m = re.match(r" {0,3}(`{3,}|~{3,})[ ]*$", body)
+            if m and m[1][0] == self.fence[0] and len(m[1]) >= len(self.fence):
+                self.fence = None
+            return
+        while text := body.lstrip(" "):
+            indent = len(body) - len(text)
+            if indent > 3:
+                break
+            if text[0] == ">":
+                self.close()
+                self.stack.append(_Container(0))
+                body = text[2:] if text[1:2] == " " else text[1:]
+            elif m := _ATX.match(text):
+                title = m[2] or ""
+                self.close()
+                self.found.append((len(m[1]), _plain("" if re.fullmatch("#+", title) else title), number, number + 1))
+                return
+            elif m := _FENCE.match(text):
+                self.close()
+                self.fence = m[1]
+                return
+            elif self._delimits(text):
+                self.close()
+                self.table = True
+                return
+            elif self._underlines(text, number):
+                return
+            elif _RULE.match(text):
+                self.close()
+                return
+            elif (m := _ITEM.match(text)) and (self.paragraph is None or self.starts(body)):
+                self.close()
+                rest = text[m.end(1) :]
+                spaces = len(rest) - len(rest.lstrip(" "))
+                blank = not rest.strip()
+                gap = 1 if blank or spaces > 4 else spaces
+                self.stack.append(_Container(indent + m.end(1) + gap, blank))
+                body = rest[gap:]
+            else:
+                break
+        if not body.strip():
+            self.close()
+        elif self.table:
+            pass
+        elif self.paragraph is not None:
+            self.paragraph.append(body.strip())
+        elif len(body) - len(body.lstrip(" ")) < 4:
+            self.paragraph, self.first = [body.strip()], number
+
+    def _delimits(self, text: str) -> bool:
+        """A table's second row, where the paragraph's last line is its first."""
+        if self.paragraph is None or "|" not in self.paragraph[-1] or not _DELIMITERS.match(text):
+            return False
+        return _cells(self.paragraph[-1]) == _cells(text)
+
+    def _underlines(self, text: str, number: int) -> bool:
+        m = _UNDERLINE.match(text)
+        if self.paragraph is None or not m:
+            return False
+        left = _undefined(self.paragraph)
+        if not left:  # there were only definitions
+            self.paragraph = None
+            return False
+        begin = self.first + len(self.paragraph) - len(left)
+        self.close()
+        self.found.append((1 if m[1][0] == "=" else 2, _plain(" ".join(left)), begin, number + 1))
+        return True
+
+
 def headings(text: str) -> list[tuple[int, str, int, int]]:
-    """``level, title, first line, line after`` of each heading: ATX and setext, outside fences and front matter."""
-    lines = text.split("\n")
-    out: list[tuple[int, str, int, int]] = []
-    k, fence, paragraph = 0, None, None
-    if lines and lines[0].rstrip() == "---":
-        close = next((i for i in range(1, len(lines)) if lines[i].rstrip() in ("---", "...")), None)
-        k = close + 1 if close else 0
-    for k in range(k, len(lines)):
-        line = lines[k]
-        body = re.sub(r"^(?: {0,3}> ?)+", "", line)
-        if fence:
-            m = re.match(r" {0,3}(`{3,}|~{3,})\s*$", body)
-            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence):
-                fence = None
-            continue
-        if m := re.match(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})", body):
-            fence, paragraph = m[1], None
-            continue
-        if m := re.match(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$", body):
-            out.append((len(m[1]), _plain(m[2] or ""), k, k + 1))
-            paragraph = None
-        elif paragraph is not None and (m := re.match(r" {0,3}(=+|-+)[ \t]*$", body)):
-            title = " ".join(x.strip() for x in lines[paragraph:k])
-            out.append((1 if m[1][0] == "=" else 2, _plain(title), paragraph, k + 1))
-            paragraph = None
-        elif not body.strip() or re.match(r" {0,3}([-*_])[ \t]*(\1[ \t]*){2,}$", body) or re.match(r" {0,3}\|", body):
-            paragraph = None
-        elif paragraph is None and not re.match(r"(?: {4}|\t| {0,3}(?:[-+*]|[0-9]{1,9}[.)])[ \t])", body):
-            paragraph = k
-    return out
+    """``level, title, first line, line after`` of each heading, also inside quotes and list items; no HTML blocks, tables are
+    blocks, front matter is left out."""
+    lines, first = text.split("\n"), 0
+    if lines[0].rstrip() == "---":
+        first = next((i + 1 for i in range(1, len(lines)) if lines[i].rstrip() in ("---", "...")), 0)
+    blocks = _Blocks()
+    for k in range(first, len(lines)):
+        blocks.take(k, lines[k].rstrip("\r"))
+    return blocks.found
 
 
 def _heading_rows(batches: Iterator) -> Iterator:
