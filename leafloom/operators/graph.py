@@ -127,14 +127,16 @@ def affected_documents(impact: DataFrame, doc_id: str) -> DataFrame:
 
 
 def context(hits: DataFrame, sections: DataFrame, summaries: DataFrame, xrefs: DataFrame | None = None, level: str = "synopsis", related_k: int = 3, max_section_chars: int = 1600) -> DataFrame:
-    """Hits (doc_id, section_id, score, ordered by rank) with clipped content and their strongest relationships."""
+    """Hits (doc_id, section_id, score, and their ``rank`` and ``source`` where they have them) with clipped content and their
+    strongest relationships."""
     from leafloom.operators.tree import content_at
 
     schema.within("related_k", related_k, 0, 12)
     schema.within("max_section_chars", max_section_chars, 200, 8000)
-    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id", "section_id")))  # k rows
+    ranked = hits if "rank" in hits.columns else hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id", "section_id")))  # k rows
+    given = ["source"] if "source" in hits.columns else []
     rows = F.broadcast(ranked).join(sections, ["doc_id", "section_id"]).join(summaries.select("doc_id", "section_id", "gist", "synopsis", "digest"), ["doc_id", "section_id"], "left")
-    rows = rows.select("rank", "doc_id", "section_id", "title", "path", "score", F.substring(content_at(level), 1, max_section_chars).alias("content"), T.anchor(F.col("doc_id"), F.col("section_id")).alias("anchor"))
+    rows = rows.select("rank", "doc_id", *given, "section_id", "title", "path", "score", F.substring(content_at(level), 1, max_section_chars).alias("content"), T.anchor(F.col("doc_id"), F.col("section_id")).alias("anchor"))
     if related_k == 0:
         return rows.withColumn("related", F.array().cast("array<string>")).orderBy("rank")
     near = relationships(sections, xrefs, related_k).groupBy("doc_id", F.col("src").alias("section_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "kind", "confidence"))).alias("related"))

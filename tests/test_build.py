@@ -4,7 +4,7 @@ import pytest
 
 from leafloom import schema
 from leafloom.operators import index
-from leafloom.plans import build, producers
+from leafloom.plans import build, producers, tools
 from leafloom.session import ship
 from leafloom.sources import files
 
@@ -129,3 +129,34 @@ def test_other_producers_build_again_and_unknown_ones_are_refused(spark, tmp_pat
         build.sync(spark, root, store, force=True, use=producers.Producers(summarizer="nobody"))
     with pytest.raises(schema.InvalidConfig):
         producers.register("cook", "x", lambda rows: rows)
+
+
+def test_tools_over_a_built_repository(spark, tmp_path):
+    spark = ship(spark)
+    root = repository(
+        tmp_path, a="# Install\n\nHow to install `TokenStore`.\n\n## Login\n\nSee [usage](#usage).\n\n## Usage\n\nRun it.\n", b="# Sessions\n\nThe `TokenStore` keeps them.\n", c="# Other\n\nNothing here.\n",
+    )
+    store = files.Store(spark, str(tmp_path / "store"))
+    build.sync(spark, root, store)
+    repository(tmp_path, c="# Other\n\nChanged.\n", d="# New\n")
+    found = build.readable(files.discover(spark, root, files.RepoConfig()))
+    space = tools.Workspace(store, found)
+    assert {(r.id, r.state) for r in space.documents().collect()} == {("a", "indexed"), ("b", "indexed"), ("c", "stale"), ("d", "missing")}
+    assert [(r.id, r.guidance) for r in space.documents("missing").collect()] == [("d", tools.GUIDANCE["missing"])]
+    pack = space.context("install login", k=2, related_k=2, sections_per_doc=2)
+    rows = pack.sections.orderBy("rank").collect()
+    assert [r.rank for r in rows] == [1, 2] and (rows[0].doc_id, rows[0].section_id) == ("a", "install") and rows[0].anchor == "doc://a/install"
+    nodes = {(r.kind, r.id) for r in pack.nodes.collect()}
+    assert {("document", "doc:a"), ("section", "section:a:install"), ("section", "section:a:install/login")} <= nodes
+    edges = {(r.source, r.target, r.kind) for r in pack.edges.collect()}
+    assert ("doc:a", "section:a:install", "contains") in edges and ("section:a:install", "section:a:install/login", "child") in edges
+    assert all({("document", e[0]), ("section", e[0])} & nodes and ("section", e[1]) in nodes for e in edges)
+    assert [r.id for r in pack.stale.collect()] == ["c"] and pack.skipped.count() == 0
+    assert {(r.doc_id, tuple(r.dims)) for r in space.context("install", vector=[1.0] * 8).skipped.collect()} == {("a", (64,)), ("b", (64,)), ("c", (64,))}
+    impact = space.document_impact("a")
+    assert [(r.doc_id, r.shared) for r in impact["related_documents"].collect()] == [("b", 1)]
+    counts = {r.table: r.rows for r in impact["artifacts"].collect()}
+    assert counts["sections"] == counts["summaries"] == counts["records"] == 3 and counts["manifest"] == 1 and counts["postings"] > 3
+    for call in (lambda: space.documents("lost"), lambda: space.search(" "), lambda: space.search("x", k=40), lambda: space.context("x", related_k=13), lambda: tools.Workspace(store).documents()):
+        with pytest.raises(schema.InvalidInput):
+            call()
