@@ -161,6 +161,52 @@ def within_reach(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
     return keep
 
 
+#: Blocks of a bucket whose sketches are compared together.
+WIDE = 16
+REACHED = "bucket long, i int, j int, full long"
+
+
+def reach_matrix(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
+    """``within_reach`` of each of some sketches with each of others."""
+    keep = np.zeros((len(x), len(y)), bool)
+    widths = [np.fromiter(map(len, z), np.int64, len(z)) for z in (x, y)]
+    for p in np.unique(widths[0]).tolist():
+        for q in np.unique(widths[1]).tolist():
+            at, to, width = np.flatnonzero(widths[0] == p), np.flatnonzero(widths[1] == q), min(p, q)
+            a, b = (np.frombuffer(b"".join(z[k] for k in w), np.uint8).reshape(len(w), -1, width).sum(1, dtype=np.uint16) for z, w in ((x, at), (y, to)))
+            size = a.sum(1, dtype=np.int64)[:, None] + b.sum(1, dtype=np.int64)[None, :]
+            step = max(1, (1 << 22) // max(1, b.size))
+            for begin in range(0, len(at), step):
+                common = np.minimum(a[begin : begin + step, None, :], b[None, :, :]).sum(2, dtype=np.int64)
+                keep[np.ix_(at[begin : begin + step], to)] = 100 * common >= percent * (size[begin : begin + step] - common)
+    return keep
+
+
+def _reached(percent: int):
+    """Of a pair of wide blocks of a bucket the members that sketches don't keep apart from one of another part, for each pair
+    of blocks where that is so."""
+
+    def run(table):
+        import pyarrow as pa
+
+        ids, parts, own, wide = (table[c].to_numpy() for c in ("full", "part", "own", "wide"))
+        sketches = table["sketch"].to_pylist()
+        low, high = (np.flatnonzero(wide == table[c][0].as_py()) for c in ("x", "y"))
+        rows = [np.zeros((0, 3), np.int64)]
+        for begin in range(0, len(low), 1024):
+            some = low[begin : begin + 1024]
+            keep = reach_matrix([sketches[k] for k in some], [sketches[k] for k in high], percent) & (parts[some][:, None] != parts[high][None, :])
+            p, q = np.nonzero(keep)
+            u, v = some[p], high[q]
+            i, j = np.minimum(own[u], own[v]), np.maximum(own[u], own[v])
+            rows.append(np.unique(np.concatenate([np.column_stack([i, j, u]), np.column_stack([i, j, v])]), axis=0))
+        found = np.unique(np.concatenate(rows), axis=0)
+        bucket = np.full(len(found), table["bucket"][0].as_py() if table.num_rows else 0, np.int64)
+        return pa.table({"bucket": pa.array(bucket), "i": pa.array(found[:, 0].astype(np.int32)), "j": pa.array(found[:, 1].astype(np.int32)), "full": pa.array(ids[found[:, 2]])})
+
+    return run
+
+
 def _close(percent: int):
     """Keeps pairs of paragraphs whose sketches don't rule out that they are similar enough."""
 
@@ -236,18 +282,28 @@ def similar_paragraphs(lines: DataFrame, texts: DataFrame, scratch: Scratch, per
     read = scratch.stage(texts.join(spans.hint("merge"), "doc_id").select("text", "asked").mapInArrow(_cut(), READ), "read")
 
     small = shared.where(F.col("n") <= SMALL_BUCKET)
-    pairs = small.select("bucket", F.col("full").alias("u")).join(small.select("bucket", F.col("full").alias("v")), "bucket").where("u < v").select("u", "v").distinct()
+    pairs = small.select("bucket", F.col("full").alias("u")).join(small.select("bucket", F.col("full").alias("v")), "bucket").where("u < v").select("u", "v")
+    large = shared.where(F.col("n") > SMALL_BUCKET)
+    stars = large.join(large.groupBy("bucket").agg(F.min("full").alias("centre")).hint("merge"), "bucket").where("full <> centre").select(F.col("centre").alias("u"), F.col("full").alias("v"))
+    pairs = pairs.unionByName(stars).distinct()
     side = lambda c, what: read.select(F.col("full").alias(c), F.col(what).alias(f"t{c}")).hint("merge")
     both = lambda rows, what: rows.join(side("u", what), "u").join(side("v", what), "v").select("u", "v", "tu", "tv")
     close = scratch.stage(both(pairs, "sketch").mapInArrow(_close(percent), "u long, v long").distinct(), "close")
     similar = scratch.stage(both(close, "words").mapInArrow(_jaccard(percent), "u long, v long"), "similar")  # apart from the blocks, so that only one shuffle of the texts is held
     scratch.drop("close")
 
-    # large buckets: each pair of blocks is a group
+    # large buckets: sketches of pairs of wide blocks leave the members, and pairs of blocks, whose texts must be compared
+    step = similar.groupBy(F.col("v").alias("full")).agg(F.min("u").alias("part"))
+    step = scratch.stage(step.join(step.select(F.col("full").alias("part"), F.col("part").alias("next")), "part", "left").select("full", F.coalesce("next", "part").alias("part")), "step")
     k = F.ceil(F.col("n") / BLOCK).cast("int")
-    member = shared.where(F.col("n") > SMALL_BUCKET).select("bucket", "full", k.alias("k"), F.pmod(F.xxhash64("full"), k).cast("int").alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-    grouped = member.join(read, "full").select("bucket", "full", "words", "own", other).select("bucket", "full", "words", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    own = F.pmod(F.xxhash64("full"), F.col("k")).cast("int")
+    member = large.select("bucket", "full", k.alias("k")).withColumn("own", own).join(step.hint("merge"), "full", "left").withColumn("part", F.coalesce("part", "full"))
+    mixed = member.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("bucket")
+    member = member.join(mixed.hint("merge"), "bucket").withColumn("wide", F.floor(F.col("own") / WIDE).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / WIDE).cast("int"))).alias("other")
+    grouped = member.join(read.select("full", "sketch").hint("merge"), "full").select("bucket", "full", "part", "own", "wide", "sketch", other).withColumn("x", F.least("wide", "other")).withColumn("y", F.greatest("wide", "other"))
+    asked = scratch.stage(grouped.drop("other").groupBy("bucket", "x", "y").applyInArrow(_reached(percent), REACHED), "asked")
+    grouped = asked.join(read.select("full", "words").hint("merge"), "full")
 
     def confirm(table):
         import pyarrow as pa
@@ -261,7 +317,7 @@ def similar_paragraphs(lines: DataFrame, texts: DataFrame, scratch: Scratch, per
     for name in ("read", "shared"):
         scratch.drop(name)
     found = components(similar.unionByName(blocks), scratch, "near")
-    for name in ("similar", "blocks"):
+    for name in ("similar", "blocks", "step", "asked"):
         scratch.drop(name)
     return found
 

@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from leafloom.llm import near_dedup, passages
@@ -243,3 +244,49 @@ def test_texts_of_pairs_that_are_not_similar_stay(spark):
     whole = {r.doc_id: r.component_id for r in got if (r.start, r.end) == (0, len(dict(rows)[r.doc_id]))}
     assert whole.keys() >= {0, 5000} and whole[0] == whole[5000]
     assert moved < 8
+
+
+def test_reach_of_many_equals_reach_of_pairs():
+    rng = np.random.default_rng(4)
+    sketches = [passages.sketch(rng.integers(0, 1 << 12, n).astype(np.uint64)) for n in (5, 20, 40, 41, 90, 200, 37, 39)]
+    want = [[bool(passages.within_reach([x], [y], 60)[0]) for y in sketches] for x in sketches]
+    assert passages.reach_matrix(sketches, sketches, 60).tolist() == want
+
+
+def test_large_buckets_equal_all_pairs(spark, monkeypatch):
+    """Families of lines that share an opening, and similar ones among them, in blocks and by all pairs of a bucket."""
+    _, words = fresh(12)
+    opening, rows = words(30), []
+    for k in range(90):
+        rows.append(opening + words(30))
+        for _ in range(k % 3):
+            rows.append(list(rows[-1]))
+            rows[-1][45 + k % 10] = f"changed{k}"
+    docs = ship(spark).createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], "doc_id long, text string").repartition(4)
+    found = {}
+    for small, block, wide in ((1 << 20, 256, 16), (4, 8, 2), (4, 16, 1)):
+        for name, value in (("SMALL_BUCKET", small), ("BLOCK", block), ("WIDE", wide)):
+            monkeypatch.setattr(passages, name, value)
+        found[block] = sorted(tuple(r) for r in passages.repeated_passages(docs).collect())
+    assert found[8] == found[16] == found[256] and len(found[8]) > 180
+
+
+def test_a_family_with_one_opening_moves_its_sketches_only(spark):
+    """Lines of 80 words that share their first 40 are in one bucket, and none is similar to another."""
+    _, words = fresh(13)
+    opening = words(40)
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        found = store.stageList(None, False, False, none, None)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    moved = {}
+    for n in (800, 6400):
+        rows = [(k, " ".join(opening + words(40))) for k in range(n)]
+        docs = ship(spark).createDataFrame(rows, "doc_id long, text string").repartition(4)
+        before = written()
+        got = passages.repeated_passages(docs).collect()
+        moved[n] = sum(n for k, n in written().items() if k not in before) / sum(len(t) for _, t in rows)
+        assert len({r.doc_id for r in got}) == n
+    assert moved[6400] < 1.2 * moved[800], moved
