@@ -210,10 +210,31 @@ def _alike_block(least: float):
     return run
 
 
-def exact_components(texts: DataFrame, cluster: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+def _near_parts(least: float):
+    """Members of two blocks whose sketches are alike one of another part in the other block."""
+
+    def run(table):
+        import pyarrow as pa
+
+        ids, parts, block = (table[c].to_numpy() for c in ("doc_id", "part", "block"))
+        rows = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        low, high = (np.flatnonzero(block == table[c][0].as_py()) for c in ("i", "j"))
+        near = np.zeros(len(ids), bool)
+        for x in low.tolist():
+            alike = ((rows[high] == rows[x]).mean(axis=1) >= least) & (parts[high] != parts[x])
+            near[high] |= alike
+            near[x] |= alike.any()
+        own = table.filter(pa.array(near))
+        return pa.table({"doc_id": own["doc_id"], "component": own["component"], "i": own["i"], "j": own["j"]})
+
+    return run
+
+
+def exact_components(texts: DataFrame, cluster: DataFrame, sketches: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
     """``node, component`` of nodes that are not alone, by links on full sets; only members of the same cluster
     (``node, component``) are compared.
 
+    Across blocks only members go with their texts that a sketch (doc_id, sketch) sets beside one of another part.
     A block reports its components as stars around their smallest member.  A member is in one block, but for the smallest
     of the cluster, which is in all and is the smallest of each; so the stars are components already, without any rounds.
     """
@@ -249,16 +270,18 @@ def exact_components(texts: DataFrame, cluster: DataFrame, scratch: Scratch, wor
     own = state.join(part_sizes, ["component", "part"]).join(loose, "component", "left")
     whole = F.col("m") >= BLOCK  # a part of its own blocks; small parts share blocks
     number = F.pmod(F.xxhash64(F.when(whole, F.col("doc_id")).otherwise(F.col("part"))), F.ceil(F.when(whole, F.col("m")).otherwise(F.col("loose")) / BLOCK))
-    own = own.select("doc_id", "component", F.when(whole, F.col("part")).alias("whole"), number.alias("number"))
+    own = own.select("doc_id", "component", "part", F.when(whole, F.col("part")).alias("whole"), number.alias("number"))
     own = scratch.stage(own.select("*", F.xxhash64(F.coalesce("whole", F.lit(-1)), "whole", "number").alias("block")), "blocks")
     blocks = own.groupBy("component").agg(F.collect_set(F.struct("block", "whole")).alias("blocks"))  # one of BLOCK members each
-    pairs = own.join(blocks.hint("merge"), "component").select("doc_id", "component", "block", "whole", F.explode("blocks").alias("b")).where("b.whole IS NULL OR whole IS NULL OR b.whole <> whole")
-    pairs = pairs.select("doc_id", "component", F.least("block", "b.block").alias("i"), F.greatest("block", "b.block").alias("j"))
+    marked = own.join(blocks.hint("merge"), "component").join(sketches.hint("merge"), "doc_id")
+    pairs = marked.select("doc_id", "component", "part", "sketch", "block", "whole", F.explode("blocks").alias("b")).where("b.whole IS NULL OR whole IS NULL OR b.whole <> whole")
+    pairs = pairs.select("doc_id", "component", "part", "sketch", "block", F.least("block", "b.block").alias("i"), F.greatest("block", "b.block").alias("j"))
+    pairs = scratch.stage(pairs.groupBy("component", "i", "j").applyInArrow(_near_parts(percent / 100 - 0.19), "doc_id long, component long, i long, j long"), "across")
     once = placed.where("doc_id <> component OR own = pmod(xxhash64(doc_id), k)")  # not the smallest member's other rows
     across = once.drop("component", "own", "k").join(pairs.hint("merge"), "doc_id").groupBy("component", "i", "j").applyInArrow(confirm, "u long, v long")
     out = scratch.stage(components(links.unionByName(across), scratch, "final"), "finals")
-    scratch.drop("placed")
-    scratch.drop("confirmed")
+    for name in ("placed", "confirmed", "across"):
+        scratch.drop(name)
     return out
 
 
@@ -271,9 +294,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     classes = scratch.stage(filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "classes")
     reps = scratch.stage(filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "bands", "sketch"), "reps")
     cluster = scratch.stage(sketch_links(reps, scratch, percent), "clusters")
-    scratch.drop("reps")
-    final = exact_components(texts, cluster, scratch, words, percent)
-    for name in ("clusters", "member", "blocks", "split"):
+    final = exact_components(texts, cluster, reps.select("doc_id", "sketch"), scratch, words, percent)
+    for name in ("reps", "clusters", "member", "blocks", "split"):
         scratch.drop(name)
     named = classes.join(final, classes.rep == final.node, "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
