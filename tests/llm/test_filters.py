@@ -333,3 +333,22 @@ def test_toxicity_sample_leaves_the_held_out_fold(spark):
 def test_bags_of_odd_texts(text):
     bag = toxicity.bags([text])
     assert len(bag.sentence_doc) == len(set(bag.word_sentence.tolist()))
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Empty tables, null and repeated ids, names that clash, rows that repeat."""
+    model = toxicity.Model(toxicity.bags(["grumbus"]).word_key[:1], np.array([12.0]))
+    rows = [(1, "a grumbus.", 0.5, "x"), (1, "a grumbus.", 0.5, "x"), (1, "clean.", 0.1, None), (None, "grumbus", 0.0, "y"), (2, None, None, None)]
+    docs = ship(spark).createDataFrame(rows, "doc_id long, text string, score double, toxic string")
+    found = sorted((r.doc_id or 0, r.score > 0.5) for r in toxicity.score(docs, model).collect())
+    assert found == [(0, True), (1, False), (1, True), (1, True), (2, False)]
+    assert sorted((r.doc_id, r.text or "", r.score, r.toxic) for r in toxicity.drop_toxic(docs, model).collect()) == [(1, "clean.", 0.1, None), (2, "", None, None)]
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.drop_toxic(docs.limit(0), model).count() == 0
+    none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert all(r.score == 0.0 for r in toxicity.score(docs, none).collect()) or none.background >= -50
+
+
+def test_secrets_of_rows_without_an_id(spark):
+    docs = ship(spark).createDataFrame([(None, "token = abcdefghijklmnop", 1), (None, "plain", 2), (3, None, 3)], "doc_id long, text string, spans int")
+    found = sorted((r.spans, r.doc_id, r.text) for r in secret_scan.redact_secrets(docs).collect())
+    assert [(k, i) for k, i, _ in found] == [(1, None), (2, None), (3, 3)] and "[SECRET]" in found[0][2] and found[1][2] == "plain"

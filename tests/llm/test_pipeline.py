@@ -35,3 +35,9 @@ def test_stages_take_effect_and_keep_clean_documents(spark, folder, tmp_path):
     assert seen["secrets"][102].text.endswith("[SECRET]") and seen["secrets"][1].text == seen["toxicity"][1].text
     assert set(seen["packing"]) == clean | {102}
     assert corpus_pipeline.run(spark, folder).count() == len(seen["packing"])
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

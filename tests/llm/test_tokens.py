@@ -192,3 +192,12 @@ def test_sharding(spark, docs, tmp_path):
     sharding.write_shards(docs.repartition(3), again, shards=4, bucket_bytes=200)
     key = lambda rs: sorted((r.shard, r.slot, r.record.text or "") for r in rs)
     assert key(sharding.read_shards(spark, again, schema).collect()) == key(rows)
+
+
+def test_token_counts_of_odd_rows(spark, docs, tokenizer):
+    rows = token_counts.count_tokens(docs, tokenizer_file(), 5).collect()
+    want = [(i or 0, len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in ROWS]
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in rows) == sorted(want)
+    assert all(r.over_limit == (r.n_tokens > 5) for r in rows)
+    clash = docs.withColumnRenamed("slot", "n_tokens").withColumn("n_bytes", docs.doc_id)
+    assert token_counts.count_tokens(clash, tokenizer_file()).count() == len(ROWS)
