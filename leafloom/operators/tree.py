@@ -141,10 +141,19 @@ def search_keyword(sections: DataFrame, terms: list[str], scope: str | None = No
 
 
 def validate(sections: DataFrame) -> DataFrame:
-    """Rows of problems: duplicate ids, unknown parents or children, levels and spans out of range."""
-    keys = sections.select("doc_id", "section_id")
-    twice = keys.groupBy("doc_id", "section_id").count().where("count > 1").select("doc_id", "section_id", F.lit("duplicate id").alias("problem"))
-    up = sections.where("parent IS NOT NULL").select("doc_id", F.col("parent").alias("section_id")).join(keys, ["doc_id", "section_id"], "left_anti").withColumn("problem", F.lit("unknown parent"))
-    down = sections.select("doc_id", F.explode("children").alias("section_id")).join(keys, ["doc_id", "section_id"], "left_anti").withColumn("problem", F.lit("unknown child"))
-    odd = sections.where("level NOT BETWEEN 1 AND 6 OR span.start < 0 OR span.end < span.start OR trim(section_id) = ''").select("doc_id", "section_id", F.lit("out of range").alias("problem"))
-    return twice.unionByName(up).unionByName(down).unionByName(odd)
+    """Rows of problems: duplicate ids, unknown parents or children, levels and spans out of range.
+
+    One pass: every row gives its own id, its parent's and its children's, and each id is counted by what it is given as.
+    """
+    names = ("own", "up", "down", "odd")
+    given = lambda s, what: F.struct(s.alias("section_id"), *[F.lit(int(n == what)).cast("long").alias(n) for n in names])
+    some = lambda cond, e: F.filter(F.array(e), lambda _: cond)
+    odd = F.expr("coalesce(level NOT BETWEEN 1 AND 6 OR span.start < 0 OR span.end < span.start OR trim(section_id) = '', FALSE)")
+    own = F.concat(F.array(given(F.col("section_id"), "own")), some(odd, given(F.col("section_id"), "odd")))
+    up = some(F.col("parent").isNotNull(), given(F.col("parent"), "up"))
+    down = F.transform(F.coalesce("children", F.array().cast("array<string>")), lambda c: given(c, "down"))
+    rows = sections.select("doc_id", F.explode(F.concat(own, up, down)).alias("e")).groupBy("doc_id", "e.section_id").agg(*[F.sum(f"e.{n}").alias(n) for n in names])
+    known = (F.col("own") > 0) & F.col("doc_id").isNotNull() & F.col("section_id").isNotNull()
+    times = lambda n, problem: F.array_repeat(F.lit(problem), n.cast("int"))
+    found = F.concat(times(F.col("own") > 1, "duplicate id"), times(F.when(known, 0).otherwise(F.col("up")), "unknown parent"), times(F.when(known, 0).otherwise(F.col("down")), "unknown child"), times(F.col("odd"), "out of range"))
+    return rows.select("doc_id", "section_id", F.explode(found).alias("problem"))

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from leafloom.operators import tree
 from leafloom.sources import markdown
 
 
@@ -19,3 +20,13 @@ def test_territories_read_each_heading_once(spark):
     for r in found.collect():
         after = [x[4] for x in rows if x[0] == r.doc_id and x[1] > r.pos and x[2] <= r.level]
         assert r.terr_end == min(after, default=10_000)
+
+
+def test_faults_are_found_in_one_pass(spark):
+    ddl = "doc_id string, section_id string, parent string, children array<string>, level int, span struct<start:int,end:int>"
+    good = ("d", "a", None, ["a/b"], 1, (0, 9))
+    rows = [good, ("d", "a/b", "a", [], 2, (1, 9)), ("e", "a", None, None, 1, (0, 9)), ("e", "a", None, [], 1, (0, 9)), ("f", "x", "lost", ["gone", "x"], 1, (0, 1)), ("f", "y", "lost", [], 1, (0, 1)), ("g", " ", None, [], 7, (0, 1)), ("h", "z", None, [], None, (0, 1))]
+    found = tree.validate(spark.createDataFrame(rows, ddl))
+    assert plan_of(found).count("Scan ExistingRDD") == 1
+    want = [("e", "a", "duplicate id"), ("f", "gone", "unknown child"), ("f", "lost", "unknown parent"), ("f", "lost", "unknown parent"), ("g", " ", "out of range")]
+    assert sorted(tuple(r) for r in found.collect()) == want
