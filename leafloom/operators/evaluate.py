@@ -140,10 +140,14 @@ def bench(docs: DataFrame, sections: DataFrame, summaries: DataFrame, questions:
 
     ``questions``: question_id, doc_id, question, expected (parts of section ids).  A question meets the sections, and the
     chunks, of its own document only.  The engine's tokens are those of its whole answer, the baseline's those of its chunks.
+
+    Scores come from counts of words, which are whole numbers, and are compared at nine digits: texts that are equally near
+    have equal scores, so their order is that of their ids and not of what was rounded away.
     """
-    asked = questions.select("question_id", "doc_id", "question", "expected", T.hash_embedding(F.col("question"), dim).alias("asked"))
-    cosine = T.clamp(T.dot(F.col("vector"), F.col("asked")))
-    rows = vectors.build(sections, dim).join(asked.select("question_id", "doc_id", "question", "asked"), "doc_id")
+    asked = questions.select("question_id", "doc_id", "question", "expected", T.hash_counts(F.col("question"), dim).alias("asked"))
+    cosine = F.round(T.clamp(T.dot(F.col("counts"), F.col("asked")) / T.norm(F.col("counts")) / T.norm(F.col("asked"))), 9)
+    rows = sections.select("doc_id", "section_id", T.hash_counts(T.embedding_text(F.col("title"), F.col("raw_text")), dim).alias("counts"))
+    rows = rows.join(asked.select("question_id", "doc_id", "question", "asked"), "doc_id")
     hits = _best(rows.select("question_id", "doc_id", "question", "section_id", cosine.alias("score")), k, "section_id")
     hits = hits.join(sections.select("doc_id", "section_id", "title", "raw_text"), ["doc_id", "section_id"]).join(summaries.select("doc_id", "section_id", "synopsis"), ["doc_id", "section_id"], "left")
     parts = [F.col("section_id"), F.col("title"), T.anchor(F.col("doc_id"), F.col("section_id"))]
@@ -159,7 +163,7 @@ def bench(docs: DataFrame, sections: DataFrame, summaries: DataFrame, questions:
     mine = mine.select("question_id", "doc_id", "expected", F.lit("engine").alias("system"), F.transform("a", lambda x: x["section_id"]).alias("section_ids"), T.token_estimate(F.concat_ws(" ", "question", F.array_join(F.transform("a", lambda x: x["text"]), " "))).cast("long").alias("tokens"))
 
     pieces = assign_sections(chunks(docs, chunk_words), sections)
-    pieces = pieces.select("doc_id", "chunk", "section_id", T.token_estimate(F.col("text")).alias("tokens"), T.hash_embedding(F.col("text"), dim).alias("vector"))
+    pieces = pieces.select("doc_id", "chunk", "section_id", T.token_estimate(F.col("text")).alias("tokens"), T.hash_counts(F.col("text"), dim).alias("counts"))
     found = _best(pieces.join(asked.select("question_id", "doc_id", "asked"), "doc_id").select("question_id", "chunk", F.coalesce("section_id", F.lit("")).alias("section_id"), "tokens", cosine.alias("score")), k, "chunk")
     got = found.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "section_id"))).alias("a"), F.sum("tokens").alias("tokens"))
     theirs = asked.join(got, "question_id", "left").select(

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from leafloom.operators import tree
+from leafloom.operators import evaluate, tree
+from leafloom.session import ship
 from leafloom.sources import markdown
 
 
@@ -30,3 +31,13 @@ def test_faults_are_found_in_one_pass(spark):
     assert plan_of(found).count("Scan ExistingRDD") == 1
     want = [("e", "a", "duplicate id"), ("f", "gone", "unknown child"), ("f", "lost", "unknown parent"), ("f", "lost", "unknown parent"), ("g", " ", "out of range")]
     assert sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_equally_near_sections_come_by_id(spark):
+    texts = ["bb cc cc", "aa aa aa"]  # with the title cc both have 3 / 10 of the question's cosine
+    turns = [(d, k, f"turn-{k}", "cc", t, (0, 1), 1) for d, ts in (("d", texts), ("e", texts[::-1])) for k, t in enumerate(ts)]
+    sections = ship(spark).createDataFrame(turns, "doc_id string, pos int, section_id string, title string, raw_text string, span struct<start:int,end:int>, level int")
+    docs = spark.createDataFrame([(d, "bb cc") for d in "de"], "doc_id string, text string")
+    questions = spark.createDataFrame([(f"q-{d}", d, "aa bb bb bb", ["turn-0"]) for d in "de"], "question_id string, doc_id string, question string, expected array<string>")
+    found = evaluate.bench(docs, sections, tree.build_summaries(sections), questions, 64, 1, 32, ("head",)).where("system = 'engine'")
+    assert [r.section_ids for r in found.collect()] == [["turn-0"], ["turn-0"]]
