@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from leafloom.operators import evaluate, tree
+from leafloom.operators import evaluate, search, tree, vectors
 from leafloom.session import ship
 from leafloom.sources import markdown
 
@@ -41,3 +41,11 @@ def test_equally_near_sections_come_by_id(spark):
     questions = spark.createDataFrame([(f"q-{d}", d, "aa bb bb bb", ["turn-0"]) for d in "de"], "question_id string, doc_id string, question string, expected array<string>")
     found = evaluate.bench(docs, sections, tree.build_summaries(sections), questions, 64, 1, 32, ("head",)).where("system = 'engine'")
     assert [r.section_ids for r in found.collect()] == [["turn-0"], ["turn-0"]]
+
+
+def test_tokens_are_counted_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, "a", ["x", "y", "x", "x"]), (1, "b", []), (2, "a", None), (2, "b", ["z"])], "doc_id long, section_id string, tokens array<string>")
+    found = search.postings(rows)
+    assert "Exchange" not in plan_of(found)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a", "x", 3), (1, "a", "y", 1), (2, "b", "z", 1)]
+    assert {r.token: r.df for r in search.document_frequency(found).collect()} == {"x": 1, "y": 1, "z": 1}
