@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from leafloom.functions import text as T
 from leafloom.operators import evaluate, search, tree, vectors
 from leafloom.session import ship
 from leafloom.sources import markdown
@@ -49,3 +51,21 @@ def test_tokens_are_counted_without_a_shuffle(spark):
     assert "Exchange" not in plan_of(found)
     assert sorted(tuple(r) for r in found.collect()) == [(1, "a", "x", 3), (1, "a", "y", 1), (2, "b", "z", 1)]
     assert {r.token: r.df for r in search.document_frequency(found).collect()} == {"x": 1, "y": 1, "z": 1}
+
+
+def test_nearest_of_many_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST_ROWS", 50)
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 10)
+    rng = random.Random(3)
+    base = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(90)]
+    rows = [("d", f"s{k:03}", base[k % 90]) for k in range(260)] + [("d", "a-zero", [0.0] * 5), ("d", "a-none", None), ("d", "a-short", [1.0]), ("d", "a-null", [1.0, None, 0.0, 0.0, 0.0]), ("d", "a-nan", [float("nan")] * 5)]
+    asked = [(k, base[k]) for k in range(0, 90, 3)] + [(100, None), (101, [0.0] * 5), (102, [1.0, 2.0])]
+    v = ship(spark).createDataFrame(rows, "doc_id string, section_id string, vector array<double>")
+    q = spark.createDataFrame(asked, "query_id int, query array<double>")
+    pairs = v.crossJoin(q).select("query_id", "doc_id", "section_id", T.clamp(T.dot(F.col("vector"), F.col("query"))).alias("score"))
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "section_id", "doc_id")
+    want = pairs.withColumn("rank", F.row_number().over(by)).where("rank <= 3")
+    found = vectors.nearest_batch(v, q, 3)
+    assert "NestedLoop" not in plan_of(found) and "Cartesian" not in plan_of(found)
+    rows_of = lambda df: sorted((r.query_id, r["rank"], r.section_id, str(r.score)) for r in df.collect())
+    assert rows_of(found) == rows_of(want)
