@@ -1,12 +1,14 @@
 """Work that must grow no faster than its input: plans, bounds and results at the places where it once did."""
 
 import random
+import tracemalloc
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafloom.functions import text as T
 from leafloom.operators import evaluate, search, tree, vectors
+from leafloom.plans import adapters
 from leafloom.session import ship
 from leafloom.sources import markdown
 
@@ -69,3 +71,15 @@ def test_nearest_of_many_in_blocks(spark, monkeypatch):
     assert "NestedLoop" not in plan_of(found) and "Cartesian" not in plan_of(found)
     rows_of = lambda df: sorted((r.query_id, r["rank"], r.section_id, str(r.score)) for r in df.collect())
     assert rows_of(found) == rows_of(want)
+
+
+def test_words_of_one_text_at_a_time(spark, tmp_path):
+    tracemalloc.start()
+    made = list(T.bucket_counts((" ".join(f"w{j}x{k}" for j in range(3000)) for k in range(60)), 64, {}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(m.sum() == 3000 for m in made) and peak < 40_000_000  # what it remembers, at most 200,000 words
+    spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = adapters.table(spark, str(tmp_path), "documents")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    assert [None if r.v is None else sum(r.v) for r in rows.orderBy("doc_id").select(T.hash_counts(F.col("text"), 8).alias("v")).collect()] == [1.0, None]
