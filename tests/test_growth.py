@@ -7,10 +7,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafloom.functions import text as T
-from leafloom.operators import evaluate, search, tree, vectors
+from leafloom.operators import evaluate, index, search, tree, vectors
 from leafloom.plans import adapters
 from leafloom.session import ship
 from leafloom.sources import markdown
+from leafloom.sources.store import Store
 
 
 def plan_of(df):
@@ -83,3 +84,13 @@ def test_words_of_one_text_at_a_time(spark, tmp_path):
     rows = adapters.table(spark, str(tmp_path), "documents")
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
     assert [None if r.v is None else sum(r.v) for r in rows.orderBy("doc_id").select(T.hash_counts(F.col("text"), 8).alias("v")).collect()] == [1.0, None]
+
+
+def test_the_rest_of_a_question_is_ranked_in_parts(spark, tmp_path):
+    rows = ship(spark).range(300).select(F.concat(F.lit("d"), "id").alias("doc_id"), F.lit("s").alias("section_id"), F.lit("x").alias("source"), F.lit("t").alias("title"), F.lit(0).alias("pos"), F.lit("w").alias("raw_text"))
+    store = Store(spark, str(tmp_path))
+    with store.commit() as commit:
+        index.write(commit, rows.withColumn("vector", F.array(F.lit(1.0).cast("float"))), None, None, None)
+    found = index.score(index.Index(store.snapshot()), spark.createDataFrame([("q", "nothing", [1.0])], "query_id string, question string, vector array<double>"), k=5)
+    assert "pmod(xxhash64(doc_id" in plan_of(found)
+    assert {r.base_score for r in found.collect()} == {search.VECTOR_ONLY} and found.count() == 25
