@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafloom.functions import text as T
 from leafloom.operators import evaluate, index, search, tree, vectors
-from leafloom.plans import adapters
+from leafloom.plans import adapters, markdown_queries
 from leafloom.session import ship
 from leafloom.sources import markdown
 from leafloom.sources.store import Store
@@ -28,6 +28,26 @@ def test_territories_read_each_heading_once(spark):
         assert r.terr_end == min(after, default=10_000)
 
 
+def test_headings_are_dealt_by_the_bytes_of_their_texts(spark, monkeypatch):
+    text = "# A\n\nx\n\n## B\n\ny\n\n## B\n\nz\n"
+    docs = ship(spark).createDataFrame([(f"d{k}", text) for k in range(400)], "doc_id string, text string")
+    monkeypatch.setattr(markdown, "TASK_BYTES", 400 * len(text) // 16 + 1, raising=False)
+    found = markdown.parse(docs)
+    plan = plan_of(found)
+    assert plan.count("16), REPARTITION_BY_NUM") >= 4  # windows, children, bodies: alike rows are so small that others are merged
+    per_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 1200 and max(per_task) < 300
+    ids = found.groupBy("section_id", "parent", "children", "raw_text").count().collect()
+    assert {(r.section_id, r.parent, tuple(r.children), r.raw_text.strip(), r["count"]) for r in ids} == {("a", None, ("a/b", "a/b-2"), "x", 400), ("a/b", "a", (), "y", 400), ("a/b-2", "a", (), "z", 400)}
+    assert markdown.parse(docs.limit(0)).count() == 0 and markdown.parse(docs.limit(1).withColumn("text", F.lit(None).cast("string"))).count() == 0
+
+
+def test_edges_read_sections_that_are_parsed_once(spark, tmp_path):
+    ship(spark).createDataFrame([(k, f"Text {k}") for k in range(30)] + [(30, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = markdown_queries.md_shared_edges(spark, str(tmp_path))
+    assert "MapInArrow" not in plan_of(found) and found.count() == 31 * 12
+
+
 def test_faults_are_found_in_one_pass(spark):
     ddl = "doc_id string, section_id string, parent string, children array<string>, level int, span struct<start:int,end:int>"
     good = ("d", "a", None, ["a/b"], 1, (0, 9))
