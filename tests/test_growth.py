@@ -114,3 +114,36 @@ def test_the_rest_of_a_question_is_ranked_in_parts(spark, tmp_path):
     found = index.score(index.Index(store.snapshot()), spark.createDataFrame([("q", "nothing", [1.0])], "query_id string, question string, vector array<double>"), k=5)
     assert "pmod(xxhash64(doc_id" in plan_of(found)
     assert {r.base_score for r in found.collect()} == {search.VECTOR_ONLY} and found.count() == 25
+
+
+def test_postings_are_made_without_a_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "SEGMENT", 40)
+    monkeypatch.setattr(index, "SLICE", 60)
+    monkeypatch.setattr(index, "BLOCKS", 3)
+    texts = ["aa bb aa cc " * k + f"z{k}" for k in range(12)] + [None, ""]
+    rows = ship(spark).createDataFrame([(f"d{k}", "s", "x", "bb t", 0, t) for k, t in enumerate(texts)], "doc_id string, section_id string, source string, title string, pos int, raw_text string")
+    for n, head in enumerate((None, (10, 25))):
+        recs = index.records(rows.where("raw_text IS NOT NULL"), None, None, None, head)
+        found = index.postings(recs)
+        assert "Exchange" not in plan_of(recs) and "Exchange" not in plan_of(found)
+        entries = found.select("token", "most_tf", "least_length", F.explode("entries").alias("e")).select("token", "most_tf", "least_length", "e.*").collect()
+        assert all(r.tf <= r.most_tf and r.length >= r.least_length for r in entries)
+        got = {(r.token, r.doc_id): (r.tf, r.length, r.fields) for r in entries}
+        want = {}
+        for k, t in enumerate(texts):
+            if t is None:
+                continue
+            field, counted = [t[:m] for m in head or (1 << 30, 1 << 30)]
+            words = [f"d{k}", "x", "bb", "t", "bb", "t", *counted.split()]
+            for w in {*words, *field.split()}:
+                bits = sum(1 << f for f, x in enumerate((f"d{k}", "x", "bb t", "", field)) if w in x.split())
+                want[w, f"d{k}"] = (words.count(w), len(words), bits)
+        assert got == want and len(entries) == len(want)
+        store = Store(spark, f"{tmp_path}/{n}")
+        with store.commit() as commit:
+            index.write(commit, rows.where("raw_text IS NOT NULL"), None, None, None, head)
+        asked = spark.createDataFrame([("q", "aa bb"), ("r", "z3 cc")], "query_id string, question string")
+        few = sorted(map(str, index.score(index.Index(store.snapshot()), asked).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(index, "FEW", 0)
+            assert sorted(map(str, index.score(index.Index(store.snapshot()), asked).collect())) == few
