@@ -146,4 +146,16 @@ def test_postings_are_made_without_a_shuffle(spark, tmp_path, monkeypatch):
         few = sorted(map(str, index.score(index.Index(store.snapshot()), asked).collect()))
         with monkeypatch.context() as m:
             m.setattr(index, "FEW", 0)
+            m.setattr(index, "WORDS", 0)
             assert sorted(map(str, index.score(index.Index(store.snapshot()), asked).collect())) == few
+
+
+def test_few_words_meet_tokens_without_a_join(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "NAMED", 2)
+    rows = ship(spark).createDataFrame([(f"d{k}", "s", "x", "t", 0, f"in{k} within under") for k in range(9)], "doc_id string, section_id string, source string, title string, pos int, raw_text string")
+    store = Store(spark, str(tmp_path))
+    with store.commit() as commit:
+        index.write(commit, rows, None, None, None)
+    found = index.hits(index.Index(store.snapshot()), index.parsed(spark.createDataFrame([("q", "within under")], "query_id string, question string")))
+    assert "Join" not in plan_of(found)
+    assert {(r.variant, r.token) for r in found.collect()} == {("within", "within"), ("under", "under")} and found.count() == 18
